@@ -179,6 +179,15 @@ def fill(template: str, **fields: Column | str) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once per row.
+
+    Inside a lambda an outer expression is evaluated again for every element,
+    and the optimizer may move one there; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def json_quote(c: Column | str) -> Column:
     """A text as a quoted, escaped JSON string."""
     wrapped = F.to_json(F.struct(_col(c).alias("v")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devicelode.functions import (
-    digits_int, gallery_url, json_quote, resolve_url, snake_key, strip, url_base, url_id,
+    digits_int, gallery_url, json_quote, let, resolve_url, snake_key, strip, url_base, url_id,
 )
 from devicelode.functions.text import DEFAULT_BASE_URL
 from devicelode.session import checkpointed
@@ -277,20 +277,20 @@ def _folded(rows: Column) -> Column:
 
     A continuation adds its value to the last row that has a feature name.
     """
-    heads = F.filter(rows, lambda r: ~r["more"])
-
-    def join_up(head, i):
-        until = F.coalesce(F.get(heads, i + 1)["row_pos"], F.lit(2_147_483_647))
-        more = F.when(head["feature"] != "", F.filter(
-            rows, lambda r: r["more"] & (r["row_pos"] > head["row_pos"]) & (r["row_pos"] < until)))
-        extra = F.coalesce(F.transform(more, lambda r: r["value"]), F.array().cast("array<string>"))
-        first = F.coalesce(head["bands"], F.array(head["value"]))
-        return F.struct(
-            head["feature"].alias("feature"), head["key"].alias("key"), head["value"].alias("value"),
-            F.concat(first, extra).alias("items"),
-            (head["bands"].isNotNull() | (F.size(extra) > 0)).alias("listed"), head["bands"].alias("bands"))
+    def of_heads(heads):
+        def join_up(head, i):
+            until = F.coalesce(F.get(heads, i + 1)["row_pos"], F.lit(2_147_483_647))
+            more = F.when(head["feature"] != "", F.filter(
+                rows, lambda r: r["more"] & (r["row_pos"] > head["row_pos"]) & (r["row_pos"] < until)))
+            extra = F.coalesce(F.transform(more, lambda r: r["value"]), F.array().cast("array<string>"))
+            return let(extra, lambda values: F.struct(
+                head["feature"].alias("feature"), head["key"].alias("key"), head["value"].alias("value"),
+                F.concat(F.coalesce(head["bands"], F.array(head["value"])), values).alias("items"),
+                (head["bands"].isNotNull() | (F.size(values) > 0)).alias("listed"), head["bands"].alias("bands")))
+
+        return F.transform(heads, join_up)
 
-    return F.transform(heads, join_up)
+    return let(F.filter(rows, lambda r: ~r["more"]), of_heads)
 
 
 def with_folded(pages: DataFrame) -> DataFrame:
@@ -403,23 +403,27 @@ def _document(entries: Column) -> Column:
     An entry without a key sets a scalar at the top; without a value too it
     only makes sure the category is there.
     """
-    cats = F.array_distinct(F.transform(entries, lambda e: e["cat"]))
+    def last(found):
+        return F.get(found, F.size(found) - 1)["json"]
+
+    def of_entries(known):
+        def category(c):
+            def parts(own):
+                def fields(keyed):
+                    return F.transform(F.array_distinct(F.transform(keyed, lambda e: e["key"])), lambda k: F.concat(
+                        json_quote(k), F.lit(":"), let(F.filter(keyed, lambda e: e["key"] == k), last)))
 
-    def category(c):
-        own = F.filter(entries, lambda e: (e["cat"] == c) & e["json"].isNotNull())
-        scalar = F.filter(own, lambda e: e["key"].isNull())
-        keyed = F.filter(own, lambda e: e["key"].isNotNull())
-        keys = F.array_distinct(F.transform(keyed, lambda e: e["key"]))
+                inner = F.array_join(let(F.filter(own, lambda e: e["key"].isNotNull()), fields), ",")
+                scalar = F.filter(own, lambda e: e["key"].isNull())
+                return F.coalesce(let(scalar, last), F.concat(F.lit("{"), inner, F.lit("}")))
 
-        def field(k):
-            same = F.filter(keyed, lambda e: e["key"] == k)
-            return F.concat(json_quote(k), F.lit(":"), F.get(same, F.size(same) - 1)["json"])
+            own = F.filter(known, lambda e: (e["cat"] == c) & e["json"].isNotNull())
+            return F.concat(json_quote(c), F.lit(":"), let(own, parts))
 
-        inner = F.concat(F.lit("{"), F.array_join(F.transform(keys, field), ","), F.lit("}"))
-        value = F.when(F.size(scalar) > 0, F.get(scalar, F.size(scalar) - 1)["json"]).otherwise(inner)
-        return F.concat(json_quote(c), F.lit(":"), value)
+        cats = F.array_distinct(F.transform(known, lambda e: e["cat"]))
+        return F.concat(F.lit("{"), F.array_join(F.transform(cats, category), ","), F.lit("}"))
 
-    return F.concat(F.lit("{"), F.array_join(F.transform(cats, category), ","), F.lit("}"))
+    return let(entries, of_entries)
 
 
 ENTRY = "array<struct<cat: string, key: string, json: string>>"

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devicelode import dictionaries as D
-from devicelode.functions import fill, full_name, lookup, readable_key, title_case
+from devicelode.functions import fill, full_name, let, lookup, readable_key, title_case
 
 RAW_MAP = "map<string,string>"
-ENTRIES = "array<struct<spec_type: string, key: string, value: string>>"
+FOUND = "array<struct<path: string, key: string, value: string>>"
+FEATURE = "array<struct<key: string, value: string>>"
 NO_MATCH = "Not specified"
 
 
@@ -54,66 +55,94 @@ def parse_pictures(df: DataFrame, column: str = "pictures") -> DataFrame:
 
 # ---- requested specifications ---------------------------------------------
 
-def _entry(spec_type: Column, key: Column, value: Column) -> Column:
-    return F.struct(spec_type.cast("string").alias("spec_type"), key.alias("key"), value.alias("value"))
+def document_entries(specs: Column, nested: Column) -> Column:
+    """All entries of a document with the path they are found by: ``array<struct<path, key, value>>``.
 
+    First those found at the top, by category: the fields of an object, or a
+    plain value under the category's own name. Then those one level down, by
+    feature name, in the same way.
+    """
+
+    def entry(path, key, value):
+        return F.struct(path.alias("path"), key.alias("key"), value.alias("value"))
+
+    def found(path, raw, inner):
+        return F.when(raw.isNull(), F.array().cast(FOUND)).when(
+            inner.isNotNull(), F.transform(F.map_entries(inner), lambda e: entry(path, e["key"], e["value"]))
+        ).otherwise(F.array(entry(path, path, raw)))
+
+    def of_document(inner):
+        top = F.flatten(F.transform(
+            F.map_entries(specs), lambda c: found(c["key"], c["value"], F.try_element_at(inner, c["key"]))))
+        features = F.flatten(F.transform(
+            F.map_values(inner), lambda m: F.coalesce(F.map_entries(m), F.array().cast(FEATURE))))
+        below = F.flatten(F.transform(features, lambda f: let(as_map(f["value"]), lambda m: found(f["key"], f["value"], m))))
+        return F.concat(top, below)
+
+    return let(nested, of_document)
+
+
+def with_entries(df: DataFrame, out: str = "entries") -> DataFrame:
+    """Add the entries of the documents to rows with ``specs`` and ``nested``."""
+    return df.withColumn(out, document_entries(F.col("specs"), F.col("nested")))
 
-def _entries_at(spec_type: Column, key: Column, value: Column) -> Column:
-    """Entries of a value: those of the object it is, or itself under ``key``."""
-    inner = as_map(value)
-    return F.when(value.isNull(), F.array().cast(ENTRIES)).when(
-        inner.isNotNull(), F.transform(F.map_entries(inner), lambda e: _entry(spec_type, e["key"], e["value"]))
-    ).otherwise(F.array(_entry(spec_type, key, value)))
 
+def entries_of(kinds: Column, entries: Column, paths: Mapping[str, Sequence[str]] = D.SPEC_PATHS) -> Column:
+    """Entries for each kind, its paths in order, keys possibly repeated."""
+    places = F.create_map(*[x for kind, ps in paths.items() for x in (F.lit(kind), F.array(*[F.lit(p) for p in ps]))])
 
-def _path_entries(spec_type: Column, path: str, specs: Column, nested: Column) -> Column:
-    key = F.lit(path)
-    top = _entries_at(spec_type, key, F.try_element_at(specs, key))
-    below = F.flatten(F.transform(
-        F.map_values(nested), lambda m: F.coalesce(_entries_at(spec_type, key, F.try_element_at(m, key)), F.array().cast(ENTRIES))))
-    return F.concat(top, below)
+    def of_document(known):
+        def of_kind(kind):
+            def at_path(path):
+                return F.transform(F.filter(known, lambda e: e["path"] == path), lambda e: F.struct(
+                    kind.alias("spec_type"), e["key"].alias("key"), e["value"].alias("value")))
+
+            wanted = F.coalesce(F.try_element_at(places, kind), F.array().cast("array<string>"))
+            return F.flatten(F.transform(wanted, at_path))
+
+        return F.flatten(F.transform(kinds, of_kind))
+
+    return let(entries, of_document)
 
 
 def _first_of_key(entries: Column) -> Column:
     """Each key once, case ignored, where it comes first."""
-    keys = F.transform(entries, lambda e: F.lower(e["key"]))
-    return F.filter(entries, lambda e, i: F.array_position(keys, F.lower(e["key"])) == i + 1)
-
 
-def requested_entries(requested: Column, specs: Column, nested: Column,
-                      paths: Mapping[str, Sequence[str]] = D.SPEC_PATHS) -> Column:
-    """Entries for each requested kind, paths in order, keys possibly repeated."""
+    def first(found):
+        def by_keys(keys):
+            return F.filter(found, lambda e, i: F.array_position(keys, F.get(keys, i)) == i + 1)
 
-    def of_type(kind):
-        found = F.array().cast(ENTRIES)
-        for name, places in reversed(list(paths.items())):
-            here = F.concat(*[_path_entries(kind, p, specs, nested) for p in places])
-            found = F.when(kind == name, here).otherwise(found)
-        return found
+        return let(F.transform(found, lambda e: F.lower(e["key"])), by_keys)
 
-    return F.flatten(F.transform(requested, of_type))
+    return let(entries, first)
 
 
 def requested_specs(df: DataFrame, requested: str = "specifications", out: str = "requested",
                     paths: Mapping[str, Sequence[str]] = D.SPEC_PATHS) -> DataFrame:
     """Add the entries asked for; a key is kept once over **all** kinds, the first in order.
 
-    ``df`` has ``specs``, ``nested`` and the array of requested kinds.
+    ``df`` has the document's ``entries`` and the array of requested kinds.
     """
-    all_found = df.withColumn("_found", requested_entries(F.col(requested), F.col("specs"), F.col("nested"), paths))
-    return all_found.withColumn(out, _first_of_key(F.col("_found"))).drop("_found")
+    return df.withColumn(out, _first_of_key(entries_of(F.col(requested), F.col("entries"), paths)))
 
 
-def comparison_text(kind: Column, specs: Column, nested: Column) -> Column:
-    """The entries of one kind as ``k: v, k: v``; "Not specified" when there are none."""
-    found = _first_of_key(requested_entries(F.array(kind), specs, nested))
+def comparison_texts(entries: Column, kinds: Sequence[str] = tuple(D.SPEC_PATHS)) -> Column:
+    """Map of kind -> its entries as ``k: v, k: v``; kinds without entries are "Not specified"."""
+    all_kinds = F.array(*[F.lit(k) for k in kinds])
 
     def shown(e):
         inner = as_map(e["value"])
         flat = F.array_join(F.transform(F.map_entries(inner), lambda s: F.concat(s["key"], F.lit(": "), s["value"])), ", ")
         return F.concat(e["key"], F.lit(": "), F.coalesce(flat, e["value"]))
 
-    return F.when(F.size(found) > 0, F.array_join(F.transform(found, shown), ", ")).otherwise(F.lit(NO_MATCH))
+    def of_document(known):
+        def text(kind):
+            found = _first_of_key(entries_of(F.array(kind), known))
+            return F.coalesce(F.nullif(F.array_join(F.transform(found, shown), ", "), F.lit("")), F.lit(NO_MATCH))
+
+        return F.transform(all_kinds, text)
+
+    return F.map_from_arrays(all_kinds, let(entries, of_document))
 
 
 # ---- highlights and texts -----------------------------------------------------
@@ -173,22 +202,25 @@ def other_highlights(focus: Column, specs: Column, nested: Column) -> Column:
     The search for an area ends at the first such category that is no object.
     """
 
-    def lines(area):
-        keys = F.map_keys(specs)
-        named = F.filter(keys, lambda k: F.contains(F.lower(k), F.lower(area)))
-        scalar_at = F.array_position(F.transform(named, lambda k: F.try_element_at(nested, k).isNull()), True)
-        reached = F.when(scalar_at > 0, F.slice(named, 1, scalar_at.cast("int"))).otherwise(named)
+    def of_document(inner):
+        def lines(area):
+            def line(k):
+                first = F.get(F.map_entries(F.try_element_at(inner, k)), F.lit(0))
+                return F.when(F.try_element_at(inner, k).isNull(), F.concat(
+                    title_case(area), F.lit(": "), F.try_element_at(specs, k))
+                ).otherwise(F.concat(title_case(area), F.lit(" - "), first["key"], F.lit(": "), first["value"]))
+
+            def reached(named):
+                scalar_at = F.array_position(F.transform(named, lambda k: F.try_element_at(inner, k).isNull()), True)
+                return F.when(scalar_at > 0, F.slice(named, 1, scalar_at.cast("int"))).otherwise(named)
 
-        def line(k):
-            inner = F.try_element_at(nested, k)
-            first = F.get(F.map_entries(inner), F.lit(0))
-            return F.when(inner.isNull(), F.concat(title_case(area), F.lit(": "), F.try_element_at(specs, k))).otherwise(
-                F.concat(title_case(area), F.lit(" - "), first["key"], F.lit(": "), first["value"]))
+            named = F.filter(F.map_keys(inner), lambda k: F.contains(F.lower(k), F.lower(area)))
+            return F.array_compact(F.transform(let(named, reached), line))
 
-        return F.array_compact(F.transform(reached, line))
+        return F.flatten(F.transform(rest, lines))
 
     rest = F.filter(focus, lambda a: ~a.isin(list(FACT_LABELS)))
-    return F.flatten(F.transform(rest, lines))
+    return let(nested, of_document)
 
 
 def highlights(df: DataFrame, focus: str = "focus_areas", tier: str = "tier", out: str = "highlights") -> DataFrame:
@@ -225,7 +257,7 @@ def device_summary(df: DataFrame) -> DataFrame:
 
 
 def spec_report(df: DataFrame, requested: str = "specifications", entries: str = "requested") -> DataFrame:
-    """Add the report text: one block of lines per kind, keys made readable."""
+    """Add the report text: one block of lines per kind, keys made readable; NULL when there is nothing to tell."""
     kinds = F.array_distinct(F.col(requested))
 
     def line(e):
@@ -242,7 +274,8 @@ def spec_report(df: DataFrame, requested: str = "specifications", entries: str =
     known = F.filter(kinds, lambda k: k.isin(list(D.SPEC_PATHS)))
     intro = fill(SPEC_INTRO, specs=F.array_join(F.col(requested), ", "), device_name=full_name("brand_name", "device_name"))
     body = F.array_join(F.transform(known, block), "")
-    return df.withColumn("report", F.btrim(F.concat(intro, F.lit("\n\n"), body), F.lit(" \n")))
+    report = F.btrim(F.concat(intro, F.lit("\n\n"), body), F.lit(" \n"))
+    return df.withColumn("report", F.when((F.size("specs") > 0) & (F.size(known) > 0), report))
 
 
 def spec_lookup(df: DataFrame, out: str, *names: str) -> DataFrame:

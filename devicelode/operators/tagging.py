@@ -79,12 +79,11 @@ def score_list(text: Column, n_devices: Column, specs: Column, features: Column)
         *[(i, has_any(text, ps), 0.5) for i, ps in D.SIMPLE_INTENTS.items()],
     ]
     # Features enter the scores in the order of the feature dictionary.
-    rows = F.array_compact(F.array(*[
-        F.when(cond, F.struct(F.lit(i).alias("ord"), F.lit(name).alias("intent"), F.lit(score).alias("score")))
-        for i, (name, cond, score) in enumerate(hits)]))
-    nothing = F.array(F.struct(F.lit(len(hits)).alias("ord"), F.lit("general").alias("intent"),
-                               F.lit(0.3).alias("score")))
-    return F.when(F.size(rows) > 0, rows).otherwise(nothing)
+    found = [F.when(cond, F.struct(F.lit(i).alias("ord"), F.lit(name).alias("intent"), F.lit(score).alias("score")))
+             for i, (name, cond, score) in enumerate(hits)]
+    general = F.struct(F.lit(len(hits)).alias("ord"), F.lit("general").alias("intent"), F.lit(0.3).alias("score"))
+    # "general" stands last and goes when anything stands before it.
+    return F.filter(F.array_compact(F.array(*found, general)), lambda s, i: (i == 0) | (s["ord"] < len(hits)))
 
 
 def intent_scores(q: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def _order() -> list:
 def _documents(cat: DataFrame, specs: DataFrame, spec_order: str) -> DataFrame:
     """Catalogue rows with the first specification document of their URL, parsed."""
     firsts = first_per_key(specs, ["device_url"], spec_order, ["device_url", "specifications"])
-    return S.with_nested(S.parse_specs(cat.join(firsts, "device_url", "left")))
+    return S.with_entries(S.with_nested(S.parse_specs(cat.join(firsts, "device_url", "left"))))
 
 
 def _pairs(q: DataFrame, cat: DataFrame, **kw) -> DataFrame:
@@ -77,10 +77,8 @@ def compare(q: DataFrame, cat: DataFrame, specs: DataFrame, spec_order: str = "d
     kinds = N.spec_tags(q).select("qid", F.when(F.size("specifications") > 0, F.col("specifications")).otherwise(
         F.array(*[F.lit(s) for s in D.DEFAULT_COMPARISON])).alias("kinds"))
     used = pairs.select(F.explode(F.array("d1.pos", "d2.pos")).alias("pos")).distinct()
-    values = F.create_map(*[x for kind in D.SPEC_PATHS for x in (
-        F.lit(kind), S.comparison_text(F.lit(kind), F.col("specs"), F.col("nested")))])
     docs = _documents(cat.join(used, "pos", "left_semi"), specs, spec_order).select(
-        "pos", F.concat("brand_name", F.lit(" "), "device_name").alias("name"), values.alias("values"))
+        "pos", F.concat("brand_name", F.lit(" "), "device_name").alias("name"), S.comparison_texts(F.col("entries")).alias("values"))
     one = docs.select(*[F.col(c).alias(f"{c}_1") for c in docs.columns])
     two = docs.select(*[F.col(c).alias(f"{c}_2") for c in docs.columns])
     sided = (pairs.select("qid", F.col("d1.pos").alias("pos_1"), F.col("d2.pos").alias("pos_2"))

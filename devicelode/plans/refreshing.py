@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from devicelode.operators import extract as E
 from devicelode.operators import refresh as R
+from devicelode.operators.ordered import first_per_key
 from devicelode.sources.sinks import overwrite_swap, read_current
 
 
@@ -26,10 +27,13 @@ def refresh(spark: SparkSession, listing: DataFrame, pages: DataFrame, root: str
     """
     cat, specs, ledger = (read_current(spark, f"{root}/{t}") for t in ("catalogue", "specs", "ledger"))
     stored = pages.select(F.col("url").alias("device_url")).distinct()
-    todo = plan_refresh(listing.dropDuplicates(["device_url"]), cat, ledger).join(stored, "device_url", "left_semi")
+    listed = first_per_key(listing, ["device_url"], "pos", listing.columns)
+    todo = plan_refresh(listed, cat, ledger).join(stored, "device_url", "left_semi")
 
-    wanted = pages.join(todo.select(F.col("device_url").alias("url")), "url", "left_semi")
-    records = E.assemble_records(wanted.dropDuplicates(["url"])).select(*specs.columns)
+    # Of pages stored twice the last is read.
+    last = pages.groupBy("url").agg(F.max("page_id").alias("page_id")).join(
+        todo.select(F.col("device_url").alias("url")), "url", "left_semi").select("page_id")
+    records = E.assemble_records(pages.join(last, "page_id", "left_semi")).select(*specs.columns)
     entries = todo.select("device_url", F.lit(now).cast("timestamp").alias("last_updated"), F.col("brand_name").alias("brand"))
 
     top = cat.agg(F.coalesce(F.max("pos"), F.lit(-1))).scalar()
