@@ -81,7 +81,8 @@ def _terms(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     space = F.lit(" ")
     two = F.transform("w", lambda t, i: F.concat(t, space, F.get("w", i + 1)))
     three = F.transform("w", lambda t, i: F.concat(t, space, F.get("w", i + 1), space, F.get("w", i + 2)))
-    grams = words.select(*keys, F.explode(F.concat("w", F.array_compact(two), F.array_compact(three))).alias("term"))
+    grams = words.select(*keys, F.explode_outer(
+        F.concat("w", F.array_compact(two), F.array_compact(three))).alias("term")).filter("term IS NOT NULL")
     return grams.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -2,7 +2,8 @@
 
 Everything is read from a page by regular expressions inside its own row:
 no Python worker and, but for picture galleries kept on another page, no
-shuffle. Comments, scripts and styles are taken off first. Sections and tables
+shuffle. Lists are exploded in the outer form and filtered afterwards: a plain
+explode first tests for an empty list and so works every list out twice. Comments, scripts and styles are taken off first. Sections and tables
 are flat on these pages; a table inside a table is not followed.
 """
 
@@ -93,8 +94,8 @@ def extract_links(pages: DataFrame, section: str | None = None) -> DataFrame:
     """Links of a section (or of the whole page) -> ``(page_id, pos, href, text)``."""
     body = content("html") if section is None else section_of(content("html"), section)
     scoped = pages.select("page_id", body.alias("body"))
-    links = scoped.select("page_id", F.posexplode(F.arrays_zip(
-        _all(F.col("body"), LINK, 1).alias("href"), _all(F.col("body"), LINK, 2).alias("raw"))).alias("pos", "link"))
+    links = scoped.select("page_id", F.posexplode_outer(F.arrays_zip(
+        _all(F.col("body"), LINK, 1).alias("href"), _all(F.col("body"), LINK, 2).alias("raw"))).alias("pos", "link")).filter("link IS NOT NULL")
     return links.select("page_id", "pos", "link.href", text_of(F.col("link.raw")).alias("text"))
 
 
@@ -116,8 +117,8 @@ def extract_brands(pages: DataFrame, base_url: str = DEFAULT_BASE_URL, section:
 def extract_brand_menu(pages: DataFrame, base_url: str = DEFAULT_BASE_URL, section: str = "brandmenu-v2") -> DataFrame:
     """Brand menu -> ``(name, url, device_count)``: the whole link text, and the digits of its span."""
     body = section_of(content("html"), section)
-    rows = pages.select("page_id", body.alias("body")).select("page_id", F.posexplode(F.arrays_zip(
-        _all(F.col("body"), LINK, 1).alias("href"), _all(F.col("body"), LINK, 2).alias("raw"))).alias("pos", "link"))
+    rows = pages.select("page_id", body.alias("body")).select("page_id", F.posexplode_outer(F.arrays_zip(
+        _all(F.col("body"), LINK, 1).alias("href"), _all(F.col("body"), LINK, 2).alias("raw"))).alias("pos", "link")).filter("link IS NOT NULL")
     return rows.select(
         "page_id", "pos", text_of(F.col("link.raw")).alias("name"), resolve_url(F.col("link.href"), base_url).alias("url"),
         digits_int(F.coalesce(_first(F.col("link.raw"), r"(?is)<span[^>]*>(.*?)</span>"), F.lit(""))).alias("device_count"))
@@ -126,7 +127,7 @@ def extract_brand_menu(pages: DataFrame, base_url: str = DEFAULT_BASE_URL, secti
 def extract_listing(pages: DataFrame, base_url: str = DEFAULT_BASE_URL, section: str = "makers") -> DataFrame:
     """Listing page -> ``(page_id, pos, name, url, image_url)``; items without a link are left out."""
     items = pages.select("page_id", section_of(content("html"), section).alias("body")).select(
-        "page_id", F.posexplode(_all(F.col("body"), r"(?is)<li[^>]*>(.*?)</li>")).alias("pos", "item"))
+        "page_id", F.posexplode_outer(_all(F.col("body"), r"(?is)<li[^>]*>(.*?)</li>")).alias("pos", "item")).filter("item IS NOT NULL")
     item = F.col("item")
     found = items.select(
         "page_id", "pos", _first(item, LINK, 1).alias("href"), _first(item, LINK, 2).alias("raw"),
@@ -266,8 +267,8 @@ def with_tables(pages: DataFrame) -> DataFrame:
 
 def extract_spec_rows(pages: DataFrame) -> DataFrame:
     """Table rows as they stand -> ``(page_id, table_pos, cat, row_pos, feature, key, value, more)``."""
-    tables = with_tables(pages).select("page_id", F.inline("tables"))
-    return tables.select("page_id", "table_pos", "cat", F.inline("rows")).select(
+    tables = with_tables(pages).select("page_id", F.inline_outer("tables")).filter("table_pos IS NOT NULL")
+    return tables.select("page_id", "table_pos", "cat", F.inline_outer("rows")).filter("row_pos IS NOT NULL").select(
         "page_id", "table_pos", "cat", "row_pos", "feature",
         F.when(F.col("key") != "", F.col("key")).otherwise(snake_key("feature")).alias("key"), "value", "more")
 
@@ -301,9 +302,9 @@ def with_folded(pages: DataFrame) -> DataFrame:
 
 def fold_continuations(pages: DataFrame) -> DataFrame:
     """``(page_id, table_pos, cat, feature, item_pos, item, listed)``: every value of every feature."""
-    tables = with_folded(pages).select("page_id", F.inline("folded"))
-    rows = tables.select("page_id", "table_pos", "cat", F.inline("rows"))
-    return rows.select("page_id", "table_pos", "cat", "feature", "listed", F.posexplode("items").alias("item_pos", "item"))
+    tables = with_folded(pages).select("page_id", F.inline_outer("folded")).filter("table_pos IS NOT NULL")
+    rows = tables.select("page_id", "table_pos", "cat", F.inline_outer("rows")).filter("feature IS NOT NULL")
+    return rows.select("page_id", "table_pos", "cat", "feature", "listed", F.posexplode_outer("items").alias("item_pos", "item"))
 
 
 # ---- promoted fields ------------------------------------------------------------------

@@ -30,7 +30,8 @@ def pieces(text: Column, size: int) -> Column:
 def name_keys(names: DataFrame, name: str = "device") -> DataFrame:
     """``(name, gram)``: the piece by which each distinct name is found."""
     distinct = names.select(name).distinct()
-    grams = distinct.filter(F.length(name) >= GRAM).select(name, F.posexplode(pieces(F.col(name), GRAM)).alias("at", "gram"))
+    grams = distinct.filter(F.length(name) >= GRAM).select(
+        name, F.posexplode_outer(pieces(F.col(name), GRAM)).alias("at", "gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
     rarest = grams.join(shared, "gram").groupBy(name).agg(F.min_by("gram", F.struct("names", "at")).alias("gram"))
     return rarest.unionByName(distinct.filter(F.length(name) < GRAM).select(name, F.col(name).alias("gram")))
@@ -60,7 +61,8 @@ def name_matches(q: DataFrame, cat: DataFrame, broadcast_names: int = BROADCAST_
     keys = name_keys(names)
     lengths = names.filter(F.length("device") < GRAM).agg(F.collect_set(F.length("device"))).scalar()
     texts = q.select("qid", strip(F.lower("text")).alias("_text")).filter(F.col("_text").isNotNull())
-    grams = F.explode(text_grams(F.col("_text"), lengths)).alias("gram")
+    # The outer form: a plain explode would first test for an empty list, making all pieces twice.
+    grams = F.explode_outer(text_grams(F.col("_text"), lengths)).alias("gram")
 
     keyed = names.join(keys, "device")
 

@@ -31,7 +31,7 @@ def _pool_rows(cat: DataFrame, focuses: Sequence[str] | None, popular: Sequence[
         names = F.array(*[F.lit(n) for n in focuses])
         held = F.filter(names, lambda n: F.contains(F.lower("brand_name"), n))
         pools = F.concat(F.array(F.lit("")), F.coalesce(held, F.array().cast("array<string>")))
-    pooled = rows.withColumn("brand_focus", F.explode(pools))
+    pooled = rows.withColumn("brand_focus", F.explode_outer(pools))
     # A pool whose brand is itself popular puts only that brand first.
     first = F.col("brand_name").isin(list(popular))
     for b in popular:
@@ -88,7 +88,7 @@ def tier_slices(cat: DataFrame, focuses: Sequence[str] | None = tuple(D.BRAND_NA
         "rank", F.col("_before") + F.row_number().over(inside))
     tiers = F.array_compact(F.array(*[
         F.when(tier_of_rank(t, F.col("rank"), size, n), F.lit(t)) for t in D.TIERS]))
-    return ranked.withColumn("tier", F.explode(tiers)).select(
+    return ranked.withColumn("tier", F.explode_outer(tiers)).filter("tier IS NOT NULL").select(
         "brand_focus", "tier", F.col("rank").cast("bigint").alias("rank"), "pool_size", *cat.columns)
 
 

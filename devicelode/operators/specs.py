@@ -39,7 +39,7 @@ def with_nested(df: DataFrame, specs: str = "specs", out: str = "nested") -> Dat
 
 def spec_rows(df: DataFrame, specs: str = "specs") -> DataFrame:
     """Long rows ``(device_url, cat_pos, cat, key, pos, value)``; top-level scalars have no key."""
-    cats = df.select("device_url", F.posexplode(specs).alias("cat_pos", "cat", "raw"))
+    cats = df.select("device_url", F.posexplode_outer(specs).alias("cat_pos", "cat", "raw")).filter("cat IS NOT NULL")
     inner = cats.select("device_url", "cat_pos", "cat", "raw", as_map("raw").alias("m"))
     return inner.select("device_url", "cat_pos", "cat", "raw", "m", F.posexplode_outer("m").alias("pos", "key", "v")).filter(
         F.col("m").isNull() | F.col("key").isNotNull()

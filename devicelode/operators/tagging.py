@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,27 +15,37 @@ from pyspark.sql import functions as F
 from devicelode import dictionaries as D
 from devicelode.functions import normalise, strip
 
-LABELS = "array<string>"
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def has_any(text: Column, phrases: Sequence[str], word_boundary: bool = False) -> Column:
-    """True when one of the phrases is in the text; stops at the first."""
+
+def _any_sql(text: str, phrases: Sequence[str], word_boundary: bool = False) -> str:
     if not phrases:
-        return F.lit(False)
+        return "false"
     if word_boundary:
-        return text.rlike("|".join(rf"(?<!\w){re.escape(p)}(?!\w)" for p in phrases))
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases])
+        words = "|".join(rf"(?<!\w){re.escape(p)}(?!\w)" for p in phrases)
+        return f"rlike({text}, {_quoted('(?U)' + words)})"
+    return "(" + " OR ".join(f"contains({text}, {_quoted(p)})" for p in phrases) + ")"
+
+
+# The tests are written as SQL text: hundreds of phrases are then one call into the JVM.
+
+def has_any(text: str, phrases: Sequence[str], word_boundary: bool = False) -> Column:
+    """True when one of the phrases is in the text column; stops at the first."""
+    return F.expr(_any_sql(text, phrases, word_boundary))
 
 
-def labels_found(text: Column, dictionary: Mapping[str, Sequence[str]], word_boundary: bool = False) -> Column:
-    """Labels with a phrase in the text, in dictionary order."""
-    found = F.array(*[F.when(has_any(text, ps, word_boundary), F.lit(label)) for label, ps in dictionary.items()])
-    return F.array_compact(found)
+def labels_found(text: str, dictionary: Mapping[str, Sequence[str]], word_boundary: bool = False) -> Column:
+    """Labels with a phrase in the text column, in dictionary order."""
+    cases = [f"CASE WHEN {_any_sql(text, ps, word_boundary)} THEN {_quoted(label)} END" for label, ps in dictionary.items()]
+    return F.expr(f"array_compact(array({', '.join(cases)}))")
 
 
-def first_label(text: Column, dictionary: Mapping[str, Sequence[str]]) -> Column:
-    """First label, in dictionary order, with a phrase in the text; else NULL."""
-    return F.coalesce(*[F.when(has_any(text, ps), F.lit(label)) for label, ps in dictionary.items()])
+def first_label(text: str, dictionary: Mapping[str, Sequence[str]]) -> Column:
+    """First label, in dictionary order, with a phrase in the text column; else NULL."""
+    cases = " ".join(f"WHEN {_any_sql(text, ps)} THEN {_quoted(label)}" for label, ps in dictionary.items())
+    return F.expr(f"CASE {cases} END")
 
 
 def lowered(df: DataFrame, text: str = "text", out: str = "_text") -> DataFrame:
@@ -47,7 +56,7 @@ def lowered(df: DataFrame, text: str = "text", out: str = "_text") -> DataFrame:
 def tag(df: DataFrame, text: str, dictionary: Mapping[str, Sequence[str]], out: str = "tags",
         word_boundary: bool = False) -> DataFrame:
     """Add the array of labels found in a text column."""
-    return lowered(df, text).withColumn(out, labels_found(F.col("_text"), dictionary, word_boundary)).drop("_text")
+    return lowered(df, text).withColumn(out, labels_found("_text", dictionary, word_boundary)).drop("_text")
 
 
 def feature_tags(q: DataFrame) -> DataFrame:
@@ -60,7 +69,7 @@ def spec_tags(q: DataFrame) -> DataFrame:
 
 def phrase_flags(q: DataFrame) -> DataFrame:
     """Does the question ask for a recommendation, a comparison, specifications?"""
-    t = F.col("_text")
+    t = "_text"
     return lowered(q).withColumns({
         "recommendation": has_any(t, D.RECOMMENDATION),
         "comparison": has_any(t, D.COMPARISON),
@@ -68,7 +77,7 @@ def phrase_flags(q: DataFrame) -> DataFrame:
     }).drop("_text")
 
 
-def score_list(text: Column, n_devices: Column, specs: Column, features: Column) -> Column:
+def score_list(text: str, n_devices: Column, specs: Column, features: Column) -> Column:
     """Intents as ``array<struct<ord, intent, score>>`` in the order they are found."""
     hits: list[tuple[str, Column, float]] = [
         ("device_search", n_devices > 0, 0.7),
@@ -90,11 +99,11 @@ def intent_scores(q: DataFrame) -> DataFrame:
     """Add the scored intents of each question; ``n_devices`` is 0 where it is missing."""
     n_devices = F.coalesce("n_devices", F.lit(0)) if "n_devices" in q.columns else F.lit(0)
     tagged = lowered(q).withColumns({
-        "_specs": labels_found(F.col("_text"), D.SPEC_REQUESTS),
-        "_features": labels_found(F.col("_text"), D.FEATURES),
+        "_specs": labels_found("_text", D.SPEC_REQUESTS),
+        "_features": labels_found("_text", D.FEATURES),
     })
     return tagged.withColumn(
-        "intents", score_list(F.col("_text"), n_devices, F.col("_specs"), F.col("_features"))
+        "intents", score_list("_text", n_devices, F.col("_specs"), F.col("_features"))
     ).drop("_text", "_specs", "_features")
 
 
@@ -125,7 +134,7 @@ def response_type(intents: Column, n_devices: Column) -> Column:
 def brand_focus(q: DataFrame, names: Sequence[str] = tuple(D.BRAND_NAMES)) -> DataFrame:
     """Add the first name of the list that is in the text."""
     return lowered(q).withColumn(
-        "brand_focus", first_label(F.col("_text"), {n: [n] for n in names})).drop("_text")
+        "brand_focus", first_label("_text", {n: [n] for n in names})).drop("_text")
 
 
 def tier_and_focus(q: DataFrame) -> DataFrame:
@@ -133,8 +142,8 @@ def tier_and_focus(q: DataFrame) -> DataFrame:
     last_first = {t: D.FEATURES[t] for t in reversed(D.TIERS)}
     others = {label: ps for label, ps in D.FEATURES.items() if label not in D.TIERS}
     return lowered(q).withColumns({
-        "tier": F.coalesce(first_label(F.col("_text"), last_first), F.lit("high_end")),
-        "focus_areas": labels_found(F.col("_text"), others),
+        "tier": F.coalesce(first_label("_text", last_first), F.lit("high_end")),
+        "focus_areas": labels_found("_text", others),
     }).drop("_text")
 
 
@@ -149,8 +158,9 @@ def conversation_categories(assistant_name: str | None = None) -> dict[str, list
 def conv_category(q: DataFrame, assistant_name: str | None = None) -> DataFrame:
     """Add the first category with a phrase in the text; none, or no text, is ``default``."""
     blank = F.coalesce(strip("text") == "", F.lit(True))
-    found = first_label(F.lower("text"), conversation_categories(assistant_name))
-    return q.withColumn("category", F.when(blank, F.lit("default")).otherwise(F.coalesce(found, F.lit("default"))))
+    found = first_label("_text", conversation_categories(assistant_name))
+    return q.withColumn("_text", F.lower("text")).withColumn(
+        "category", F.when(blank, F.lit("default")).otherwise(F.coalesce(found, F.lit("default")))).drop("_text")
 
 
 def cascade_category(q: DataFrame, pair_found: Column | None = None) -> DataFrame:
@@ -159,7 +169,7 @@ def cascade_category(q: DataFrame, pair_found: Column | None = None) -> DataFram
     ``pair_found`` tells whether brand and name of one catalogue row are both in
     the text (see ``mentions.first_pair_mention``); it only decides at the end.
     """
-    t = F.col("_text")
+    t = "_text"
     own = {f: D.FEATURES[f] for f in D.FEATURES if f in ("camera", "battery", "performance", "display")}
     asks = F.col("_asks")
     pair = pair_found if pair_found is not None else F.lit(False)
@@ -182,5 +192,6 @@ def feature_to_specs(q: DataFrame, features: str = "features") -> DataFrame:
     """One row per specification kind shown for a feature of the question."""
     known = F.create_map(*[x for f, kinds in D.FEATURE_SPECS.items()
                            for x in (F.lit(f), F.array(*[F.lit(k) for k in kinds]))])
-    pairs = q.withColumn("feature", F.explode(features)).withColumn("_kinds", F.try_element_at(known, F.col("feature")))
-    return pairs.select(*q.columns, "feature", F.posexplode("_kinds").alias("place", "spec_type"))
+    pairs = q.withColumn("feature", F.explode_outer(features)).withColumn("_kinds", F.try_element_at(known, F.col("feature")))
+    return pairs.select(*q.columns, "feature", F.posexplode_outer("_kinds").alias("place", "spec_type")).filter(
+        F.col("spec_type").isNotNull())

@@ -29,11 +29,11 @@ def analyze(q: DataFrame, cat: DataFrame, **kw) -> DataFrame:
         F.count(F.lit(1)).alias("n_devices"),
         F.min(F.struct(*_order())).alias("_a"))
     tagged = N.lowered(q).withColumns({
-        "features": N.labels_found(F.col("_text"), D.FEATURES),
-        "specifications": N.labels_found(F.col("_text"), D.SPEC_REQUESTS),
+        "features": N.labels_found("_text", D.FEATURES),
+        "specifications": N.labels_found("_text", D.SPEC_REQUESTS),
     }).join(best, "qid", "left").withColumn("n_devices", F.coalesce("n_devices", F.lit(0)).cast("bigint"))
     scored = tagged.withColumn("intents", N.score_list(
-        F.col("_text"), F.col("n_devices"), F.col("specifications"), F.col("features")))
+        "_text", F.col("n_devices"), F.col("specifications"), F.col("features")))
     return N.rank_intents(scored).withColumn(
         "response_type", N.response_type(F.col("intents"), F.col("n_devices"))
     ).select("qid", "text", "n_devices", F.col("_a.brand").alias("first_brand"), F.col("_a.device").alias("first_device"),
@@ -83,7 +83,7 @@ def compare(q: DataFrame, cat: DataFrame, specs: DataFrame, spec_order: str = "d
     two = docs.select(*[F.col(c).alias(f"{c}_2") for c in docs.columns])
     sided = (pairs.select("qid", F.col("d1.pos").alias("pos_1"), F.col("d2.pos").alias("pos_2"))
              .join(one, "pos_1").join(two, "pos_2").join(kinds, "qid"))
-    return sided.select("qid", "name_1", "name_2", "values_1", "values_2", F.posexplode("kinds").alias("place", "spec")).select(
+    return sided.select("qid", "name_1", "name_2", "values_1", "values_2", F.posexplode_outer("kinds").alias("place", "spec")).select(
         "qid", "place", "spec", F.col("name_1").alias("device_1"), F.try_element_at("values_1", F.col("spec")).alias("value_1"),
         F.col("name_2").alias("device_2"), F.try_element_at("values_2", F.col("spec")).alias("value_2"))
 

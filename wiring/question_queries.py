@@ -93,7 +93,7 @@ DICTS = (FLAGS, T.dict_cte("sdict", D.SPEC_REQUESTS), T.dict_cte("dict", D.FEATU
 @query("N4_intent_scores", ctes(T.ASKED, *DICTS, _intent_sql("asked", "0")) + """
 SELECT qid, intent, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY qid ORDER BY ord) - 1 AS place FROM scored""")
 def intent_scores(spark, d):
-    rows = N.intent_scores(T.asked(spark, d)).select("qid", F.posexplode("intents").alias("place", "i"))
+    rows = N.intent_scores(T.asked(spark, d)).select("qid", F.posexplode_outer("intents").alias("place", "i"))
     return rows.select("qid", "i.intent", "i.score", F.col("place").cast("bigint").alias("place"))
 
 
@@ -194,7 +194,7 @@ SHIPPED_SQL = [T.dict_cte(f"d_{n}", dic) for n, dic in SHIPPED.items()] + [
     + " FROM documents d")
 def shipped_dictionaries(spark, d):
     rows = N.lowered(T.table(spark, d, "documents"))
-    return rows.select("doc_id", *[_joined(N.labels_found(F.col("_text"), dic)).alias(n) for n, dic in SHIPPED.items()])
+    return rows.select("doc_id", *[_joined(N.labels_found("_text", dic)).alias(n) for n, dic in SHIPPED.items()])
 
 
 # ---- mentions -------------------------------------------------------------------
@@ -286,7 +286,7 @@ def compare_values(spark, d):
     """Every kind of every device as the text shown in comparisons."""
     docs = S.with_entries(S.with_nested(S.parse_specs(
         T.catalogue(spark, d).join(T.spec_documents(spark, d).drop("name"), "device_url"))))
-    return docs.select("pos", F.explode(S.comparison_texts(F.col("entries"))).alias("kind", "value"))
+    return docs.select("pos", F.explode_outer(S.comparison_texts(F.col("entries"))).alias("kind", "value"))
 
 
 @query("K7_compare_status", ctes(T.CAT, T.QUESTIONS, T.MATCHES) + """
