@@ -83,9 +83,22 @@ def _first(fragment: Column, pattern: str, group: int = 1) -> Column:
     return F.get(_all(fragment, pattern, group), F.lit(0))
 
 
-def spec_cell(html: Column, name: str) -> Column:
-    """Inside of the value cell marked with a ``data-spec`` name; NULL if there is none."""
-    return _first(html, rf'(?is)<td(?=[^>]*\bclass="[^"]*\bnfo\b)(?=[^>]*\bdata-spec="{name}")[^>]*>(.*?)</td>')
+MARKED = r'(?is)<td\b(?=[^>]*\bclass="[^"]*\bnfo\b)[^>]*?\bdata-spec="([^"]*)"[^>]*>(.*?)</td>'
+
+
+def marked_cells(html: Column) -> Column:
+    """All value cells that carry a ``data-spec`` name, found in one go."""
+    return F.struct(_all(html, MARKED, 1).alias("names"), _all(html, MARKED, 2).alias("bodies"))
+
+
+def spec_cell(marked: Column, name: str) -> Column:
+    """Inside of the first cell of a name; NULL if there is none."""
+    return F.get(marked["bodies"], (F.array_position(marked["names"], name) - 1).cast("int"))
+
+
+def with_content(pages: DataFrame) -> DataFrame:
+    """Add ``_html``, the page's content, and ``_marked``, its marked cells."""
+    return pages.withColumn("_html", content("html")).withColumn("_marked", marked_cells(F.col("_html")))
 
 
 # ---- links, listings, chains ---------------------------------------------------
@@ -138,11 +151,11 @@ def extract_listing(pages: DataFrame, base_url: str = DEFAULT_BASE_URL, section:
 
 def listing_count(pages: DataFrame) -> DataFrame:
     """Devices a listing says it has: the number in its heading, else its items."""
-    html = content("html")
+    html = F.col("_html")
     heading = text_of(F.coalesce(_first(section_of(html, "review-header"), r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit("")))
     stated = F.regexp_extract(heading, r"(\d+)\s+phones?", 1).try_cast("bigint")
     items = F.size(_all(section_of(html, "makers"), r"(?is)(<li\b)")).cast("bigint")
-    return pages.select("page_id", "url", F.coalesce(
+    return pages.withColumn("_html", content("html")).select("page_id", "url", F.coalesce(
         stated, F.when(section_of(html, "makers").isNotNull(), items), F.lit(0).cast("bigint")).alias("devices"))
 
 
@@ -259,7 +272,7 @@ def with_tables(pages: DataFrame) -> DataFrame:
         return F.struct(t["table_pos"].alias("table_pos"), t["cat"].alias("cat"),
                         F.transform(F.transform(data, texts), with_bands(t["cat"])).alias("rows"))
 
-    staged = pages.withColumn("_html", content("html")).withColumn(
+    staged = with_content(pages).withColumn(
         "_tables", F.transform(_all(F.col("_html"), r"(?is)<table\b[^>]*>(.*?)</table>"), raw_table))
     return staged.withColumn(
         "tables", F.transform(F.filter("_tables", lambda t: t["cat"].isNotNull()), clean_table)).drop("_tables")
@@ -327,36 +340,37 @@ def _promoted(field: str) -> Column:
     spec, cat, feature, _ = PROMOTED[field]
     rows = F.filter(_table_rows(F.col("folded"), cat), lambda r: r["feature"] == feature)
     from_table = F.get(F.transform(rows, _plain), F.size(rows) - 1)
-    return F.coalesce(text_of(spec_cell(F.col("_html"), spec)), from_table, F.lit(""))
+    return F.coalesce(text_of(spec_cell(F.col("_marked"), spec)), from_table, F.lit(""))
 
 
 def _camera(field: str) -> Column:
     spec, cat, features, _ = CAMERAS[field]
     rows = F.filter(_table_rows(F.col("folded"), cat), lambda r: r["feature"].isin(features))
     from_table = F.get(F.transform(rows, _plain), F.lit(0))
-    return F.coalesce(lines_of(spec_cell(F.col("_html"), spec)), from_table, F.lit(""))
+    return F.coalesce(lines_of(spec_cell(F.col("_marked"), spec)), from_table, F.lit(""))
 
 
 def promote_fields(pages: DataFrame) -> DataFrame:
     """Add the promoted text fields: the marked cell, else the table row, else ``''``."""
-    return with_folded(pages).withColumns({f: _promoted(f) for f in PROMOTED}).drop("_html", "tables", "folded")
+    return with_folded(pages).withColumns({f: _promoted(f) for f in PROMOTED}).drop("_html", "_marked", "tables", "folded")
 
 
 def promote_cameras(pages: DataFrame) -> DataFrame:
     """Add ``main_camera`` and ``selfie_camera``: the marked cell with its lines, else the first camera row."""
-    return with_folded(pages).withColumns({f: _camera(f) for f in CAMERAS}).drop("_html", "tables", "folded")
+    return with_folded(pages).withColumns({f: _camera(f) for f in CAMERAS}).drop("_html", "_marked", "tables", "folded")
 
 
 def price_info(pages: DataFrame, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     """Add ``price_info`` (JSON of text and link, ``{}`` without a price) and ``features_other``."""
-    return pages.withColumns({
-        "price_info": _price_json(content("html"), base_url),
-        "features_other": F.nullif(lines_of(spec_cell(content("html"), "featuresother")), F.lit("")),
-    })
+    other = lines_of(spec_cell(F.col("_marked"), "featuresother"))
+    return with_content(pages).withColumns({
+        "price_info": _price_json(F.col("_marked"), base_url),
+        "features_other": F.nullif(other, F.lit("")),
+    }).drop("_html", "_marked")
 
 
-def _price_json(html: Column, base_url: str) -> Column:
-    cell = spec_cell(html, "price")
+def _price_json(marked: Column, base_url: str) -> Column:
+    cell = spec_cell(marked, "price")
     href = F.nullif(_first(cell, r'(?is)<a\b[^>]*?\bhref="([^"]*)"'), F.lit(""))
     filled = F.to_json(F.struct(text_of(cell).alias("text"), resolve_url(href, base_url).alias("url")))
     return F.when(cell.isNull(), F.lit("{}")).otherwise(filled)
@@ -386,8 +400,8 @@ def picture_list(pages: DataFrame, galleries: DataFrame | None = None, base_url:
     Galleries are other stored pages, found by the URL made from the page's
     own. Only picture lists are shuffled for that, not pages.
     """
-    own = pages.select("page_id", "url", own_pictures(content("html"), base_url).alias("own"),
-                       gallery_url(url_base("url"), url_id("url"), base_url).alias("gallery"))
+    own = pages.select("page_id", "url", content("html").alias("_html")).select(
+        "page_id", "url", own_pictures(F.col("_html"), base_url).alias("own"), gallery_url(url_base("url"), url_id("url"), base_url).alias("gallery"))
     if galleries is None:
         return own.select("page_id", "url", F.col("own").alias("pictures"))
     more = galleries.select(F.col("url").alias("gallery"), F.filter(
@@ -469,7 +483,7 @@ def _detailed_entries(folded: Column, base_url: str) -> Column:
     named = {f: PROMOTED[f][3] for f in ("technology", "display_type", "dimensions", "os", "colors", "battery_type")}
     named |= {f: CAMERAS[f][3] for f in CAMERAS} | {"sensors": PROMOTED["sensors"][3]}
     promoted = [F.when(F.col(f) != "", _entry(F.lit(c), F.lit(k), json_quote(F.col(f)))) for f, (c, k) in named.items()]
-    other = F.nullif(lines_of(spec_cell(F.col("_html"), "featuresother")), F.lit(""))
+    other = F.nullif(lines_of(spec_cell(F.col("_marked"), "featuresother")), F.lit(""))
     price = F.nullif(F.col("price_info"), F.lit("{}"))
     tail = F.array(*promoted, F.when(other.isNotNull(), _entry(F.lit("features"), F.lit("other"), json_quote(other))),
                    F.when(price.isNotNull(), _entry(F.lit("price"), nothing, price)))
@@ -480,7 +494,7 @@ def assemble_records(pages: DataFrame, galleries: DataFrame | None = None, base_
     """Specification pages -> one full record each, in the 14-column layout plus ``detailed_specs``."""
     folded = with_folded(page_title(pages))
     fields = folded.withColumns({f: _promoted(f) for f in PROMOTED} | {f: _camera(f) for f in CAMERAS}).withColumn(
-        "price_info", _price_json(F.col("_html"), base_url))
+        "price_info", _price_json(F.col("_marked"), base_url))
     records = fields.select(
         "page_id", F.col("url").alias("device_url"), F.col("title").alias("name"),
         F.to_json(own_pictures(F.col("_html"), base_url)).alias("pictures"),

@@ -1 +1,168 @@
-"""."""
+"""Access keys, request logs, status events; batch and streaming."""
+
+from pyspark.sql import functions as F
+
+from devicelode.functions import tier_limit, valid_tier
+from devicelode.operators import usage as U
+from devicelode.session import scratch_path
+from devicelode.sources.sinks import overwrite_swap, read_current
+from devicelode.streaming import streams as S
+from wiring import page_queries
+from wiring import tables as T
+from wiring.registry import ctes, query
+
+
+def _keys(spark, d):
+    return T.table(spark, d, "customer").select(
+        F.col("c_name").alias("access_key"), valid_tier(F.lower("c_mktsegment")).alias("tier0"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("premium")).when(F.col("c_mktsegment") != "MACHINERY", F.lit("basic")).otherwise(
+            F.lit("trial")).alias("tier"), F.abs("c_acctbal").cast("bigint").alias("usage_count"))
+
+
+@query("G3_usage_summary", """
+SELECT count(*) AS total_keys, count(*) FILTER (WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) AS basic_keys,
+       count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS premium_keys, CAST(sum(CAST(trunc(abs(c_acctbal)) AS BIGINT)) AS BIGINT) AS total_requests FROM customer""")
+def usage_summary(spark, d):
+    return U.usage_summary(_keys(spark, d))
+
+
+@query("W10_usage_running", ctes(T.LOG) + """
+SELECT event_id, key, count(*) OVER (PARTITION BY key ORDER BY ts, event_id) AS usage_count, max(ts) OVER (PARTITION BY key ORDER BY ts, event_id) AS last_used FROM log""")
+def usage_running(spark, d):
+    return U.usage_running(T.access_log(spark, d)).select("event_id", "key", "usage_count", "last_used")
+
+
+@query("M1_usage_totals", ctes(T.LOG) + "SELECT key, count(*) AS usage_count, max(ts) AS last_used FROM log GROUP BY key")
+def usage_totals(spark, d):
+    return U.usage_totals(T.access_log(spark, d))
+
+
+AUDIT = """SELECT client, route, time_bucket({w}, ts) AS window_start, count(*) AS requests, {allowed} AS allowed,
+  greatest(count(*) - {allowed}, 0) AS refused FROM log GROUP BY 1, 2, 3"""
+
+
+@query("M2_rate_audit_minute", ctes(T.LOG) + AUDIT.format(
+    w="INTERVAL 1 MINUTE", allowed="CAST(CASE WHEN any_value(tier) = 'premium' THEN 300 ELSE 60 END AS BIGINT)"))
+def rate_audit_minute(spark, d):
+    return U.rate_audit(T.access_log(spark, d))
+
+
+@query("M2_rate_audit_day", ctes(T.LOG) + AUDIT.format(w="INTERVAL 1 DAY", allowed="CAST(1 AS BIGINT)"))
+def rate_audit_day(spark, d):
+    """A limit low enough to be passed often."""
+    return U.rate_audit(T.access_log(spark, d), "1 day", limit=1)
+
+
+@query("M3_latest_status", """
+SELECT user_id, event_id, ts, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1""")
+def latest_status(spark, d):
+    e = T.table(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    return U.latest_status(e, ["user_id"])
+
+
+FOLD = """SELECT event_id, user_id, coalesce(last_value(message IGNORE NULLS) OVER w, '-') AS message,
+  coalesce(last_value(progress IGNORE NULLS) OVER w, -1.0) AS progress, coalesce(last_value(devices_processed IGNORE NULLS) OVER w, -1) AS devices_processed
+FROM status WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+FIELDS = ["message", "progress", "devices_processed"]
+
+
+def _filled(df, *cols):
+    return df.select(*cols, F.coalesce("message", F.lit("-")).alias("message"), F.coalesce("progress", F.lit(-1.0)).alias("progress"),
+                     F.coalesce("devices_processed", F.lit(-1)).cast("bigint").alias("devices_processed"))
+
+
+@query("M6_fold_status", ctes(T.STATUS) + FOLD)
+def fold_status(spark, d):
+    return _filled(U.fold_status(T.status_events(spark, d), FIELDS, ["user_id"]), "event_id", "user_id")
+
+
+# ---- streams ------------------------------------------------------------------------
+
+def _event_stream(spark, d):
+    schema = T.table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def _run(spark, stream, keys):
+    out, ckpt = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    S.start_keyed(stream, out, ckpt).awaitTermination()
+    return S.latest_table(spark, out, keys)
+
+
+@query("M1_usage_stream", ctes(T.LOG) + "SELECT key, count(*) AS usage_count, max(ts) AS last_used FROM log GROUP BY key")
+def usage_stream(spark, d):
+    log = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("key"), "ts")
+    return _run(spark, S.usage_stream(log), ["key"])
+
+
+@query("M2_rate_audit_stream", ctes(T.LOG) + AUDIT.format(w="INTERVAL 1 DAY", allowed="CAST(1 AS BIGINT)"))
+def rate_audit_stream(spark, d):
+    log = _event_stream(spark, d).select("ts", F.col("user_id").alias("client"), F.col("event_type").alias("route"), F.lit("basic").alias("tier"))
+    return _run(spark, S.rate_audit_stream(log, "1 day", limit=1), ["client", "route", "window_start"])
+
+
+@query("M3_latest_status_stream", """
+SELECT event_type, max(ts) AS ts, max_by(event_id, ts) AS event_id FROM events GROUP BY event_type""")
+def latest_status_stream(spark, d):
+    return _run(spark, S.latest_status_stream(_event_stream(spark, d).select("event_type", "event_id", "ts"), ["event_type"]), ["event_type"])
+
+
+@query("M5_dedupe_batch", "SELECT DISTINCT user_id AS device_url FROM events")
+def dedupe_batch(spark, d):
+    return T.table(spark, d, "events").select(F.col("user_id").alias("device_url")).dropDuplicates(["device_url"])
+
+
+@query("M5_dedupe_stream", "SELECT DISTINCT user_id AS device_url FROM events")
+def dedupe_stream(spark, d):
+    rows = _event_stream(spark, d).select(F.col("user_id").alias("device_url"), "ts")
+    out, ckpt = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    once = S.dedupe_stream(rows, delay="60 days")
+    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("device_url")
+
+
+@query("M6_fold_status_stream", ctes(T.STATUS) + """
+SELECT user_id, coalesce(max_by(message, ts) FILTER (WHERE message IS NOT NULL), '-') AS message,
+       coalesce(max_by(progress, ts) FILTER (WHERE progress IS NOT NULL), -1.0) AS progress,
+       coalesce(max_by(devices_processed, ts) FILTER (WHERE devices_processed IS NOT NULL), -1) AS devices_processed FROM status GROUP BY user_id""")
+def fold_status_stream(spark, d):
+    e = _event_stream(spark, d).select(
+        "event_id", "ts", "user_id", F.when(F.col("event_type") == "view", F.concat(F.lit("seen "), "event_id")).alias("message"),
+        F.when(F.col("event_type") == "click", F.col("value")).alias("progress"),
+        F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("devices_processed"))
+    return _filled(_run(spark, S.fold_status_stream(e, FIELDS, ["user_id"]), ["user_id"]), "user_id")
+
+
+@query("M4_ingest_stream", """
+SELECT CASE WHEN p_partkey % 4 = 0 THEN 'new' ELSE 'updated' END AS state, count(*) AS n FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 3 <> 0 GROUP BY 1
+UNION ALL SELECT 'kept', count(*) FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 = 0
+UNION ALL SELECT 'tracked', count(*) FROM part UNION ALL SELECT 'specs', count(*) FROM part""")
+def ingest_stream(spark, d):
+    """Listings arrive as a stream; a quarter of the devices is new, a third is tracked already."""
+    cat = T.named_catalogue(spark, d)
+    root, inbox = scratch_path(spark, "tables"), scratch_path(spark, "inbox")
+    old = cat.filter("pos % 4 <> 0")
+    empty_specs = ["device_url", "name", "pictures", "specifications"]
+    specs = old.select("device_url", F.lit("old").alias("name"), F.lit("[]").alias("pictures"), F.lit("{}").alias("specifications"))
+    ledger = old.filter("pos % 3 = 0").select("device_url", F.lit("2024-01-01").cast("timestamp").alias("last_updated"), F.col("brand_name").alias("brand"))
+    for name, df in (("catalogue", old), ("specs", specs.select(*empty_specs)), ("ledger", ledger)):
+        overwrite_swap(df, f"{root}/{name}")
+    cat.write.parquet(inbox)
+    listing = spark.readStream.schema(cat.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    S.ingest_stream(listing, page_queries.spec_pages(spark, d), root, scratch_path(spark, "stream-state"), "2025-05-01").awaitTermination()
+    now = read_current(spark, f"{root}/specs").join(old.select("device_url", F.lit(True).alias("was")), "device_url", "left")
+    state = F.when(F.col("was").isNull(), F.lit("new")).when(F.col("name") == "old", F.lit("kept")).otherwise(F.lit("updated"))
+    count = F.count(F.lit(1)).alias("n")
+    return (now.groupBy(state.alias("state")).agg(count)
+            .unionByName(read_current(spark, f"{root}/ledger").select(F.lit("tracked").alias("state")).groupBy("state").agg(count))
+            .unionByName(now.select(F.lit("specs").alias("state")).groupBy("state").agg(count)))
+
+
+@query("S15_tiers", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'premium' ELSE 'basic' END AS tier, CAST(CASE WHEN c_custkey % 3 = 0 THEN 300 ELSE 60 END AS BIGINT) AS per_minute FROM customer""")
+def tiers(spark, d):
+    k = F.col("c_custkey")
+    given = F.when(k % 3 == 0, F.lit("premium")).when(k % 3 == 1, F.lit("gold"))
+    c = T.table(spark, d, "customer").select("c_custkey", valid_tier(given).alias("tier"))
+    return c.withColumn("per_minute", tier_limit("tier").cast("bigint"))
