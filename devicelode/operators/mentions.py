@@ -119,32 +119,33 @@ def match_partial(q: DataFrame, names: DataFrame, cat: DataFrame, n: int = 10, *
     the catalogue takes the rows whose brand and device name hold the asked
     ones. Exact matches are all kept.
     """
-    asked = names.select("qid", F.lower("brand").alias("brand"), F.lower("device").alias("device")).distinct()
     rows = cat.withColumns({"_b": F.lower("brand_name"), "_d": F.lower("device_name")})
-    wanted = asked.select("brand", "device").distinct()
-
-    exact_pairs = wanted.join(rows.select(F.col("_b").alias("brand"), F.col("_d").alias("device")).distinct(),
-                              ["brand", "device"], "left_semi")
-    answered = asked.join(exact_pairs, ["brand", "device"], "left_semi").select("qid").distinct()
-    exact = (asked.join(exact_pairs, ["brand", "device"], "left_semi")
-             .join(rows, (F.col("brand") == F.col("_b")) & (F.col("device") == F.col("_d")))
+    full_names = rows.select("_b", "_d").distinct()
+    asked = names.select("qid", F.lower("brand").alias("brand"), F.lower("device").alias("device")).join(
+        full_names.select(F.col("_b").alias("brand"), F.col("_d").alias("device"), F.lit(True).alias("known")),
+        ["brand", "device"], "left")
+    # The names of one question, and whether any of them is in the catalogue.
+    asked = asked.groupBy("qid").agg(
+        F.collect_set(F.struct("brand", "device", F.coalesce("known", F.lit(False)).alias("known"))).alias("names"),
+        F.max(F.coalesce("known", F.lit(False))).alias("answered")
+    ).select("qid", "answered", F.inline("names"))
+    exact = (asked.filter("known").join(rows, (F.col("brand") == F.col("_b")) & (F.col("device") == F.col("_d")))
              .select("qid", *cat.columns, F.lit("exact").alias("how")))
 
     # The asked name is the part, the catalogue name the text. Rows of the same
     # name are one text; each asked name needs only its first n rows.
-    open_asked = asked.join(answered, "qid", "left_anti")
+    open_asked = asked.filter(~F.col("answered")).select("qid", "brand", "device")
     parts = open_asked.select("brand", "device").distinct().select(
         F.lit(0).cast("bigint").alias("pos"), F.col("brand").alias("brand_name"), F.col("device").alias("device_name"))
-    full_names = rows.select("_b", "_d").distinct().select(
-        F.struct("_b", "_d").alias("qid"), F.col("_d").alias("text"))
-    held = (name_matches(full_names, parts, **kw)
+    texts = full_names.select(F.struct("_b", "_d").alias("qid"), F.col("_d").alias("text"))
+    held = (name_matches(texts, parts, **kw)
             .filter(F.contains(F.col("qid._b"), F.col("brand")))
             .select("brand", "device", F.col("qid._b").alias("_b"), F.col("qid._d").alias("_d")))
     first_of_name = W.partitionBy("brand", "device").orderBy("pos")
-    firsts = (held.join(rows, ["_b", "_d"]).withColumn("_n", F.row_number().over(first_of_name))
-              .filter(F.col("_n") <= n).select("brand", "device", *cat.columns))
+    firsts = (held.join(rows.select("_b", "_d", "pos"), ["_b", "_d"]).withColumn("_n", F.row_number().over(first_of_name))
+              .filter(F.col("_n") <= n).select("brand", "device", "pos"))
     place = W.partitionBy("qid").orderBy("pos")
-    partial = (open_asked.join(firsts, ["brand", "device"]).select("qid", *cat.columns).distinct()
+    partial = (open_asked.join(firsts, ["brand", "device"]).select("qid", "pos").distinct()
                .withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= n)
-               .select("qid", *cat.columns, F.lit("partial").alias("how")))
+               .join(cat, "pos").select("qid", *cat.columns, F.lit("partial").alias("how")))
     return exact.unionByName(partial)

@@ -22,8 +22,13 @@ NO_MATCH = "Not specified"
 
 
 def as_map(c: Column | str) -> Column:
-    """JSON object text -> map of raw texts in key order; NULL for anything else."""
-    return F.from_json(c, RAW_MAP)
+    """JSON object text -> map of raw texts in key order; NULL for anything else.
+
+    Most values are plain text; they are told by their first character, which
+    costs far less than a failed parse.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.ltrim(c).startswith("{"), F.from_json(c, RAW_MAP))
 
 
 def parse_specs(df: DataFrame, column: str = "specifications", out: str = "specs") -> DataFrame:

@@ -79,13 +79,17 @@ def compare(q: DataFrame, cat: DataFrame, specs: DataFrame, spec_order: str = "d
     used = pairs.select(F.explode(F.array("d1.pos", "d2.pos")).alias("pos")).distinct()
     docs = _documents(cat.join(used, "pos", "left_semi"), specs, spec_order).select(
         "pos", F.concat("brand_name", F.lit(" "), "device_name").alias("name"), S.comparison_texts(F.col("entries")).alias("values"))
-    one = docs.select(*[F.col(c).alias(f"{c}_1") for c in docs.columns])
-    two = docs.select(*[F.col(c).alias(f"{c}_2") for c in docs.columns])
-    sided = (pairs.select("qid", F.col("d1.pos").alias("pos_1"), F.col("d2.pos").alias("pos_2"))
-             .join(one, "pos_1").join(two, "pos_2").join(kinds, "qid"))
-    return sided.select("qid", "name_1", "name_2", "values_1", "values_2", F.posexplode_outer("kinds").alias("place", "spec")).select(
-        "qid", "place", "spec", F.col("name_1").alias("device_1"), F.try_element_at("values_1", F.col("spec")).alias("value_1"),
-        F.col("name_2").alias("device_2"), F.try_element_at("values_2", F.col("spec")).alias("value_2"))
+    sides = pairs.select("qid", F.explode(F.array(
+        F.struct(F.lit(1).alias("side"), F.col("d1.pos").alias("pos")),
+        F.struct(F.lit(2).alias("side"), F.col("d2.pos").alias("pos")))).alias("s")).select("qid", "s.side", "s.pos")
+    shown = F.struct("name", "values")
+    both = sides.join(docs, "pos").groupBy("qid").agg(
+        F.any_value(F.when(F.col("side") == 1, shown), True).alias("one"),
+        F.any_value(F.when(F.col("side") == 2, shown), True).alias("two"))
+    return both.join(kinds, "qid").select("qid", "one", "two", F.posexplode_outer("kinds").alias("place", "spec")).select(
+        "qid", "place", "spec",
+        F.col("one.name").alias("device_1"), F.try_element_at("one.values", F.col("spec")).alias("value_1"),
+        F.col("two.name").alias("device_2"), F.try_element_at("two.values", F.col("spec")).alias("value_2"))
 
 
 def device_answers(q: DataFrame, cat: DataFrame, specs: DataFrame, spec_order: str = "device_url", **kw) -> DataFrame:

@@ -51,3 +51,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, when their files give fewer partitions than there are cores.
+
+    For small inputs ahead of costly work per row; a large input has partitions
+    enough and passes as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

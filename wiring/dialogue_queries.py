@@ -117,7 +117,7 @@ def tfidf_category(spark, d):
     """Rendered texts; stored responses weigh two of the categories."""
     openings = ["perfect jobs", "your purposes name", "created a name", "questions", "feelings", "terribles", "me tell", "understand",
                 "until next", "identity", "is mean", "you appreciate it", "ggg", "my praise", "thank you very"]
-    q = T.table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.concat(
+    q = T.wide_table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.concat(
         T.pick(openings, F.col("doc_id") % 15), F.lit(" "), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.lit(""))).alias("text"))
     k = F.col("c_nationkey") % 3
     store = T.table(spark, d, "customer").select(

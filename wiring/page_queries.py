@@ -68,7 +68,7 @@ listing AS (
 
 def spec_pages(spark, d):
     """One specification page for each part."""
-    p = T.table(spark, d, "part")
+    p = T.wide_table(spark, d, "part")
     k, s, t = F.col("p_partkey"), F.col("p_size"), F.col("p_type")
     row = lambda f, v, spec="": _cat('<tr><td class="ttl"><a href="g.php">', f, f'</a></td><td class="nfo"{spec}>', v, "</td></tr>")
     more = lambda v: _cat('<tr><td class="ttl">&nbsp;</td><td class="nfo">', v, "</td></tr>")
@@ -114,7 +114,7 @@ SELECT page_id, n - 1 AS pos, href[n] AS href, text[n] AS text FROM (
   SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS href, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS text FROM pages)
 CROSS JOIN LATERAL (SELECT unnest(range(1, len(href) + 1)) AS n)""")
 def extract_links(spark, d):
-    return E.extract_links(T.table(spark, d, "pages")).withColumn("pos", F.col("pos").cast("bigint"))
+    return E.extract_links(T.wide_table(spark, d, "pages")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("E2_extract_brands", ctes(T.CAT, T.NAMED, T.BRAND_ROWS) + "SELECT name, url, device_count FROM brands")
@@ -244,7 +244,7 @@ def picture_list(spark, d):
 SELECT page_id, trim(replace(replace(replace(regexp_replace(coalesce(regexp_extract(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g'),
   '(?is)<h1[^>]*>(.*?)</h1>', 1), ''), '(?s)<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&amp;', '&')) AS title FROM pages""")
 def page_title(spark, d):
-    return E.page_title(T.table(spark, d, "pages")).select("page_id", "title")
+    return E.page_title(T.wide_table(spark, d, "pages")).select("page_id", "title")
 
 
 @query("E13_listing_count", ctes(T.CAT, T.NAMED, LISTINGS) + "SELECT page_id, CASE WHEN page % 2 = 0 THEN page + 7 ELSE items END AS devices FROM listing")

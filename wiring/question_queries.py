@@ -8,6 +8,8 @@ from devicelode.operators import specs as S
 from devicelode.operators import tagging as N
 from devicelode.plans import questions as P
 from wiring import tables as T
+from wiring.catalogue_queries import FOCUSES
+from wiring.spec_queries import FACTS
 from wiring.registry import ctes, query
 
 FEATURES = (T.dict_cte("dict", D.FEATURES), T.found_cte("found", "asked", "qid", "dict"))
@@ -20,7 +22,7 @@ def _joined(c):
 @query("J10_tag", ctes(T.dict_cte("dict", D.SENTIMENT), T.found_cte("found", "documents", "doc_id", "dict")) + """
 SELECT doc_id, coalesce(string_agg(label, ',' ORDER BY label_pos), '') AS tags FROM documents LEFT JOIN found USING (doc_id) GROUP BY doc_id""")
 def tag(spark, d):
-    return N.tag(T.table(spark, d, "documents"), "text", D.SENTIMENT).select("doc_id", _joined("tags").alias("tags"))
+    return N.tag(T.wide_table(spark, d, "documents"), "text", D.SENTIMENT).select("doc_id", _joined("tags").alias("tags"))
 
 
 @query("J10_tag_whole_words", """
@@ -28,7 +30,7 @@ SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_à-ÿœß])(the|of)($|[^
        regexp_matches(lower(text), '(^|[^a-z0-9_à-ÿœß])(und|der)($|[^a-z0-9_à-ÿœß])') AS german FROM documents""")
 def tag_whole_words(spark, d):
     dictionary = {"english": ["the", "of"], "german": ["und", "der"]}
-    rows = N.tag(T.table(spark, d, "documents"), "text", dictionary, word_boundary=True)
+    rows = N.tag(T.wide_table(spark, d, "documents"), "text", dictionary, word_boundary=True)
     return rows.select("doc_id", *[F.array_contains("tags", c).alias(c) for c in dictionary])
 
 
@@ -41,7 +43,7 @@ def feature_tags(spark, d):
 @query("N1_feature_tags_documents", ctes(T.dict_cte("dict", D.FEATURES), T.found_cte("found", "documents", "doc_id", "dict")) + """
 SELECT doc_id, coalesce(string_agg(label, ',' ORDER BY label_pos), '') AS features FROM documents LEFT JOIN found USING (doc_id) GROUP BY doc_id""")
 def feature_tags_documents(spark, d):
-    return N.feature_tags(T.table(spark, d, "documents")).select("doc_id", _joined("features").alias("features"))
+    return N.feature_tags(T.wide_table(spark, d, "documents")).select("doc_id", _joined("features").alias("features"))
 
 
 @query("N2_spec_tags", ctes(T.ASKED, T.dict_cte("dict", D.SPEC_REQUESTS), T.found_cte("found", "asked", "qid", "dict")) + """
@@ -193,7 +195,7 @@ SHIPPED_SQL = [T.dict_cte(f"d_{n}", dic) for n, dic in SHIPPED.items()] + [
     f"coalesce((SELECT string_agg(label, ',' ORDER BY label_pos) FROM f_{n} f WHERE f.doc_id = d.doc_id), '') AS {n}" for n in SHIPPED)
     + " FROM documents d")
 def shipped_dictionaries(spark, d):
-    rows = N.lowered(T.table(spark, d, "documents"))
+    rows = N.lowered(T.wide_table(spark, d, "documents"))
     return rows.select("doc_id", *[_joined(N.labels_found("_text", dic)).alias(n) for n, dic in SHIPPED.items()])
 
 
@@ -297,7 +299,35 @@ def compare_status(spark, d):
     return P.compare_status(T.questions(spark, d), T.catalogue(spark, d))
 
 
-@query("R1_recommend", None)
+RECOMMEND = f"""asked_about AS (
+  SELECT qid, {TIER_SQL} AS tier FROM asked LEFT JOIN found USING (qid) GROUP BY qid),
+brand_names AS (SELECT unnest({T.sql_list(D.BRAND_NAMES)}) AS name, generate_subscripts({T.sql_list(D.BRAND_NAMES)}, 1) AS place),
+about_brand AS (SELECT qid, coalesce(min_by(name, place), '') AS brand_focus FROM asked LEFT JOIN brand_names ON contains(lower(text), name) GROUP BY qid),
+shown AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand_focus, tier ORDER BY rank) AS place FROM tiers) WHERE place <= 5),
+offers AS (SELECT a.qid, s.* FROM asked_about a JOIN about_brand b USING (qid) JOIN shown s ON s.tier = a.tier AND s.brand_focus = b.brand_focus),
+focus AS (SELECT qid, label, label_pos FROM found WHERE label_pos > 2),
+fact_lines AS (
+  SELECT pos, 'camera' AS area, 0 AS n, 'Main camera: ' || camera AS line FROM facts WHERE camera IS NOT NULL
+  UNION ALL SELECT pos, 'battery', 1, 'Battery: ' || battery FROM facts WHERE battery IS NOT NULL
+  UNION ALL SELECT pos, 'performance', 2, 'Processor: ' || performance FROM facts
+  UNION ALL SELECT pos, 'display', 3, 'Display: ' || display FROM facts
+  UNION ALL SELECT pos, 'storage', 4, 'Storage: ' || storage FROM facts),
+lines AS (
+  SELECT o.qid, o.pos, n, line FROM offers o JOIN fact_lines l ON l.pos = o.pos
+  WHERE o.qid NOT IN (SELECT qid FROM focus) OR EXISTS (SELECT 1 FROM focus f WHERE f.qid = o.qid AND f.label = l.area)
+  UNION ALL
+  SELECT o.qid, o.pos, 100 * f.label_pos + s.co, upper(f.label[1]) || f.label[2:] || CASE WHEN s.key IS NULL THEN ': ' ELSE ' - ' || s.key || ': ' END || s.value
+  FROM offers o JOIN focus f ON f.qid = o.qid AND f.label NOT IN ('camera', 'battery', 'performance', 'display', 'storage')
+  JOIN spec_rows s ON s.pos = o.pos AND contains(lower(s.cat), f.label) AND coalesce(s.ko, 0) = 0),
+told AS (SELECT qid, pos, string_agg(line, ' | ' ORDER BY n) AS text FROM lines GROUP BY qid, pos),
+areas AS (SELECT qid, string_agg(label, ', ' ORDER BY label_pos) AS list FROM focus GROUP BY qid)"""
+
+
+@query("R1_recommend", ctes(T.CAT, T.NAMED, FOCUSES, T.ASKED, *FEATURES, FACTS, T.SPEC_ROWS, RECOMMEND) + """
+SELECT o.qid, o.place, o.tier, o.brand_focus, o.device_url, coalesce(t.text, 'A great choice for ' || a.list, CASE o.tier WHEN 'high_end' THEN
+  'Premium flagship device' WHEN 'mid_range' THEN 'Great value mid-range device' ELSE 'Affordable device with good features' END) AS highlights
+FROM offers o LEFT JOIN told t ON t.qid = o.qid AND t.pos = o.pos LEFT JOIN areas a ON a.qid = o.qid""")
 def recommend(spark, d):
     out = P.recommend(T.asked(spark, d).select("qid", "text"), T.named_catalogue(spark, d), T.spec_documents(spark, d))
     return out.select("qid", F.col("place").cast("bigint").alias("place"), "tier", "brand_focus", "device_url",

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from devicelode.session import spread
+
 BASE = "https://www.example.com/"
 
 # Names given to the 25 brand codes.
@@ -27,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table ahead of costly work per row: its small file is spread over the cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def sql_list(items: list[str]) -> str:
     return "[" + ", ".join("'" + i.replace("'", "''") + "'" for i in items) + "]"
 
@@ -130,7 +137,7 @@ def spec_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, _field("Sound design", _json_object(("Loudspeaker", F.lit("Yes")), ("type", F.lit("stereo"))))),
         F.when(k % 7 == 0, _field("software", quoted(F.lit("stock")))),
     ))
-    return table(spark, sf_dir, "part").select(
+    return wide_table(spark, sf_dir, "part").select(
         part_url().alias("device_url"), F.concat("p_name", F.lit(" "), k).alias("name"),
         F.concat(F.lit("['p"), k, F.lit(".jpg', 'q"), k, F.lit(".jpg']")).alias("pictures"),
         F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")).alias("specifications"))
@@ -172,7 +179,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = catalogue(spark, sf_dir)
     a = cat.select(F.col("pos").alias("ka"), F.col("brand_name").alias("ba"), F.col("device_name").alias("da"))
     b = cat.select(F.col("pos").alias("kb"), F.col("brand_name").alias("bb"), F.col("device_name").alias("db"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 200).alias("kb"))
+    o = wide_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 200).alias("kb"))
     m = F.col("o_orderkey") % 5
     sp = F.lit(" ")
     body = (
@@ -212,7 +219,7 @@ ranked AS (
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message of the conversations behind a rendered opening."""
-    c = table(spark, sf_dir, "conversations")
+    c = wide_table(spark, sf_dir, "conversations")
     at = (F.col("conv_id") + F.col("turn") * 3) % len(OPENINGS)
     return c.select("conv_id", "turn", F.concat(pick(OPENINGS, at), F.lit(" "), "text").alias("text"),
                     (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "role")
