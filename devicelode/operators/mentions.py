@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from devicelode.functions import strip
 from devicelode.operators.ordered import within_rows
+from devicelode.session import checkpointed
 
 GRAM = 6
 # Name tables up to this size are sent to every executor; larger ones are shuffled.
@@ -30,10 +31,13 @@ def pieces(text: Column, size: int) -> Column:
 def name_keys(names: DataFrame, name: str = "device") -> DataFrame:
     """``(name, gram)``: the piece by which each distinct name is found."""
     distinct = names.select(name).distinct()
-    grams = distinct.filter(F.length(name) >= GRAM).select(
-        name, F.posexplode_outer(pieces(F.col(name), GRAM)).alias("at", "gram"))
+    # The outer form: a plain explode would first test for an empty list, making all pieces twice.
+    grams = distinct.filter(F.length(name) >= GRAM).select(name, F.explode_outer(pieces(F.col(name), GRAM)).alias("gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
-    rarest = grams.join(shared, "gram").groupBy(name).agg(F.min_by("gram", F.struct("names", "at")).alias("gram"))
+    # Fewest names first, then the place in the name: one number, so that plain hashing does.
+    fewest = F.col("names") * (1 << 31) + F.instr(F.col(name), F.col("gram"))
+    rarest = grams.join(shared, "gram").groupBy(name).agg(F.min(fewest).alias("_best")).select(
+        name, F.substring(F.col(name), (F.col("_best") % (1 << 31)).cast("int"), F.lit(GRAM)).alias("gram"))
     return rarest.unionByName(distinct.filter(F.length(name) < GRAM).select(name, F.col(name).alias("gram")))
 
 
@@ -61,7 +65,6 @@ def name_matches(q: DataFrame, cat: DataFrame, broadcast_names: int = BROADCAST_
     keys = name_keys(names)
     lengths = names.filter(F.length("device") < GRAM).agg(F.collect_set(F.length("device"))).scalar()
     texts = q.select("qid", strip(F.lower("text")).alias("_text")).filter(F.col("_text").isNotNull())
-    # The outer form: a plain explode would first test for an empty list, making all pieces twice.
     grams = F.explode_outer(text_grams(F.col("_text"), lengths)).alias("gram")
 
     keyed = names.join(keys, "device")
@@ -125,10 +128,11 @@ def match_partial(q: DataFrame, names: DataFrame, cat: DataFrame, n: int = 10, *
         full_names.select(F.col("_b").alias("brand"), F.col("_d").alias("device"), F.lit(True).alias("known")),
         ["brand", "device"], "left")
     # The names of one question, and whether any of them is in the catalogue.
-    asked = asked.groupBy("qid").agg(
+    # Used three times below, one of them to see how many names are asked for.
+    asked = checkpointed(asked.groupBy("qid").agg(
         F.collect_set(F.struct("brand", "device", F.coalesce("known", F.lit(False)).alias("known"))).alias("names"),
         F.max(F.coalesce("known", F.lit(False))).alias("answered")
-    ).select("qid", "answered", F.inline("names"))
+    ).select("qid", "answered", F.inline("names")))
     exact = (asked.filter("known").join(rows, (F.col("brand") == F.col("_b")) & (F.col("device") == F.col("_d")))
              .select("qid", *cat.columns, F.lit("exact").alias("how")))
 
