@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from devicelode.functions import strip
 from devicelode.operators.ordered import BUCKET_ROWS, look_back
 from devicelode.operators.tagging import conv_category, conversation_categories
+from devicelode.session import checkpointed
 
 ASSISTANT = "Assistant"
 
@@ -121,30 +122,39 @@ def tfidf_category(q: DataFrame, responses: DataFrame | None = None, assistant_n
             F.count(F.lit(1)).alias("_more"))
         patterns = patterns.join(more, "owner", "left").withColumn(
             "weight", F.col("weight") + F.coalesce("_more", F.lit(0))).drop("_more")
+    # The patterns come from fixed lists, about a hundred, whatever the data: safe to broadcast.
+    patterns = checkpointed(patterns.select("place", "pattern", "category", "weight"))
     n = patterns.agg(F.sum("weight") + 1).scalar()
 
-    pattern_terms = _terms(patterns.select("place", "pattern", "weight"), ["place", "weight"], "pattern")
-    df_of = pattern_terms.groupBy("term").agg(F.sum("weight").alias("df"))
-
     def idf(df):
         return F.when(df <= F.lit(MAX_DF) * n, F.log((F.lit(1) + n) / (df + 1)) + 1).otherwise(F.lit(0.0))
 
-    weighed = pattern_terms.join(df_of, "term").withColumns({"idf_out": idf(F.col("df")), "idf_in": idf(F.col("df") + 1)})
+    pattern_terms = _terms(patterns.select("place", "weight", "pattern"), ["place", "weight"], "pattern")
+    df_of = pattern_terms.groupBy("term").agg(F.sum("weight").alias("df"))
+    weighed = checkpointed(pattern_terms.join(df_of, "term").select(
+        "place", "term", "df", "tf", idf(F.col("df")).alias("idf_out"), idf(F.col("df") + 1).alias("idf_in")))
     base = weighed.groupBy("place").agg(F.sum(F.pow(F.col("tf") * F.col("idf_out"), 2)).alias("base"))
+    vocabulary = weighed.groupBy("term").agg(
+        F.max("df").alias("df"), F.collect_list(F.struct("place", "tf", "idf_in", "idf_out")).alias("used_in"))
 
     open_q = by_phrase.filter((F.col("category") == "default") & (strip("text") != "")).select("qid", "text")
-    mine = _terms(open_q, ["qid"], "text").join(df_of, "term", "left").withColumn(
+    mine = _terms(open_q, ["qid"], "text").join(F.broadcast(vocabulary), "term", "left").withColumn(
         "w", F.col("tf") * idf(F.coalesce("df", F.lit(0)) + 1))
-    norms = mine.groupBy("qid").agg(F.sum(F.pow("w", 2)).alias("norm"))
-    met = mine.select("qid", "term", "w").join(
-        weighed.select("place", "term", F.col("tf").alias("ptf"), "idf_in", "idf_out"), "term")
-    pairs = met.groupBy("qid", "place").agg(
-        F.sum(F.col("w") * F.col("ptf") * F.col("idf_in")).alias("dot"),
-        F.sum(F.pow("ptf", 2) * (F.pow("idf_in", 2) - F.pow("idf_out", 2))).alias("shift"))
-    scored = pairs.join(base, "place").join(norms, "qid").select(
-        "qid", "place", F.round(F.col("dot") / F.sqrt(F.col("norm") * (F.col("base") + F.col("shift"))), 9).alias("sim"))
-    best = scored.groupBy("qid").agg(F.max(F.struct("sim", (-F.col("place")).alias("neg"))).alias("b")).select(
-        "qid", F.col("b.sim").alias("similarity"), (-F.col("b.neg")).alias("place"))
-    named = best.join(patterns.select("place", F.col("category").alias("_near")), "place").drop("place")
+    # What a term adds to the text's own norm (place -1), and to each pattern it is in.
+    part = "struct<place: int, dot: double, shift: double>"
+    own = F.struct(F.lit(-1), F.col("w") * F.col("w"), F.lit(0.0)).cast(part)
+    shared = F.transform("used_in", lambda p: F.struct(
+        p["place"], F.col("w") * p["tf"] * p["idf_in"],
+        F.pow(p["tf"], F.lit(2)) * (F.pow(p["idf_in"], F.lit(2)) - F.pow(p["idf_out"], F.lit(2)))).cast(part))
+    sums = mine.select("qid", F.inline_outer(F.concat(F.array(own), F.coalesce(shared, F.array().cast(f"array<{part}>"))))).groupBy(
+        "qid", "place").agg(F.sum("dot").alias("dot"), F.sum("shift").alias("shift"))
+    # The text's norm is the same for all its patterns, so the best is found without it.
+    near = F.round(F.col("dot") / F.sqrt(F.col("base") + F.col("shift")), 9)
+    best = sums.join(F.broadcast(base), "place", "left").groupBy("qid").agg(
+        F.max(F.when(F.col("place") < 0, F.sqrt("dot"))).alias("norm"),
+        F.max(F.when(F.col("place") >= 0, F.struct(near.alias("near"), (-F.col("place")).alias("neg")))).alias("b"))
+    named = best.filter("b IS NOT NULL").select(
+        "qid", F.round(F.col("b.near") / F.col("norm"), 9).alias("similarity"), (-F.col("b.neg")).alias("place")
+    ).join(F.broadcast(patterns.select("place", F.col("category").alias("_near"))), "place").drop("place")
     return by_phrase.join(named, "qid", "left").withColumn(
         "category", F.when(F.col("similarity") > THRESHOLD, F.col("_near")).otherwise(F.col("category"))).drop("_near")

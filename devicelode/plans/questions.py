@@ -47,8 +47,13 @@ def _order() -> list:
 
 
 def _documents(cat: DataFrame, specs: DataFrame, spec_order: str) -> DataFrame:
-    """Catalogue rows with the first specification document of their URL, parsed."""
-    firsts = first_per_key(specs, ["device_url"], spec_order, ["device_url", "specifications"])
+    """Catalogue rows with the first specification document of their URL, parsed.
+
+    Only documents of the given rows are sorted out; the rest of the table is
+    dropped at the scan side of a semi join.
+    """
+    few = specs.join(cat.select("device_url").distinct(), "device_url", "left_semi")
+    firsts = first_per_key(few, ["device_url"], spec_order, ["device_url", "specifications"])
     return S.with_entries(S.with_nested(S.parse_specs(cat.join(firsts, "device_url", "left"))))
 
 
@@ -72,6 +77,7 @@ def compare(q: DataFrame, cat: DataFrame, specs: DataFrame, spec_order: str = "d
 
     ``(qid, place, spec, device_1, value_1, device_2, value_2)``; the kinds asked
     for, or five common ones. Values are made once per device, not per question.
+    Of several documents with one URL the first by ``spec_order`` is used.
     """
     pairs = _pairs(q, cat, **kw).filter(F.col("d2.pos").isNotNull())
     kinds = N.spec_tags(q).select("qid", F.when(F.size("specifications") > 0, F.col("specifications")).otherwise(
