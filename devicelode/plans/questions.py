@@ -11,6 +11,7 @@ from devicelode.operators import recommend as R
 from devicelode.operators import specs as S
 from devicelode.operators import tagging as N
 from devicelode.operators.ordered import first_per_key
+from devicelode.session import checkpointed
 
 COMPARE_MESSAGES = {
     "too_few": "I need at least two devices to compare. Please specify the devices you want to compare.",
@@ -79,7 +80,8 @@ def compare(q: DataFrame, cat: DataFrame, specs: DataFrame, spec_order: str = "d
     for, or five common ones. Values are made once per device, not per question.
     Of several documents with one URL the first by ``spec_order`` is used.
     """
-    pairs = _pairs(q, cat, **kw).filter(F.col("d2.pos").isNotNull())
+    # Ids and positions only; kept, as three joins below start from them.
+    pairs = checkpointed(_pairs(q, cat, **kw).filter(F.col("d2.pos").isNotNull()))
     kinds = N.spec_tags(q).select("qid", F.when(F.size("specifications") > 0, F.col("specifications")).otherwise(
         F.array(*[F.lit(s) for s in D.DEFAULT_COMPARISON])).alias("kinds"))
     used = pairs.select(F.explode(F.array("d1.pos", "d2.pos")).alias("pos")).distinct()
@@ -108,9 +110,10 @@ def device_answers(q: DataFrame, cat: DataFrame, specs: DataFrame, spec_order: s
     first = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n_devices"), F.min("pos").alias("pos"))
     tagged = N.intent_scores(N.spec_tags(q).join(first, "qid")).withColumn(
         "response_type", N.response_type(F.col("intents"), F.col("n_devices")))
-    wanted = tagged.filter(F.col("response_type").isin("device_specs", "device_details"))
+    wanted = checkpointed(tagged.filter(F.col("response_type").isin("device_specs", "device_details")).select(
+        "qid", "pos", "specifications", "response_type"))
     docs = S.with_facts(_documents(cat.join(wanted.select("pos").distinct(), "pos", "left_semi"), specs, spec_order))
-    joined = wanted.select("qid", "pos", "specifications", "response_type").join(docs.drop("specifications"), "pos")
+    joined = wanted.join(docs.drop("specifications"), "pos")
     told = S.device_summary(S.spec_report(S.requested_specs(joined)))
     return told.select("qid", "response_type", "device_url",
                        F.when(F.col("response_type") == "device_specs", F.col("report")).otherwise(F.col("summary")).alias("answer"))
@@ -121,7 +124,7 @@ def recommendation_pool(cat: DataFrame, specs: DataFrame, spec_order: str = "dev
 
     At most five for each of 24 brand choices and three tiers, 360 rows in all.
     """
-    shown = R.first_unique(R.tier_slices(cat))
+    shown = checkpointed(R.first_unique(R.tier_slices(cat)))
     wanted = F.broadcast(shown.select("device_url").distinct())
     few = specs.join(wanted, "device_url", "left_semi")
     firsts = first_per_key(few, ["device_url"], spec_order, ["device_url", "specifications"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from devicelode.operators import extract as E
 from devicelode.operators import refresh as R
 from devicelode.operators.ordered import first_per_key
+from devicelode.session import checkpointed
 from devicelode.sources.sinks import overwrite_swap, read_current
 
 
@@ -28,7 +29,8 @@ def refresh(spark: SparkSession, listing: DataFrame, pages: DataFrame, root: str
     cat, specs, ledger = (read_current(spark, f"{root}/{t}") for t in ("catalogue", "specs", "ledger"))
     stored = pages.select(F.col("url").alias("device_url")).distinct()
     listed = first_per_key(listing, ["device_url"], "pos", listing.columns)
-    todo = plan_refresh(listed, cat, ledger).join(stored, "device_url", "left_semi")
+    # Kept, since three tables and the report are made from it.
+    todo = checkpointed(plan_refresh(listed, cat, ledger).join(stored, "device_url", "left_semi"))
 
     # Of pages stored twice the last is read.
     last = pages.groupBy("url").agg(F.max("page_id").alias("page_id")).join(

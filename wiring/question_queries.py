@@ -127,7 +127,7 @@ SELECT c.qid, c.n_devices, coalesce(r.brand, '-') AS first_brand, coalesce(r.dev
        secondary_intent, confidence, response_type
 FROM counts c LEFT JOIN ranked r ON r.qid = c.qid AND r.rank = 1 JOIN primary_two p ON p.qid = c.qid JOIN kinds k ON k.qid = c.qid""")
 def analyze(spark, d):
-    a = P.analyze(T.questions(spark, d), T.catalogue(spark, d))
+    a = P.analyze(T.questions(spark, d), T.wide_catalogue(spark, d))
     dash = lambda c: F.coalesce(c, F.lit("-")).alias(c)
     return a.select("qid", "n_devices", dash("first_brand"), dash("first_device"), "primary_intent", dash("secondary_intent"),
                     "confidence", "response_type")
@@ -180,7 +180,7 @@ SELECT qid, CASE
 FROM (SELECT qid, lower(text) AS t FROM questions)""")
 def cascade_category(spark, d):
     q = T.questions(spark, d)
-    pairs = M.first_pair_mention(q, T.catalogue(spark, d)).select("qid", F.lit(True).alias("pair"))
+    pairs = M.first_pair_mention(q, T.wide_catalogue(spark, d)).select("qid", F.lit(True).alias("pair"))
     joined = q.join(pairs, "qid", "left")
     return N.cascade_category(joined, F.coalesce("pair", F.lit(False))).select("qid", "category")
 
@@ -210,24 +210,24 @@ def _mentions(df):
 
 @query("J6_device_mentions", MENTION_SQL)
 def device_mentions(spark, d):
-    return _mentions(M.device_mentions(T.questions(spark, d), T.catalogue(spark, d)))
+    return _mentions(M.device_mentions(T.questions(spark, d), T.wide_catalogue(spark, d)))
 
 
 @query("J6_device_mentions_shuffled", MENTION_SQL)
 def device_mentions_shuffled(spark, d):
     """The same by the way for catalogues too large to broadcast."""
-    return _mentions(M.device_mentions(T.questions(spark, d), T.catalogue(spark, d), broadcast_names=0))
+    return _mentions(M.device_mentions(T.questions(spark, d), T.wide_catalogue(spark, d), broadcast_names=0))
 
 
 @query("W1_first_mentions", ctes(T.CAT, T.QUESTIONS, T.MATCHES) + "SELECT qid, rank, brand, device, pos FROM ranked WHERE rank <= 2")
 def first_mentions(spark, d):
-    return _mentions(M.device_mentions(T.questions(spark, d), T.catalogue(spark, d), top=2))
+    return _mentions(M.device_mentions(T.questions(spark, d), T.wide_catalogue(spark, d), top=2))
 
 
 @query("J7_first_pair_mention", ctes(T.CAT, T.QUESTIONS, T.MATCHES) + """
 SELECT qid, min(pos) AS pos, min_by(device, pos) AS device FROM matches WHERE with_brand GROUP BY qid""")
 def first_pair_mention(spark, d):
-    return M.first_pair_mention(T.questions(spark, d), T.catalogue(spark, d)).select("qid", "pos", "device")
+    return M.first_pair_mention(T.questions(spark, d), T.wide_catalogue(spark, d)).select("qid", "pos", "device")
 
 
 @query("F6_match_partial", ctes(T.CAT) + """,
@@ -242,7 +242,7 @@ partial AS (SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY pos) A
 SELECT qid, pos, 'exact' AS how FROM exact UNION ALL SELECT qid, pos, 'partial' FROM partial WHERE n <= 10""".replace("\nasked", "asked", 1))
 def match_partial(spark, d):
     """Whole names for some questions, a brand and one word of a name for others."""
-    cat = T.catalogue(spark, d)
+    cat = T.wide_catalogue(spark, d)
     k = F.col("o_orderkey")
     asked = T.table(spark, d, "orders").join(cat, F.col("o_custkey") == F.col("pos")).select(
         k.alias("qid"), F.when(k % 2 == 0, F.col("brand_name")).otherwise(F.lit("brand#1")).alias("brand"),
@@ -276,7 +276,7 @@ LEFT JOIN compared v1 ON v1.pos = pos_1 AND v1.kind = s.spec LEFT JOIN compared
 
 @query("J9_compare", COMPARE_SQL)
 def compare(spark, d):
-    out = P.compare(T.questions(spark, d), T.catalogue(spark, d), T.spec_documents(spark, d))
+    out = P.compare(T.questions(spark, d), T.wide_catalogue(spark, d), T.spec_documents(spark, d))
     return out.withColumn("place", F.col("place").cast("bigint"))
 
 
@@ -287,7 +287,7 @@ LEFT JOIN compared c ON c.pos = p_partkey AND c.kind = k.kind""".replace("p_part
 def compare_values(spark, d):
     """Every kind of every device as the text shown in comparisons."""
     docs = S.with_entries(S.with_nested(S.parse_specs(
-        T.catalogue(spark, d).join(T.spec_documents(spark, d).drop("name"), "device_url"))))
+        T.wide_catalogue(spark, d).join(T.spec_documents(spark, d).drop("name"), "device_url"))))
     return docs.select("pos", F.explode_outer(S.comparison_texts(F.col("entries"))).alias("kind", "value"))
 
 
@@ -296,7 +296,7 @@ SELECT q.qid, CASE WHEN count(device) >= 2 THEN 'ok' ELSE 'too_few' END AS statu
        CASE WHEN count(device) < 2 THEN 'I need at least two devices to compare. Please specify the devices you want to compare.' END AS message
 FROM questions q LEFT JOIN matches m USING (qid) GROUP BY q.qid""")
 def compare_status(spark, d):
-    return P.compare_status(T.questions(spark, d), T.catalogue(spark, d))
+    return P.compare_status(T.questions(spark, d), T.wide_catalogue(spark, d))
 
 
 RECOMMEND = f"""asked_about AS (

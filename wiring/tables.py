@@ -56,6 +56,10 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         part_url().alias("device_url"), F.lit("").alias("device_image"))
 
 
+def wide_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(catalogue(spark, sf_dir))
+
+
 CAT = f"""cat AS (
   SELECT p_partkey AS pos, p_brand AS brand_name, p_name || ' ' || p_partkey AS device_name,
          '{BASE}' || replace(p_name, ' ', '_') || '-' || p_partkey || '.php' AS device_url, '' AS device_image
