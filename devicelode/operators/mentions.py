@@ -20,6 +20,7 @@ from devicelode.session import checkpointed
 GRAM = 6
 # Name tables up to this size are sent to every executor; larger ones are shuffled.
 BROADCAST_NAMES = 200_000
+BROADCAST_CHARS = 32_000_000
 SALTS = 16
 
 
@@ -55,6 +56,14 @@ def catalogue_names(cat: DataFrame) -> DataFrame:
             .groupBy("brand", "device").agg(F.min("pos").alias("pos")))
 
 
+def names_fit(cat: DataFrame, rows: int) -> bool:
+    """Whether the names are few and short enough to broadcast; a large table is not counted to its end."""
+    if not within_rows(cat, rows):
+        return False
+    chars = cat.agg(F.sum(F.length("brand_name") + F.length("device_name"))).first()[0]
+    return (chars or 0) <= BROADCAST_CHARS
+
+
 def name_matches(q: DataFrame, cat: DataFrame, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
     """``(qid, brand, device, pos, full, with_brand)`` for each name in each text.
 
@@ -69,7 +78,7 @@ def name_matches(q: DataFrame, cat: DataFrame, broadcast_names: int = BROADCAST_
 
     keyed = names.join(keys, "device")
 
-    if within_rows(cat, broadcast_names):
+    if names_fit(cat, broadcast_names):
         met = texts.select("qid", "_text", grams).join(F.broadcast(keyed), "gram")
     else:
         # Only ids and pieces are shuffled. A piece found in very many texts is

@@ -18,11 +18,16 @@ BUCKET_ROWS = 100_000
 
 
 def _null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, Column]:
-    """The right side with renamed keys, and a null-safe condition on them."""
+    """The right side with renamed keys, and a condition on them.
+
+    Keys may be NULL; buckets may not, and plain equality on them lets a join
+    and the window after it share one shuffle when there are no keys.
+    """
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in cols})
-    cond = F.lit(True)
+    cond = left["_bucket"] == renamed["_r__bucket"]
     for c in cols:
-        cond = cond & left[c].eqNullSafe(renamed[f"_r_{c}"])
+        if c != "_bucket":
+            cond = cond & left[c].eqNullSafe(renamed[f"_r_{c}"])
     return renamed, cond
 
 

@@ -242,6 +242,7 @@ def highlights(df: DataFrame, focus: str = "focus_areas", tier: str = "tier", ou
                             .when(F.size(areas) > 0, F.array(generic)).otherwise(F.array(by_tier))).drop("_lines")
 
 
+# Sentences of the answers (fixed values).
 FOUND_DEVICE = ("I found information about {brand_name} {device_name}. Would you like to know about its "
                 "specifications, price, or something else?")
 MORE = " Would you like to know more specific information about this device?"

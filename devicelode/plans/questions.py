@@ -13,6 +13,7 @@ from devicelode.operators import tagging as N
 from devicelode.operators.ordered import first_per_key
 from devicelode.session import checkpointed
 
+# What is said when nothing can be compared (fixed values).
 COMPARE_MESSAGES = {
     "too_few": "I need at least two devices to compare. Please specify the devices you want to compare.",
     "not_found": "I couldn't find enough information to compare these devices.",
