@@ -20,26 +20,39 @@ COMPARE_MESSAGES = {
 }
 
 
+def _tagged(q: DataFrame) -> DataFrame:
+    """``(qid, features, specifications, intents)``: all that the text alone tells.
+
+    Made before anything is joined, so that texts are never shuffled.
+    """
+    tags = N.lowered(q).select(
+        "qid", "_text", N.labels_found("_text", D.FEATURES).alias("features"),
+        N.labels_found("_text", D.SPEC_REQUESTS).alias("specifications"))
+    return tags.select("qid", "features", "specifications", N.score_list(
+        "_text", F.lit(0), F.col("specifications"), F.col("features")).alias("intents"))
+
+
+def _with_devices(tagged: DataFrame) -> DataFrame:
+    """Put the device intent in front where devices were found, in place of "general"."""
+    found = F.struct(F.lit(0).alias("ord"), F.lit("device_search").alias("intent"), F.lit(0.7).alias("score"))
+    others = F.filter("intents", lambda s: s["intent"] != "general")
+    typed = tagged.withColumn("intents", F.when(
+        F.col("n_devices") > 0, F.concat(F.array(found), others)).otherwise(F.col("intents")))
+    return typed.withColumn("response_type", N.response_type(F.col("intents"), F.col("n_devices")))
+
+
 def analyze(q: DataFrame, cat: DataFrame, **kw) -> DataFrame:
-    """One row per question: tags, scored intents, first devices, kind of answer.
+    """One row per question: tags, scored intents, first device, kind of answer.
 
     The complete list of devices of a question is ``device_mentions``; here are
-    their number and the two that answers are made from.
+    their number and the best one. The text itself is left behind.
     """
-    found = M.name_matches(q, cat, **kw)
-    best = found.groupBy("qid").agg(
-        F.count(F.lit(1)).alias("n_devices"),
-        F.min(F.struct(*_order())).alias("_a"))
-    tagged = N.lowered(q).withColumns({
-        "features": N.labels_found("_text", D.FEATURES),
-        "specifications": N.labels_found("_text", D.SPEC_REQUESTS),
-    }).join(best, "qid", "left").withColumn("n_devices", F.coalesce("n_devices", F.lit(0)).cast("bigint"))
-    scored = tagged.withColumn("intents", N.score_list(
-        "_text", F.col("n_devices"), F.col("specifications"), F.col("features")))
-    return N.rank_intents(scored).withColumn(
-        "response_type", N.response_type(F.col("intents"), F.col("n_devices"))
-    ).select("qid", "text", "n_devices", F.col("_a.brand").alias("first_brand"), F.col("_a.device").alias("first_device"),
-             "features", "specifications", "intents", "primary_intent", "secondary_intent", "confidence", "response_type")
+    best = M.name_matches(q, cat, **kw).groupBy("qid").agg(
+        F.count(F.lit(1)).alias("n_devices"), F.min(F.struct(*_order())).alias("_a"))
+    joined = _tagged(q).join(best, "qid", "left").withColumn("n_devices", F.coalesce("n_devices", F.lit(0)).cast("bigint"))
+    return N.rank_intents(_with_devices(joined)).select(
+        "qid", "n_devices", F.col("_a.brand").alias("first_brand"), F.col("_a.device").alias("first_device"),
+        "features", "specifications", "intents", "primary_intent", "secondary_intent", "confidence", "response_type")
 
 
 def _order() -> list:
@@ -109,8 +122,7 @@ def device_answers(q: DataFrame, cat: DataFrame, specs: DataFrame, spec_order: s
     """
     found = M.name_matches(q, cat, **kw)
     first = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n_devices"), F.min("pos").alias("pos"))
-    tagged = N.intent_scores(N.spec_tags(q).join(first, "qid")).withColumn(
-        "response_type", N.response_type(F.col("intents"), F.col("n_devices")))
+    tagged = _with_devices(_tagged(q).join(first, "qid"))
     wanted = checkpointed(tagged.filter(F.col("response_type").isin("device_specs", "device_details")).select(
         "qid", "pos", "specifications", "response_type"))
     docs = S.with_facts(_documents(cat.join(wanted.select("pos").distinct(), "pos", "left_semi"), specs, spec_order))
