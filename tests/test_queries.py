@@ -34,7 +34,7 @@ def _rows(df):
     return sorted(tuple(repr(_plain(v)) for v in r) for r in df[cols].itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_its_sql(spark, con, sf, name):
     got = entry.queries()[name](spark, sf).toPandas()
     want = con.execute(entry.oracle_sql()[name]).fetchdf()
