@@ -79,37 +79,21 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return roots
 
 
-def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column]) -> DataFrame | None:
-    """Components of the links that ``verify`` finds among nodes that share a list: (node, root) of linked nodes, or None.
+def star_pairs(lists: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """``a, b``: each list's head, its member of largest weight, with every other member that ``near(n, n)`` lets through.
 
-    ``lists``: value, node, n; a saved table. ``near(n, n)`` is a cheap test of two nodes. Instead of all pairs of a list,
-    each round compares some leaders of every list that is not yet one component with the list's members in other
-    components; the number of leaders doubles each round, until every member outside its list's largest component has led. So a group of copies
-    costs a few rows per member, and no link between two components is missed.
+    ``lists``: value, node, n, weight. As many rows as the lists have, however large one list is.
     """
-    roots = links = tested = led = None
-    leaders = 4
-    while True:
-        members = lists.withColumn("root", F.col("node"))
-        waiting = members
-        if roots is not None:
-            members = saved(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
-            sizes = members.groupBy("value", "root").agg(F.count(F.lit(1)).alias("size"))
-            largest = saved(sizes.groupBy("value").agg(F.max(F.struct("size", "root")).alias("top"), F.count(F.lit(1)).alias("parts"))
-                            .filter("parts > 1").select("value", F.col("top.root").alias("largest")), "largest")
-            waiting = members.join(largest, "value").filter(F.col("root") != F.col("largest")).join(led, ["value", "node"], "left_anti")
-        slot = F.pmod(F.xxhash64("node"), F.lit(leaders))
-        heads = saved(waiting.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("node", "root", "n")).alias("head"))
-                      .select("value", F.col("head.node").alias("head"), F.col("head.root").alias("head_root"), F.col("head.n").alias("head_n")), "heads")
-        if heads.isEmpty():
-            return roots
-        done = heads.select("value", F.col("head").alias("node"))
-        led = done if led is None else led.unionByName(done)
-        met = members.join(heads, "value").filter((F.col("root") != F.col("head_root")) & near(F.col("n"), F.col("head_n")))
-        pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = saved(verify(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        leaders *= 2
+    heads = saved(lists.groupBy("value").agg(F.max(F.struct("weight", "node", "n")).alias("head")).select(
+        "value", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "heads")
+    met = lists.join(heads, "value").filter((F.col("node") != F.col("head")) & near(F.col("n"), F.col("head_n")))
+    return saved(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "stars")
+
+
+def open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the lists that hold more than one component, with ``root``, the list's ``size``, and ``outside`` its largest component."""
+    members = saved(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    sizes = members.groupBy("value", "root").agg(F.count(F.lit(1)).alias("part"))
+    mixed_lists = sizes.groupBy("value").agg(F.max(F.struct("part", "root")).alias("top"), F.sum("part").alias("size"), F.count(F.lit(1)).alias("parts"))
+    mixed_lists = saved(mixed_lists.filter("parts > 1").select("value", "size", F.col("top.root").alias("largest")), "open")
+    return saved(members.join(mixed_lists, "value").withColumn("outside", F.col("root") != F.col("largest")).drop("largest"), "open_rows")
