@@ -62,9 +62,13 @@ def sample(docs: DataFrame, per_language: int, per_document: int) -> pd.DataFram
     At most ``per_language`` documents of each language, those of the smallest hash of their id, and of each at most
     ``per_document`` pieces of ``WORDS`` words spread evenly over the whole text. A fifth of the documents is for calibration.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    order = Window.partitionBy("lang").orderBy(at, "doc_id")
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    chosen = saved(labelled.select("doc_id", "lang").withColumn("_at", F.row_number().over(order))
+    # Four times as many as needed come to a language's task, however many partitions and documents there are.
+    share = F.broadcast(labelled.groupBy("lang").agg((4.0 * per_language / F.count(F.lit(1))).alias("_share")))
+    drawn = labelled.select("doc_id", "lang").join(share, "lang").filter(at < F.col("_share") * float(1 << 40)).drop("_share")
+    chosen = saved(drawn.withColumn("_at", F.row_number().over(order))
                    .filter(F.col("_at") <= per_language).select("doc_id").distinct(), "sample")
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
