@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from devicelode.dictionaries import POPULAR_BRANDS
 from devicelode.functions import full_name, strip
 from devicelode.functions.text import DEFAULT_BASE_URL
-from devicelode.operators.ordered import BUCKET_ROWS, dense_position, first_per_key
+from devicelode.operators.ordered import dense_position, first_per_key
 
 # Up to this many rows a page is picked by a top-k; deeper pages are picked by rank.
 TOP_K_ROWS = 10_000
@@ -165,16 +165,14 @@ def top_per_brand(cat: DataFrame, brands: Sequence[str] = tuple(POPULAR_BRANDS),
 
 # ---- groups ----------------------------------------------------------------
 
-def brands_with_devices(cat: DataFrame, chunk_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Brand -> list of its devices, in file order, as ``(brand_name, chunk, devices)``.
+def brands_with_devices(cat: DataFrame) -> DataFrame:
+    """``(brand_name, place, pos, name, url, image)``: each brand's devices in file order, numbered from 0.
 
-    A brand's list is cut into chunks by position, so no list outgrows a task;
-    a catalogue of up to ``chunk_rows`` rows has exactly one row per brand.
+    One row per device at any size; nesting them per brand is up to the caller.
     """
-    device = F.struct("pos", F.col("device_name").alias("name"), F.col("device_url").alias("url"),
-                      F.col("device_image").alias("image"))
-    return cat.groupBy("brand_name", F.floor(F.col("pos") / chunk_rows).alias("chunk")).agg(
-        F.array_sort(F.collect_list(device)).alias("devices"))
+    placed = dense_position(cat, ["pos"], ["brand_name"], out="place")
+    return placed.select("brand_name", (F.col("place") - 1).alias("place"), "pos", F.col("device_name").alias("name"),
+                         F.col("device_url").alias("url"), F.col("device_image").alias("image"))
 
 
 def brand_counts(cat: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devicelode.functions import strip
-from devicelode.operators.ordered import BUCKET_ROWS, look_back
+from devicelode.operators.ordered import dense_position, look_back
 from devicelode.operators.tagging import conv_category, conversation_categories
 from devicelode.session import checkpointed
 
@@ -56,14 +56,13 @@ def unique_responses(rows: DataFrame) -> DataFrame:
     return rows.groupBy("category", "response").agg(F.min("pos").alias("pos"))
 
 
-def response_store(rows: DataFrame, chunk_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Category -> list of its different responses, as ``(category, chunk, responses)``.
+def response_store(rows: DataFrame) -> DataFrame:
+    """``(category, place, response)``: the different responses of each category, numbered from 0 by where they came first.
 
-    Lists are cut by position, so a category of any size is stored in parts a
-    task can hold.
+    One row per response at any size; ``collect_list`` over ``place`` is up to the caller.
     """
-    return unique_responses(rows).groupBy("category", F.floor(F.col("pos") / chunk_rows).alias("chunk")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "response"))), lambda r: r["response"]).alias("responses"))
+    placed = dense_position(unique_responses(rows), ["pos", "response"], ["category"], out="place")
+    return placed.select("category", (F.col("place") - 1).alias("place"), "response")
 
 
 def response_categories(store: DataFrame) -> DataFrame:
@@ -71,7 +70,7 @@ def response_categories(store: DataFrame) -> DataFrame:
 
 
 def responses_for(store: DataFrame, category: str) -> DataFrame:
-    return store.filter(F.col("category") == category).select("category", "chunk", F.explode("responses").alias("response"))
+    return store.filter(F.col("category") == category).select("category", "place", "response")
 
 
 # ---- fallback category -----------------------------------------------------------

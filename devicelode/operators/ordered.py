@@ -31,6 +31,11 @@ def _null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> tuple[
     return renamed, cond
 
 
+def _with_null(bucket: Column) -> Column:
+    """Rows without an order value are the first bucket, as they come first in a window."""
+    return F.coalesce(bucket.cast("bigint"), F.lit(-(2**63)))
+
+
 def bucket_of(order: str, rows: int = BUCKET_ROWS) -> Column:
     """Bucket of an integer order column: at most ``rows`` rows when its values are unique."""
     return F.floor(F.col(order) / rows)
@@ -55,7 +60,7 @@ def dense_position(
     been broken by its last column.
     """
     keys = list(keys)
-    bucketed = df.withColumn("_bucket", bucket if bucket is not None else bucket_of(order[0]))
+    bucketed = df.withColumn("_bucket", _with_null(bucket if bucket is not None else bucket_of(order[0])))
     sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     cols = [*keys, "_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")]
@@ -77,7 +82,7 @@ def running_last(
 ) -> DataFrame:
     """Replace each of ``columns`` by its last non-null value up to the row."""
     keys = list(keys)
-    bucketed = df.withColumn("_bucket", bucket)
+    bucketed = df.withColumn("_bucket", _with_null(bucket))
     place = F.struct(*order)
     closing = bucketed.groupBy(*keys, "_bucket").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_c_{c}") for c in columns])
@@ -130,5 +135,5 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str, keep: Sequence
 
 
 def within_rows(df: DataFrame, limit: int) -> bool:
-    """Whether a table has at most ``limit`` rows; stops counting beyond that."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether a table has at most ``limit`` rows."""
+    return df.count() <= limit

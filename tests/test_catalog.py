@@ -93,10 +93,18 @@ def test_concat_distinct_has_no_repeats(spark):
     assert sorted((r.pos, r.part) for r in out) == [(0, 0), (1, 1)]
 
 
-def test_chunked_lists_join_up(spark):
-    nested = C.brands_with_devices(numbered(spark, 25), chunk_rows=10).orderBy("chunk").collect()
-    assert [len(r.devices) for r in nested] == [10, 10, 5]
-    assert [d.pos for r in nested for d in r.devices] == list(range(25))
+def test_brand_lists_are_numbered_across_buckets(spark, monkeypatch):
+    monkeypatch.setattr(O, "bucket_of", lambda order: F.floor(F.col(order) / 10))
+    rows = C.brands_with_devices(numbered(spark, 25)).collect()
+    assert sorted((r.place, r.pos) for r in rows) == [(i, i) for i in range(25)]
+
+
+def test_rows_without_an_order_value_come_first(spark):
+    df = spark.createDataFrame([("k", None, 1), ("k", 5, 2), ("k", 500, 3), (None, None, 4)], "k string, n bigint, v bigint")
+    ranks = {r.v: (r["rank"], r.t) for r in O.dense_position(df, ["n", "v"], ["k"], total="t", bucket=O.bucket_of("n", 10)).collect()}
+    assert ranks == {1: (1, 3), 2: (2, 3), 3: (3, 3), 4: (1, 1)}
+    last = {r.v: r.n for r in O.running_last(df, ["n"], ["n", "v"], ["k"], O.bucket_of("n", 10)).collect()}
+    assert last == {1: None, 2: 5, 3: 500, 4: None}
 
 
 def test_delete_brands_splits_the_rows(spark):

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from devicelode.operators import ordered
 from devicelode import dictionaries as D
 from devicelode.operators import dialogue as G
 from devicelode.operators import mentions as M
@@ -28,23 +29,24 @@ def ask(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts or TEXTS)), "qid bigint, text string")
 
 
-def brute_mentions(text):
-    """Plain loop: all forms, longest first, file order, each device once."""
-    forms = [x for b, d in DEVICES if d for x in ((f"{b} {d}".lower(), b.lower(), d.lower()), (d.lower(), b.lower(), d.lower()))]
-    forms.sort(key=lambda f: len(f[0]), reverse=True)
-    seen = []
-    for form, b, d in forms:
-        if form in text.lower() and (b, d) not in seen:
-            seen.append((b, d))
-    return seen
+# What each of TEXTS mentions, in order.
+MENTIONED = [
+    [("samsung", "galaxy s23 ultra"), ("apple", "iphone 15"), ("samsung", "galaxy s23"), ("oppo", "a")],
+    [("nokia", "3.1"), ("oppo", "a")],
+    [],
+    [],
+    [("oppo", "a")],
+    [("samsung", "galaxy s23"), ("nokia", "(x)"), ("oppo", "a")],
+    [("apple", "iphone 15")],
+]
 
 
 @pytest.mark.parametrize("limit", [0, 1000])
-def test_mentions_equal_brute_force(spark, limit):
+def test_mentions(spark, limit):
     rows = M.device_mentions(ask(spark), devices(spark), broadcast_names=limit).collect()
     for qid, text in enumerate(TEXTS):
         got = [(r.brand, r.device) for r in sorted(rows, key=lambda r: r["rank"]) if r.qid == qid]
-        assert got == brute_mentions(text.strip()), text
+        assert got == MENTIONED[qid], text
 
 
 def test_large_path_has_no_nested_loop(spark):
@@ -254,11 +256,13 @@ def test_clean_reply(spark):
     assert [r.r for r in rows] == ["fine thanks", "a b", ""]
 
 
-def test_response_store_is_unique_and_chunked(spark):
-    rows = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("a", "y", 15), ("b", "x", 3)], "category string, response string, pos bigint")
-    store = G.response_store(rows, chunk_rows=10)
-    assert sorted((r.category, r.chunk, r.responses) for r in store.collect()) == [("a", 0, ["x"]), ("a", 1, ["y"]), ("b", 0, ["x"])]
-    assert {r.response for r in G.responses_for(store, "a").collect()} == {"x", "y"}
+def test_response_store_is_unique_and_numbered(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "bucket_of", lambda order: F.floor(F.col(order) / 10))
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("a", "y", 15), ("b", "x", 3), ("a", "z", 31), ("a", "n", None)],
+                                 "category string, response string, pos bigint")
+    store = G.response_store(rows)
+    assert sorted(tuple(r) for r in store.collect()) == [("a", 0, "n"), ("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("b", 0, "x")]
+    assert {r.response for r in G.responses_for(store, "b").collect()} == {"x"}
 
 
 # ---- plans ------------------------------------------------------------------------------------

@@ -249,9 +249,7 @@ def format_device(spark, d):
 SELECT brand_name, row_number() OVER (PARTITION BY brand_name ORDER BY pos) - 1 AS place,
        device_name AS name, device_url AS url, device_image AS image FROM cat""")
 def brands_with_devices(spark, d):
-    nested = C.brands_with_devices(T.catalogue(spark, d))
-    return nested.select("brand_name", F.posexplode("devices").alias("place", "x")).select(
-        "brand_name", F.col("place").cast("bigint").alias("place"), "x.name", "x.url", "x.image")
+    return C.brands_with_devices(T.catalogue(spark, d)).drop("pos")
 
 
 @query("G2_brand_counts", "SELECT p_brand AS name, count(*) AS devices, CAST(0 AS BIGINT) AS expected FROM part GROUP BY 1")

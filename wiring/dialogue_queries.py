@@ -50,14 +50,13 @@ def clean_reply(spark, d):
 
 @query("G8_response_store", ctes(*CATEGORY) + """
 SELECT category, response, row_number() OVER (PARTITION BY category ORDER BY pos) - 1 AS place FROM (
-  SELECT category, left(text, 60) AS response, min(conv_id * 1000 + turn) AS pos FROM cats GROUP BY 1, 2)""".replace("left(text, 60)", "text"))
+  SELECT category, text AS response, min(conv_id * 1000 + turn) AS pos FROM cats GROUP BY 1, 2)""")
 def response_store(spark, d):
     from devicelode.operators.tagging import conv_category
 
     rows = conv_category(T.table(spark, d, "conversations")).select(
         "category", F.col("text").alias("response"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
-    return C.response_store(rows).select("category", F.posexplode_outer("responses").alias("place", "response")).select(
-        "category", "response", F.col("place").cast("bigint").alias("place"))
+    return C.response_store(rows).select("category", "response", "place")
 
 
 @query("G8_responses_for", ctes(*CATEGORY) + "SELECT DISTINCT category, text AS response FROM cats WHERE category = 'negation'")
