@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` as it is, with Arrow batches of at most 8 MB in its session: a batch is by default cut by rows alone, however long they are."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).removesuffix("b")
+    if not now.isdigit() or int(now) > 8 << 20:
+        conf.set(name, str(8 << 20))
+    return df
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage is cut and lost executors cost only reads."""
     path = scratch_path(df.sparkSession, name)

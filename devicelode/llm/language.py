@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from devicelode.llm.common import saved
+from devicelode.llm.common import saved, small_batches
 
 NO_LETTERS = re.compile(r"[\W\d_]+")
 ORDERS = (2, 3, 4)
@@ -81,7 +81,7 @@ def sample(docs: DataFrame, per_language: int, per_document: int) -> pd.DataFram
                 out += [(lang, " ".join(words[a:a + WORDS])[:WORDS * 40], check) for a in starts[::step]]
             yield pd.DataFrame(out, columns=["lang", "piece", "check"])
 
-    texts = labelled.join(F.broadcast(chosen), "doc_id", "left_semi")
+    texts = small_batches(labelled).join(F.broadcast(chosen), "doc_id", "left_semi")
     return texts.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit("check")), F.lit(5)) == 0).alias("check")).mapInPandas(
         pieces, "lang string, piece string, check boolean").toPandas()
 
@@ -157,7 +157,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
                 out.append((model.langs[top], float(odds[top]), bool(odds[top] >= model.least)))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "accepted"])
 
-    rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "accepted")], name(F.col("text")).alias("_named"))
+    rest = small_batches(docs).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "accepted")], name(F.col("text")).alias("_named"))
     return rest.select(*[F.col(f"`{c}`") for c in rest.columns if c != "_named"], "_named.lang_pred", "_named.score", "_named.accepted")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from devicelode.llm.common import components, open_lists, saved, star_pairs
+from devicelode.llm.common import components, open_lists, saved, small_batches, star_pairs
 
 K = 32        # values a sketch retains
 LEAST = 17    # of them that sketches of linked documents share, but for a chance of about 3 in a million at the threshold
@@ -25,7 +25,7 @@ class _Hashes(dict):
         import xxhash
 
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < 1 << 19:
+        if len(self) < 1 << 16:
             self[word] = value
         return value
 
@@ -52,12 +52,14 @@ def signed(docs: DataFrame, width: int = 5) -> DataFrame:
 
         words = _Hashes()
         for frame in frames:
-            sets = [shingle_hashes(t, width, words) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
-                                "signature": [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets],
-                                "sketch": [s[:K] for s in sets]})
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
+            rows = []
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                found = shingle_hashes(text, width, words)
+                code = xxhash.xxh128_digest(found.tobytes()) if len(found) else None
+                rows.append((doc_id, len(found), code, found[:K].copy()))  # not a view: the whole set can go
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "signature", "sketch"]).astype({"doc_id": "Int64"})
+
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
         sketch, "doc_id long, n_shingles long, signature binary, sketch array<long>")
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devicelode.llm.common import mixed, ranked, saved
+from devicelode.llm.common import mixed, ranked, saved, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 SLOTS = "length long, low long, high long, each long, first long, base long"
@@ -22,8 +23,11 @@ def _encoders(vocabulary: str | None):
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
-    exact = lambda text: slow.encode(text, add_special_tokens=False).ids
+    @cache
+    def slow() -> Tokenizer:
+        return Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+
+    exact = lambda text: slow().encode(text, add_special_tokens=False).ids
     if vocabulary:
         return exact, exact
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
@@ -62,7 +66,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None =
                     out.append((doc_id, k, a, b - a, ids[a:b].tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
 
 
 def fullest(available: dict[int, int], capacity: int) -> dict[int, int]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from devicelode.llm.common import mixed, saved
+from devicelode.llm.common import mixed, saved, small_batches
 
 BLOCK = "block int, ids binary, rows int, dims int, kind string, cells binary"
 DIMS = 16  # dimensions accumulated between two compactions
@@ -96,7 +96,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, candidate_block: int =
     the query's id are the query's own. Each pair of a query block and a candidate block is one unit of work of bounded
     size, sent through a join on the pair's key; a query's best rows per block are then merged.
     """
-    rows = saved(rows.select("vec_id", "vector", mixed().alias("_mix")), "vectors")
+    rows = saved(small_batches(rows).select("vec_id", "vector", mixed().alias("_mix")), "vectors")
     asked = rows.filter(is_query)
     n, m = rows.count(), asked.count()
     left = saved(_blocks(rows, candidate_block, n), "candidates")
