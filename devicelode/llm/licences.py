@@ -81,7 +81,10 @@ def examples(spark: SparkSession, docs: DataFrame, background: int) -> DataFrame
     known = base.select(F.explode(grams_of(F.col("words"))).alias("g")).filter(F.size(F.split("g", " ")) == 3).distinct()
     listed = F.lit([r["g"] for r in known.collect()])
     lines = paragraphs(docs).filter(F.size("words") > 0).select("words", F.xxhash64("words").alias("at"))
-    sample = lines.orderBy("at").limit(background).select(F.slice("words", 1, 400).alias("words"), "at")
+    # Four times as many as needed are drawn by hash first, so what is ranked stays bounded however many tasks there are.
+    total = docs.agg(F.sum(F.size(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")))).first()[0] or 1
+    drawn = lines.filter(F.pmod("at", F.lit(1 << 40)) < int(min(1.0, 4 * background / total) * (1 << 40)))
+    sample = drawn.orderBy("at").limit(background).select(F.slice("words", 1, 400).alias("words"), "at")
     sample = sample.filter(~F.arrays_overlap(grams_of(F.col("words")), listed))
     return variants.unionByName(sample.select(F.lit(NONE).alias("family"), "words", (F.pmod("at", F.lit(5)) == 0).alias("check")))
 
