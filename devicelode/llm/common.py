@@ -72,8 +72,8 @@ def ranked(df: DataFrame, key: str, order: list[Column], counts: dict, name: str
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``links`` (a, b): one row (node, root) per linked node, ``root`` the smallest node reachable.
 
-    Every round a node takes the smallest root among its neighbours, then the root of its root, so a chain's length is
-    halved per round. Each round is a saved table; only a count of changed nodes reaches the driver.
+    Every round the nodes of one root take the smallest root among all their neighbours, then the root of that root, so a
+    chain of roots is halved per round. Each round is a saved table; only whether a root changed reaches the driver.
     """
     both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
     roots = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
@@ -81,8 +81,11 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     while True:
         offers = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("offer"))
         hooked = saved(roots.join(offers, "node").select("node", F.col("root").alias("was"), F.least("root", "offer").alias("root")), name)
-        up = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        jumped = saved(hooked.join(up, "root").select("node", "was", F.least("root", "top").alias("root")), name)
+        best = saved(hooked.groupBy("was").agg(F.min("root").alias("best")), name)
+        moved = hooked.join(best, "was").select("node", "was", F.least("root", "best").alias("root"))
+        up = best.join(hooked.select(F.col("node").alias("best"), F.col("root").alias("top")), "best").select(
+            F.col("best").alias("root"), F.least("best", "top").alias("top")).distinct()
+        jumped = saved(moved.join(up, "root").select("node", "was", F.least("root", "top").alias("root")), name)
         roots = jumped.select("node", "root")
         if jumped.filter(F.col("was") != F.col("root")).isEmpty():
             return roots
