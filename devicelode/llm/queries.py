@@ -67,7 +67,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return lines.deduplicated(table(spark, sf_dir, "documents"), **lines.WIDE).select("doc_id", "text", "n_lines", "n_removed")
 
 
 @query
