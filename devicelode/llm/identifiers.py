@@ -38,7 +38,8 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: Column, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
-    small = F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(F.lpad(p, 3, "0"), F.lit(3)).cast("int") <= 255))
+    small = F.forall(F.transform(F.split(value, r"\."), lambda p: F.ltrim(p, F.lit("0"))), lambda p: (F.length(p) <= 3) & (
+        F.coalesce(F.left(p, F.lit(3)).try_cast("int"), F.lit(0)) <= 255))
     size = F.length(digits)
     return (F.when(kind == "ip", small).when(kind == "card", F.when(size.between(12, 19), _luhn(digits)).otherwise(False))
             .when(kind == "phone", size.between(9, 15)).otherwise(True))

@@ -78,3 +78,11 @@ def test_query(spark, sf):
     for r in got:
         fixed = base(docs[r["doc_id"]])
         assert [r[f"n_{k}"] for k in PLAIN] == [fixed.count(k) for k in PLAIN] and set(filter(None, fixed.split(","))) <= set(r["spans"].split(","))
+
+
+def test_parts_of_addresses_with_leading_zeros(spark):
+    texts = ["1.0999.2.3", "1.0300.2.3", "0.0000.00.0", "1.0255.2.003", "1.00256.2.3", "1.2.3.0000000000255", "1.99999999999.2.3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["base"], r["n_ip"]) for r in identifiers.personal_data(df).collect()}
+    assert got == {i: (base(t), base(t).count("ip")) for i, t in enumerate(texts)}
+    assert [got[i][1] for i in range(len(texts))] == [0, 0, 1, 1, 0, 1, 0]
