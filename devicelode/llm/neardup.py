@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,27 @@ from pyspark.sql.window import Window
 
 from devicelode.llm.common import components, open_lists, saved, small_batches, star_pairs
 
-K = 32        # values a sketch retains
-LEAST = 17    # of them that sketches of linked documents share, but for a chance of about 3 in a million at the threshold
+K = 32        # values a sketch retains at least
+MISS = 4e-6   # chance at most that sketches of documents exactly at the threshold share less than ``least_shared`` values
 BROADCAST_IDS = 1_000_000
 BLOCK = 64    # documents compared with others at once
 
 
+def sketch_size(percent: int) -> int:
+    """How many values a sketch retains, so that those of documents at the threshold share one but for a chance of ``MISS``."""
+    return K if percent >= 100 else max(K, ceil(log(MISS) / log(1 - percent / 100)))
+
+
+def least_shared(percent: int) -> int:
+    """How many of their values the sketches of linked documents share, but for a chance of ``MISS`` at the threshold (a binomial tail)."""
+    size, j, chance = sketch_size(percent), percent / 100, 0.0
+    for least in range(size):
+        chance += comb(size, least) * j ** least * (1 - j) ** (size - least)
+        if chance > MISS:
+            return max(1, least)
+    return size
+
+
 class _Hashes(dict):
     """64-bit hashes of words; the frequent ones are kept."""
 
@@ -45,7 +61,7 @@ def shingle_hashes(text: str | None, width: int, words: dict) -> np.ndarray:
     return np.unique(((value ^ (value >> np.uint64(33))) >> np.uint64(1)).astype(np.int64))
 
 
-def signed(docs: DataFrame, width: int = 5) -> DataFrame:
+def signed(docs: DataFrame, width: int = 5, size: int = K) -> DataFrame:
     """``doc_id, n_shingles, signature, sketch`` of every whole text; equal sets have equal signatures, empty ones none."""
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -56,7 +72,7 @@ def signed(docs: DataFrame, width: int = 5) -> DataFrame:
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 found = shingle_hashes(text, width, words)
                 code = xxhash.xxh128_digest(found.tobytes()) if len(found) else None
-                rows.append((doc_id, len(found), code, found[:K].copy()))  # not a view: the whole set can go
+                rows.append((doc_id, len(found), code, found[:size].copy()))  # not a view: the whole set can go
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "signature", "sketch"]).astype({"doc_id": "Int64"})
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
@@ -66,10 +82,10 @@ def signed(docs: DataFrame, width: int = 5) -> DataFrame:
 def _prefix(n: Column, percent: int) -> Column:
     """How many of a sketch's rarest values must be listed so that linked documents meet in one list.
 
-    Sets of up to 85 % of K values (at 85 per cent) meet only sets that their sketches hold whole, so the bound is exact there.
+    Sets of up to 85 % of a sketch's values (at 85 per cent) meet only sets that their sketches hold whole, so the bound is exact there.
     """
     whole = n - F.ceil(n * percent / 100) + 1
-    return F.when(n * 100 <= K * percent, whole).otherwise(F.least(n, F.lit(K)) - LEAST + 1)
+    return F.when(n * 100 <= sketch_size(percent) * percent, whole).otherwise(F.least(n, F.lit(sketch_size(percent))) - least_shared(percent) + 1)
 
 
 def _lists(classes: DataFrame, percent: int) -> DataFrame:
@@ -83,7 +99,7 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     met = (values.join(shared, "value").withColumn("_at", F.row_number().over(by_rarity))
            .withColumn("_met", F.count(F.lit(1)).over(Window.partitionBy("signature")))
            .withColumn("weight", F.sum("held").over(Window.partitionBy("signature"))))
-    alone = F.least(F.col("n"), F.lit(K)) - F.col("_met")
+    alone = F.least(F.col("n"), F.lit(sketch_size(percent))) - F.col("_met")
     return saved(met.filter(F.col("_at") <= _prefix(F.col("n"), percent) - alone).select(
         "value", F.col("signature").alias("node"), "n", "weight"), "lists")
 
@@ -93,11 +109,11 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     side = lambda x: classes.select(F.col("signature").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.array_union("s_a", "s_b")
-    lowest = F.slice(F.array_sort(union), 1, K)
+    lowest = F.slice(F.array_sort(union), 1, sketch_size(percent))
     shared = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), lowest))
-    whole = (F.col("n_a") <= K) & (F.col("n_b") <= K)
+    whole = (F.col("n_a") <= sketch_size(percent)) & (F.col("n_b") <= sketch_size(percent))
     exact = F.size(F.array_intersect("s_a", "s_b")) * 100 >= F.size(union) * percent
-    return both.filter(F.when(whole, exact).otherwise(shared >= LEAST)).select("a", "b")
+    return both.filter(F.when(whole, exact).otherwise(shared >= least_shared(percent))).select("a", "b")
 
 
 def _texts(docs: DataFrame, classes: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -216,12 +232,13 @@ def _block_links(rows: DataFrame, docs: DataFrame, classes: DataFrame, width: in
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Documents are linked at a Jaccard similarity of ``percent`` or more between whole shingle sets. Equal sets form one
+    Documents are linked at a Jaccard similarity of ``percent`` or more between whole shingle sets; how many values sketches
+    must share follows from it (``least_shared``). Equal sets form one
     class, of which one text is compared. Every list's head is compared with its members first; lists that this does not
     make one component are then compared whole, block against block, so no link between two components is missed. Null and empty texts and texts without words have no shingles and stay alone;
     repeated rows are copies of each other and all keep or lose together. A null doc_id is smaller than none.
     """
-    rows = saved(signed(docs, width), "signed")
+    rows = saved(signed(docs, width, sketch_size(percent)), "signed")
     some = rows.filter(F.col("signature").isNotNull())
     classes = saved(some.groupBy("signature").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"),
                                                   F.first("sketch").alias("sketch")), "classes")

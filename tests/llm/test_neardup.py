@@ -1,7 +1,9 @@
 import random
+from math import comb
 
 import pytest
 
+import corpus_pipeline
 from devicelode.llm import neardup
 from devicelode.llm.common import components
 
@@ -74,3 +76,23 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(51), 0), **dict.fromkeys(range(100, 140), 100), 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_the_chance_of_a_miss_holds_for_every_threshold():
+    for percent in range(5, 101):
+        size, least, j = neardup.sketch_size(percent), neardup.least_shared(percent), percent / 100
+        assert sum(comb(size, i) * j ** i * (1 - j) ** (size - i) for i in range(least)) <= neardup.MISS and 1 <= least <= size
+    assert (neardup.sketch_size(85), neardup.least_shared(85), neardup.least_shared(80)) == (32, 17, 14)
+
+
+def test_the_pipeline_links_from_80_per_cent(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(80):  # pairs at 0.80 to 0.85: 116 words, two of them replaced, which breaks ten shingles
+        first = [f"w{rng.randrange(50_000)}" for _ in range(116)]
+        second = first[:40] + ["one"] + first[41:80] + ["two"] + first[81:]
+        a, b = shingles(" ".join(first)), shingles(" ".join(second))
+        assert 0.80 <= len(a & b) / len(a | b) < 0.85
+        rows += [(2 * i, " ".join(first)), (2 * i + 1, " ".join(second))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "length(text) n_chars")
+    assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == {2 * i for i in range(80)}
