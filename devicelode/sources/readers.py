@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from devicelode import schemas
 
 RAW_MAP = "map<string,string>"
+RECORD = T.StructField("_record", T.StringType())
+
+
+def _fields(record: Column) -> Column:
+    """How many fields a record has that Spark kept as it is because it does not fit the layout; NULL for one that fits."""
+    return F.length(F.regexp_replace(F.regexp_replace(record, r'"[^"]*+"', ""), "[^,]", "")) + 1
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue CSV with a header -> ``(pos, brand_name, device_name, device_url, device_image)``.
 
-    Short rows (no URL field) are left out, a missing image becomes ``''``.
+    Rows of less than three fields are left out; blank fields and a missing image become ``''``.
     ``pos`` numbers the rows from 0 in file order: a row number inside each
     file split plus the rows of the splits before it, so no task ever sees more
     than one split. Meant for ingest; keep the result as Parquet.
     """
     raw = (
-        spark.read.schema(schemas.CATALOGUE)
+        spark.read.schema(T.StructType([*schemas.CATALOGUE, RECORD]))
+        # Only a reader of all columns tells a short row from one with blank fields.
+        .option("columnNameOfCorruptRecord", "_record").option("columnPruning", False)
         .option("header", True).option("quote", '"').option("escape", '"')
         .option("mode", "PERMISSIVE")
         .csv(path)
@@ -30,7 +39,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
             F.col("_metadata.file_block_start").alias("_start"),
             F.monotonically_increasing_id().alias("_row"),
         )
-        .filter(F.col("device_url").isNotNull())
+        .filter(F.col("device_url").isNotNull() | F.coalesce(_fields(F.col("_record")) >= 3, F.lit(True)))
     )
     split = ["_file", "_start"]
     sizes = raw.groupBy(*split).agg(F.count(F.lit(1)).alias("_rows"))
@@ -42,9 +51,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
         raw.join(offsets, split)
         .select(
             (F.col("_before") + F.row_number().over(inside) - 1).cast("bigint").alias("pos"),
-            *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("brand_name", "device_name")],
-            "device_url",
-            F.coalesce("device_image", F.lit("")).alias("device_image"),
+            *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in schemas.CATALOGUE.names],
         )
     )
 
@@ -58,18 +65,20 @@ def read_specs(spark: SparkSession, path: str) -> DataFrame:
     """Specification CSV in the 4- or the 14-column layout -> the 14 columns.
 
     The narrow layout keeps a whole record as JSON in its fourth column; its
-    inner document and its promoted fields are taken out. Fields hold line
+    inner document and its promoted fields are taken out. Rows of less than four
+    fields are left out, blank URLs and documents are ``''``. Fields hold line
     breaks, so a file is read by one task: keep files of moderate size.
     """
     raw = (
-        spark.read.schema(schemas.SPECS_WIDE)
+        spark.read.schema(T.StructType([*schemas.SPECS_WIDE, RECORD]))
+        .option("columnNameOfCorruptRecord", "_record").option("columnPruning", False)
         .option("header", True).option("multiLine", True)
         .option("quote", '"').option("escape", '"')
         .option("mode", "PERMISSIVE")
         .csv(path)
-        .filter(F.col("device_url").isNotNull() & F.col("specifications").isNotNull())
+        .filter(F.col("specifications").isNotNull() | F.coalesce(_fields(F.col("_record")) >= 4, F.lit(True)))
     )
-    record = F.col("specifications")
+    record = F.coalesce("specifications", F.lit(""))
     inner = F.get_json_object(record, "$.specifications")
 
     def promoted(name: str) -> Column:
@@ -77,7 +86,7 @@ def read_specs(spark: SparkSession, path: str) -> DataFrame:
         return F.coalesce(F.col(name), own)
 
     return raw.select(
-        "device_url", "name",
+        F.coalesce("device_url", F.lit("")).alias("device_url"), "name",
         F.coalesce("pictures", F.lit("[]")).alias("pictures"),
         F.coalesce(inner, record).alias("specifications"),
         *[promoted(c).alias(c) for c in schemas.SPECS_WIDE.names[4:-1]],

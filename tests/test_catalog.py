@@ -186,3 +186,14 @@ def test_completion_and_checks_without_data(spark):
     checks = {r.name: r for r in C.brand_checks(brands, cat, urls(spark, "u0", "q")).collect()}
     assert checks["A"].exists and checks["A"].brand_specs == 1 and checks["A"].total_specs == 2
     assert not checks["B"].exists and checks["B"].brand_specs == 0
+
+
+def test_readers_keep_blank_fields_and_leave_out_short_rows(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('brand_name,device_name,device_url,device_image\nA,one,,i\nA,two,\nA,"th,ree"\nA,four,"",\n,,,\nA,five,u5,i,x\nA\n')
+    rows = read_catalogue(spark, str(tmp_path / "c.csv")).orderBy("pos")
+    want = [("one", ""), ("two", ""), ("four", ""), ("", ""), ("five", "u5")]
+    assert [tuple(r) for r in rows.select("device_name", "device_url").collect()] == want and rows.count() == rows.select("pos").count() == 5
+    (tmp_path / "s.csv").write_text('device_url,name,pictures,specifications\nu1,n,[],\n,n2,,"{""a"": ""x,\n y""}"\nu3,"a,b",[]\nu4,n,,,tech\nu5\n')
+    specs = read_specs(spark, str(tmp_path / "s.csv"))
+    assert sorted(tuple(r) for r in specs.select("device_url", "specifications").collect()) == [("", '{"a": "x,\n y"}'), ("u1", ""), ("u4", "")]
+    assert specs.count() == 3
