@@ -44,3 +44,10 @@ def test_query_equals_its_sql(spark, con, sf, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).columns == ["pos", "brand_name", "device_name", "device_url", "device_image", "total"]
+
+
+def test_n11_categorises_every_text(spark, sf):
+    got = {r["qid"]: (r["category"], r["similarity"]) for r in entry.queries()["N11_tfidf_category"](spark, sf).collect()}
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
+    assert got.keys() == {*ids, *(-1 - i for i in ids)}
+    assert any(got[i] != got[-1 - i] for i in ids if i % 2)

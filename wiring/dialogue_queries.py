@@ -94,7 +94,8 @@ def _words(n: str) -> str:
   SELECT min(place) AS place, pattern, max_by(category, place) AS category, sum(weight + CASE WHEN own THEN coalesce(more, 0) ELSE 0 END) AS weight
   FROM pattern_list LEFT JOIN stored ON own AND owner = category GROUP BY pattern)""",
     "sizes AS (SELECT sum(weight) + 1 AS n FROM patterns)",
-    f"""texts AS (SELECT doc_id AS qid, {_words('doc_id')} || ' ' || CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS text FROM documents)""",
+    f"""texts AS (SELECT doc_id AS qid, {_words('doc_id')} || ' ' || text AS text FROM documents
+  UNION ALL SELECT -1 - doc_id, {_words('doc_id')} FROM documents)""",
     "direct AS (SELECT qid, min_by(label, label_pos) AS category FROM texts JOIN dict ON contains(lower(text), phrase) GROUP BY qid)",
     "undecided AS (SELECT * FROM texts WHERE qid NOT IN (SELECT qid FROM direct))",
     f"pterms AS (SELECT place, weight, term, count(*) AS tf FROM ({NGRAMS.format(key='place, weight', text='pattern', source='patterns')}) GROUP BY 1, 2, 3)",
@@ -113,11 +114,13 @@ def _words(n: str) -> str:
 SELECT t.qid, coalesce(d.category, CASE WHEN b.sim > 0.3 THEN p.category END, 'default') AS category, coalesce(round(b.sim, 6), -1.0) AS similarity
 FROM texts t LEFT JOIN direct d USING (qid) LEFT JOIN best b ON b.qid = t.qid AND r = 1 LEFT JOIN patterns p ON p.place = b.place""")
 def tfidf_category(spark, d):
-    """Rendered texts; stored responses weigh two of the categories."""
+    """Every document behind an opening, and every opening alone (by negative ids); stored responses weigh two of the categories."""
     openings = ["perfect jobs", "your purposes name", "created a name", "questions", "feelings", "terribles", "me tell", "understand",
                 "until next", "identity", "is mean", "you appreciate it", "ggg", "my praise", "thank you very"]
-    q = T.wide_table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.concat(
-        T.pick(openings, F.col("doc_id") % 15), F.lit(" "), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.lit(""))).alias("text"))
+    opening = T.pick(openings, F.col("doc_id") % 15)
+    docs = T.wide_table(spark, d, "documents")
+    q = docs.select(F.col("doc_id").alias("qid"), F.concat(opening, F.lit(" "), F.col("text")).alias("text")).unionByName(
+        docs.select((-1 - F.col("doc_id")).alias("qid"), opening.alias("text")))
     k = F.col("c_nationkey") % 3
     store = T.table(spark, d, "customer").select(
         F.when(k == 0, F.lit("praise")).when(k == 1, F.lit("identity")).otherwise(F.lit("other")).alias("category"),
