@@ -14,6 +14,7 @@ from devicelode.dictionaries import POPULAR_BRANDS
 from devicelode.functions import full_name, strip
 from devicelode.functions.text import DEFAULT_BASE_URL
 from devicelode.operators.ordered import dense_position, first_per_key
+from devicelode.session import checkpointed
 
 # Up to this many rows a page is picked by a top-k; deeper pages are picked by rank.
 TOP_K_ROWS = 10_000
@@ -44,13 +45,14 @@ def paginate(df: DataFrame, limit: int = 100, offset: int = 0, order: str = "pos
     """One page of rows in file order, each with the ``total`` row count.
 
     The first pages are a top-k. A page far behind would make that top-k hold
-    everything before it, so there the rows are ranked by bucket instead.
+    everything before it, so there the rows are ranked by ranges of ``order`` instead, of whatever type it is.
     """
     if offset + limit <= TOP_K_ROWS:
         total = df.agg(F.count(F.lit(1))).scalar()
         return df.orderBy(order).offset(offset).limit(limit).withColumn("total", total)
-    ranked = dense_position(df, [order], out="_rank", total="total")
-    return ranked.filter(F.col("_rank").between(offset + 1, offset + limit)).drop("_rank")
+    ranges = checkpointed(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    ranked = dense_position(ranges, [order], out="_rank", total="total", bucket=F.col("_range"))
+    return ranked.filter(F.col("_rank").between(offset + 1, offset + limit)).drop("_rank", "_range")
 
 
 def by_url(df: DataFrame, url: str, base_url: str = DEFAULT_BASE_URL) -> DataFrame:

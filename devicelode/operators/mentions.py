@@ -68,12 +68,14 @@ def name_matches(q: DataFrame, cat: DataFrame, broadcast_names: int = BROADCAST_
     """``(qid, brand, device, pos, full, with_brand)`` for each name in each text.
 
     ``full``: "brand device" is in the text; ``with_brand``: the brand is in it
-    somewhere.
+    somewhere. Every row of ``q`` is matched by itself, also where a qid is null or repeats.
     """
     names = catalogue_names(cat)
     keys = name_keys(names)
     lengths = names.filter(F.length("device") < GRAM).agg(F.collect_set(F.length("device"))).scalar()
-    texts = q.select("qid", strip(F.lower("text")).alias("_text")).filter(F.col("_text").isNotNull())
+    # Ids are made once and saved, so that both ways below see the same rows.
+    texts = checkpointed(q.select("qid", strip(F.lower("text")).alias("_text")).filter(F.col("_text").isNotNull())
+                         .withColumn("_row", F.monotonically_increasing_id()))
     grams = F.explode_outer(text_grams(F.col("_text"), lengths)).alias("gram")
 
     keyed = names.join(keys, "device")
@@ -83,9 +85,9 @@ def name_matches(q: DataFrame, cat: DataFrame, broadcast_names: int = BROADCAST_
     else:
         # Only ids and pieces are shuffled. A piece found in very many texts is
         # spread over the salts, to each of which its names are sent.
-        probe = texts.select("qid", grams).withColumn("_salt", F.pmod(F.xxhash64("qid"), F.lit(SALTS)).cast("int"))
+        probe = texts.select("_row", grams).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
         salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = probe.join(salted, ["gram", "_salt"]).select("qid", "brand", "device", "pos").join(texts, "qid")
+        met = probe.join(salted, ["gram", "_salt"]).select("_row", "brand", "device", "pos").join(texts, "_row")
     return (
         met.filter(F.contains("_text", F.col("device")))
         .select(

@@ -197,3 +197,10 @@ def test_readers_keep_blank_fields_and_leave_out_short_rows(spark, tmp_path):
     specs = read_specs(spark, str(tmp_path / "s.csv"))
     assert sorted(tuple(r) for r in specs.select("device_url", "specifications").collect()) == [("", '{"a": "x,\n y"}'), ("u1", ""), ("u4", "")]
     assert specs.count() == 3
+
+
+def test_deep_pages_by_a_text_column(spark, monkeypatch):
+    df = spark.range(400).selectExpr("concat('n', lpad(cast(id * 7 % 400 as string), 4, '0')) name", "id").repartition(5)
+    shallow = [tuple(r) for r in C.paginate(df, 30, 200, order="name").collect()]
+    monkeypatch.setattr(C, "TOP_K_ROWS", 10)
+    assert sorted(tuple(r) for r in C.paginate(df, 30, 200, order="name").collect()) == shallow and len(shallow) == 30

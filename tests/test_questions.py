@@ -272,3 +272,10 @@ def test_core_plans_stay_in_the_jvm(spark):
     for df in (analyze(q, cat), compare(q, cat, specs), recommend(q, cat, specs), device_answers(q, cat, specs)):
         plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_null_and_repeated_question_ids_match_alike_both_ways(spark):
+    q = spark.createDataFrame([(None, "alpha rocket"), (1, "alpha rocket"), (1, "rocket here")], "qid long, text string")
+    cat = spark.createDataFrame([(0, "Alpha", "Rocket", "u", "")], "pos long, brand_name string, device_name string, device_url string, device_image string")
+    got = [sorted((tuple(r) for r in M.name_matches(q, cat, broadcast_names=n).collect()), key=repr) for n in (0, 100)]
+    assert got[0] == got[1] and len(got[0]) == 3
