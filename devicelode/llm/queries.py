@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devicelode.llm import identifiers, language, leaks, licences, lines, neardup, packing, search, sharding, urls
+from devicelode.llm import identifiers, infill, language, leaks, licences, lines, neardup, packing, periodic, search, sharding, urls
 from devicelode.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,20 @@ def op6_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_tandems(table(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    top = found.withColumn("top", periodic.strongest(F.col("runs")))
+    return top.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+                      F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+                      F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
