@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devicelode.llm import identifiers, infill, language, leaks, licences, lines, neardup, packing, periodic, search, sharding, urls
+from devicelode.llm import identifiers, infill, language, leaks, licences, lines, maintext, neardup, packing, periodic, search, sharding, urls
 from devicelode.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = infill.fill_in_middle(table(spark, sf_dir, "documents"))
     back = infill.restored(F.col("output"), F.col("form"))
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extracted(table(spark, sf_dir, "pages"))
