@@ -1,16 +1,13 @@
 """Rows out of stored pages ``(page_id, url, html)``.
 
-Everything is read from a page by regular expressions inside its own row:
-no Python worker and, but for picture galleries kept on another page, no
-shuffle. Lists are exploded in the outer form and filtered afterwards: a plain
-explode first tests for an empty list and so works every list out twice. Comments, scripts and styles are taken off first. Sections and tables
-are flat on these pages; a table inside a table is not followed.
+Everything is read from a page by expressions inside its own row (``markup``): no Python worker and, but for picture galleries
+kept on another page, no shuffle. Lists are exploded in the outer form and filtered afterwards: a plain explode first tests
+for an empty list and so works every list out twice. Comments, scripts and styles are taken off first. Sections and items
+end where their tags balance; rows and cells belong to the table nearest around them.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +15,10 @@ from devicelode.functions import (
     digits_int, gallery_url, json_quote, let, resolve_url, snake_key, strip, url_base, url_id,
 )
 from devicelode.functions.text import DEFAULT_BASE_URL
+from devicelode.operators import markup as M
+from devicelode.operators.markup import attribute, content, lines_of, text_of
 from devicelode.session import checkpointed
 
-# Character entities of the pages (fixed values); the ampersand is decoded last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©",
-            "&middot;": "·", "&amp;": "&"}
-NO_CONTENT = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-LINK = r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
-ANY_TAGS = r"(?s)(?:<[^>]*>)+"
-
 # Cells that carry a promoted field: field -> (data-spec name, category, feature, detailed key). Fixed values.
 PROMOTED = {
     "technology": ("nettech", "Network", "Technology", ("network", "technology")),
@@ -45,50 +37,23 @@ BAND_FEATURES = ["2G bands", "3G bands", "4G bands", "5G bands"]
 REGIONS = ["International", "USA", "EU", "China", "Japan", "Korea", "India"]
 
 
-# ---- page text --------------------------------------------------------------
-
-def content(html: Column | str) -> Column:
-    """HTML without comments, scripts and styles."""
-    return F.regexp_replace(html, NO_CONTENT, "")
-
-
-def decode(c: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
-
+# ---- marked cells -----------------------------------------------------------
 
-def text_of(fragment: Column) -> Column:
-    """Text of a fragment, its pieces run together, outer white space off."""
-    return strip(decode(F.regexp_replace(fragment, ANY_TAGS, "")))
-
-
-def lines_of(fragment: Column) -> Column:
-    """Text of a fragment with a line break for every tag between texts."""
-    return strip(decode(F.regexp_replace(fragment, ANY_TAGS, "\n")))
-
-
-def section_of(html: Column, css_class: str, tag: str = "div") -> Column:
-    """Inside of the first element of a class, up to its first closing tag."""
-    pattern = rf'(?is)<{tag}\b[^>]*\bclass="(?:[^"]*\s)?{re.escape(css_class)}(?:\s[^"]*)?"[^>]*>(.*?)</{tag}>'
-    return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+ROW = r"(?i)<tr(?=[\s/>])[^>]*>((?:[^<]++|<(?!/?tr[\s/>]))*+)"
+CELL = r"(?i)<td(?=[\s/>])[^>]*>(?:[^<]++|<(?!/?t[dr][\s/>]))*+"
+MARKED = r"(?i)<td(?=[\s/>])(?=[^>]*\bdata-spec)[^>]*>(?:[^<]++|<(?!/?t[dr][\s/>]))*+"
 
 
 def _all(fragment: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(fragment, F.lit(pattern), F.lit(group))
 
 
-def _first(fragment: Column, pattern: str, group: int = 1) -> Column:
-    """First match of a group, NULL when there is no match."""
-    return F.get(_all(fragment, pattern, group), F.lit(0))
-
-
-MARKED = r'(?is)<td\b(?=[^>]*\bclass="[^"]*\bnfo\b)[^>]*?\bdata-spec="([^"]*)"[^>]*>(.*?)</td>'
-
-
-def marked_cells(html: Column) -> Column:
-    """All value cells that carry a ``data-spec`` name, found in one go."""
-    return F.struct(_all(html, MARKED, 1).alias("names"), _all(html, MARKED, 2).alias("bodies"))
+def marked_cells(own: Column) -> Column:
+    """All value cells that carry a ``data-spec`` name, with their insides: ``struct<names, bodies>``."""
+    cells = F.flatten(F.transform(F.filter(own, lambda t: F.contains(t, F.lit("data-spec"))), lambda t: _all(t, MARKED, 0)))
+    named = F.filter(cells, lambda c: M.has_word(attribute(c, "class"), "nfo") & attribute(c, "data-spec").isNotNull())
+    return let(named, lambda cs: F.struct(F.transform(cs, lambda c: attribute(c, "data-spec")).alias("names"),
+                                          F.transform(cs, lambda c: M.body(c)).alias("bodies")))
 
 
 def spec_cell(marked: Column, name: str) -> Column:
@@ -97,18 +62,27 @@ def spec_cell(marked: Column, name: str) -> Column:
 
 
 def with_content(pages: DataFrame) -> DataFrame:
-    """Add ``_html``, the page's content, and ``_marked``, its marked cells."""
-    return pages.withColumn("_html", content("html")).withColumn("_marked", marked_cells(F.col("_html")))
+    """Add ``_html``, the page's content, ``_own``, the texts of its tables, and ``_marked``, its marked cells."""
+    return pages.withColumn("_html", content("html")).withColumn("_own", M.own_tables(F.col("_html"))).withColumn("_marked", marked_cells(F.col("_own")))
 
 
 # ---- links, listings, chains ---------------------------------------------------
 
+def _links(fragment: Column) -> Column:
+    """All links: ``array<struct<href, raw>>``, ``raw`` the inside; those without ``href`` are left out."""
+    found = F.transform(M.flat(fragment, "a"), lambda a: F.struct(attribute(a, "href").alias("href"), M.body(a).alias("raw")))
+    return F.filter(found, lambda a: a["href"].isNotNull())
+
+
+def _hrefs(fragment: Column) -> Column:
+    return F.array_compact(F.transform(M.flat(fragment, "a"), lambda a: attribute(a, "href")))
+
+
 def extract_links(pages: DataFrame, section: str | None = None) -> DataFrame:
     """Links of a section (or of the whole page) -> ``(page_id, pos, href, text)``."""
-    body = content("html") if section is None else section_of(content("html"), section)
+    body = content("html") if section is None else M.section(content("html"), section)
     scoped = pages.select("page_id", body.alias("body"))
-    links = scoped.select("page_id", F.posexplode_outer(F.arrays_zip(
-        _all(F.col("body"), LINK, 1).alias("href"), _all(F.col("body"), LINK, 2).alias("raw"))).alias("pos", "link")).filter("link IS NOT NULL")
+    links = scoped.select("page_id", F.posexplode_outer(_links(F.col("body"))).alias("pos", "link")).filter("link IS NOT NULL")
     return links.select("page_id", "pos", "link.href", text_of(F.col("link.raw")).alias("text"))
 
 
@@ -129,73 +103,93 @@ def extract_brands(pages: DataFrame, base_url: str = DEFAULT_BASE_URL, section:
 
 def extract_brand_menu(pages: DataFrame, base_url: str = DEFAULT_BASE_URL, section: str = "brandmenu-v2") -> DataFrame:
     """Brand menu -> ``(name, url, device_count)``: the whole link text, and the digits of its span."""
-    body = section_of(content("html"), section)
-    rows = pages.select("page_id", body.alias("body")).select("page_id", F.posexplode_outer(F.arrays_zip(
-        _all(F.col("body"), LINK, 1).alias("href"), _all(F.col("body"), LINK, 2).alias("raw"))).alias("pos", "link")).filter("link IS NOT NULL")
+    rows = pages.select("page_id", M.section(content("html"), section).alias("body")).select(
+        "page_id", F.posexplode_outer(_links(F.col("body"))).alias("pos", "link")).filter("link IS NOT NULL")
     return rows.select(
         "page_id", "pos", text_of(F.col("link.raw")).alias("name"), resolve_url(F.col("link.href"), base_url).alias("url"),
-        digits_int(F.coalesce(_first(F.col("link.raw"), r"(?is)<span[^>]*>(.*?)</span>"), F.lit(""))).alias("device_count"))
+        digits_int(F.coalesce(M.first(F.col("link.raw"), "span"), F.lit(""))).alias("device_count"))
 
 
 def extract_listing(pages: DataFrame, base_url: str = DEFAULT_BASE_URL, section: str = "makers") -> DataFrame:
-    """Listing page -> ``(page_id, pos, name, url, image_url)``; items without a link are left out."""
-    items = pages.select("page_id", section_of(content("html"), section).alias("body")).select(
-        "page_id", F.posexplode_outer(_all(F.col("body"), r"(?is)<li[^>]*>(.*?)</li>")).alias("pos", "item")).filter("item IS NOT NULL")
-    item = F.col("item")
-    found = items.select(
-        "page_id", "pos", _first(item, LINK, 1).alias("href"), _first(item, LINK, 2).alias("raw"),
-        F.coalesce(_first(item, r'(?is)<img\b[^>]*?\bsrc="([^"]*)"'), F.lit("")).alias("image_url"))
+    """Listing page -> ``(page_id, pos, name, url, image_url)``; items whose first link leads nowhere are left out.
+
+    An item inside an item is an item of its own; the outer one holds its link too.
+    """
+    items = pages.select("page_id", M.section(content("html"), section).alias("body")).select(
+        "page_id", F.posexplode_outer(M.elements(F.col("body"), "li")).alias("pos", "item")).filter("item IS NOT NULL")
+    link = items.select("page_id", "pos", F.get(M.flat(F.col("item.inner"), "a"), F.lit(0)).alias("a"), M.start_tag(F.col("item.inner"), "img").alias("img"))
+    found = link.select("page_id", "pos", attribute(F.col("a"), "href").alias("href"), "a", attribute(F.col("img"), "src").alias("src"))
     return found.filter(F.col("href").isNotNull()).select(
-        "page_id", "pos", text_of(F.col("raw")).alias("name"), resolve_url("href", base_url).alias("url"), "image_url")
+        "page_id", "pos", text_of(M.body(F.col("a"))).alias("name"), resolve_url("href", base_url).alias("url"), F.coalesce("src", F.lit("")).alias("image_url"))
 
 
 def listing_count(pages: DataFrame) -> DataFrame:
     """Devices a listing says it has: the number in its heading, else its items."""
     html = F.col("_html")
-    heading = text_of(F.coalesce(_first(section_of(html, "review-header"), r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit("")))
+    heading = text_of(F.coalesce(M.first(M.section(html, "review-header"), "h1"), F.lit("")))
     stated = F.regexp_extract(heading, r"(\d+)\s+phones?", 1).try_cast("bigint")
-    items = F.size(_all(section_of(html, "makers"), r"(?is)(<li\b)")).cast("bigint")
+    items = F.size(_all(M.section(html, "makers"), r"(?is)<li[\s/>]", 0)).cast("bigint")
     return pages.withColumn("_html", content("html")).select("page_id", "url", F.coalesce(
-        stated, F.when(section_of(html, "makers").isNotNull(), items), F.lit(0).cast("bigint")).alias("devices"))
+        stated, F.nullif(items, F.lit(-1).cast("bigint")), F.lit(0).cast("bigint")).alias("devices"))
 
 
 def next_page(pages: DataFrame, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     """Add ``next_url``: the first link after the current-page mark, unless it is ``#``."""
-    nav = section_of(content("html"), "nav-pages")
-    after = _first(nav, r"(?is)<strong[^>]*>.*?</strong>(.*)$")
-    href = F.nullif(_first(after, r'(?is)^.*?<a\b[^>]*?\bhref="([^"]*)"'), F.lit("#"))
+    def after(parts: Column) -> Column:
+        mark = F.array_position(F.transform(parts, lambda p: F.startswith(F.lower(F.substring(p, 1, 8)), F.lit("</strong"))), True).cast("int")
+        return F.when(mark > 0, F.array_join(F.slice(parts, mark, F.size(parts)), ""))
+
+    behind = let(M.pieces(M.section(content("html"), "nav-pages"), "strong"), after)
+    href = F.nullif(attribute(M.start_tag(behind, "a"), "href"), F.lit("#"))
     return pages.withColumn("next_url", resolve_url(href, base_url))
 
 
-def page_chain(pages: DataFrame, starts: DataFrame, base_url: str = DEFAULT_BASE_URL, max_pages: int = 65_536) -> DataFrame:
-    """Pages reached from each start by next-page links -> ``(start_url, step, url)``.
+def page_chain(pages: DataFrame, starts: DataFrame, base_url: str = DEFAULT_BASE_URL, on_cycle: str = "error") -> DataFrame:
+    """Pages reached from each start by next-page links -> ``(start_url, step, url)``, chains of any length.
 
-    Jumps are doubled: after k rounds a jump crosses 2^k pages, so a chain of n
-    pages takes log2(n) joins. Each round is checkpointed, which keeps the plan
-    short and survives lost executors. A chain that never ends is an error.
+    Jumps are doubled: after k rounds a jump crosses 2^k pages, so a chain of n pages takes log2(n) joins. Each round is
+    checkpointed, which keeps the plan short and survives lost executors. Each jump knows the smallest address that it
+    crosses: a page that is the smallest of its own jump is crossed by itself, so its chain is a cycle, found once jumps are as long as the cycle.
+    ``on_cycle``: ``error`` raises and names such pages; ``stop`` ends each chain in front of the first page it has already passed.
+    Of pages stored twice under one address the one of the highest ``page_id`` counts.
     """
+    if on_cycle not in ("error", "stop"):
+        raise ValueError("on_cycle is error or stop")
     have = pages.select("url").distinct()
+    latest = next_page(pages, base_url).groupBy("url").agg(F.max_by(F.struct("next_url"), "page_id")["next_url"].alias("next_url"))
     jumps = checkpointed(
-        next_page(pages, base_url).filter(F.col("next_url").isNotNull()).select("url", "next_url")
-        .join(have.withColumnRenamed("url", "next_url"), "next_url", "left_semi").dropDuplicates(["url"]))
+        latest.filter(F.col("next_url").isNotNull()).join(have.withColumnRenamed("url", "next_url"), "next_url", "left_semi")
+        .select("url", "next_url", F.col("next_url").alias("least")))
     reached = starts.select("url").distinct().join(have, "url", "left_semi").select(
         F.col("url").alias("start_url"), F.lit(0).cast("bigint").alias("step"), "url")
-    span = 1
+    span, cycles = 1, False
     while not jumps.isEmpty():
-        if span > max_pages:
-            raise ValueError(f"next-page links form a chain of more than {max_pages} pages")
+        if not cycles and (named := [r["url"] for r in jumps.filter("url = least").orderBy("url").limit(5).collect()]):
+            if on_cycle == "error":
+                raise ValueError(f"next-page links form a cycle through {', '.join(named)}")
+            cycles = True
+            reached = checkpointed(reached.groupBy("start_url", "url").agg(F.min("step").alias("step")).select("start_url", "step", "url"))
         further = reached.join(jumps, "url").select(
             "start_url", (F.col("step") + span).alias("step"), F.col("next_url").alias("url"))
+        if cycles:
+            further = further.groupBy("start_url", "url").agg(F.min("step").alias("step")).join(reached, ["start_url", "url"], "left_anti")
+            further = checkpointed(further.select("start_url", "step", "url"))
+            if further.isEmpty():
+                break
         reached = checkpointed(reached.unionByName(further))
-        second = jumps.select(F.col("url").alias("next_url"), F.col("next_url").alias("_far"))
-        jumps = checkpointed(jumps.join(second, "next_url").select("url", F.col("_far").alias("next_url")))
+        second = jumps.select(F.col("url").alias("next_url"), F.col("next_url").alias("_far"), F.col("least").alias("_least"))
+        jumps = checkpointed(jumps.join(second, "next_url").select("url", F.col("_far").alias("next_url"), F.least("least", "_least").alias("least")))
         span *= 2
     return reached
 
 
 def page_title(pages: DataFrame) -> DataFrame:
     """Add ``title``: the text of the first heading, ``''`` if there is none."""
-    return pages.withColumn("title", text_of(F.coalesce(_first(content("html"), r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit(""))))
+    return pages.withColumn("title", _title(content("html")))
+
+
+def _title(html: Column) -> Column:
+    return text_of(F.coalesce(M.first(html, "h1"), F.lit("")))
 
 
 # ---- specification tables ---------------------------------------------------------
@@ -236,24 +230,19 @@ def with_tables(pages: DataFrame) -> DataFrame:
     ``more`` marks a continuation row. Tables without a heading are left out,
     so are rows that repeat the heading and rows of fewer than two cells.
     """
-    cell = r"(?is)<td\b([^>]*)>(.*?)</td>"
-    th = r"(?is)<th\b[^>]*>(.*?)</th>"
-
     def raw_row(tr, i):
-        return F.struct(i.alias("row_pos"), _first(tr, th).alias("th"),
-                        _all(tr, cell, 1).alias("attrs"), _all(tr, cell, 2).alias("bodies"))
+        return F.struct(i.alias("row_pos"), M.first(tr, "th").alias("th"), _all(tr, CELL, 0).alias("cells"))
 
     def raw_table(table, i):
-        return F.struct(i.alias("table_pos"), text_of(_first(table, th)).alias("cat"),
-                        F.transform(_all(table, r"(?is)<tr\b[^>]*>(.*?)</tr>"), raw_row).alias("rows"))
+        return F.struct(i.alias("table_pos"), text_of(M.first(table, "th")).alias("cat"), F.transform(_all(table, ROW), raw_row).alias("rows"))
 
     def texts(row):
-        attrs, body = F.get(row["attrs"], F.lit(0)), F.get(row["bodies"], F.lit(1))
+        name, body = F.get(row["cells"], F.lit(0)), M.body(F.get(row["cells"], F.lit(1)))
         return F.struct(
             row["row_pos"].alias("row_pos"),
-            text_of(F.get(row["bodies"], F.lit(0))).alias("feature"),
-            strip(F.regexp_extract(attrs, r'(?is)\bdata-spec="([^"]*)"', 1)).alias("key"),
-            attrs.rlike(r'(?is)\bclass="[^"]*\bttl\b').alias("ttl"),
+            text_of(M.body(name)).alias("feature"),
+            strip(F.coalesce(attribute(name, "data-spec"), F.lit(""))).alias("key"),
+            M.has_word(attribute(name, "class"), "ttl").alias("ttl"),
             text_of(body).alias("value"), lines_of(body).alias("lined"))
 
     def with_bands(cat):
@@ -267,15 +256,15 @@ def with_tables(pages: DataFrame) -> DataFrame:
         return of
 
     def clean_table(t):
-        data = F.filter(t["rows"], lambda r: (F.size(r["bodies"]) >= 2)
+        data = F.filter(t["rows"], lambda r: (F.size(r["cells"]) >= 2)
                         & F.coalesce(text_of(r["th"]) != t["cat"], F.lit(True)))
         return F.struct(t["table_pos"].alias("table_pos"), t["cat"].alias("cat"),
                         F.transform(F.transform(data, texts), with_bands(t["cat"])).alias("rows"))
 
     staged = with_content(pages).withColumn(
-        "_tables", F.transform(_all(F.col("_html"), r"(?is)<table\b[^>]*>(.*?)</table>"), raw_table))
+        "_tables", F.transform(F.slice("_own", 2, F.size("_own")), raw_table))
     return staged.withColumn(
-        "tables", F.transform(F.filter("_tables", lambda t: t["cat"].isNotNull()), clean_table)).drop("_tables")
+        "tables", F.transform(F.filter("_tables", lambda t: t["cat"].isNotNull()), clean_table)).drop("_tables", "_own")
 
 
 def extract_spec_rows(pages: DataFrame) -> DataFrame:
@@ -366,12 +355,12 @@ def price_info(pages: DataFrame, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     return with_content(pages).withColumns({
         "price_info": _price_json(F.col("_marked"), base_url),
         "features_other": F.nullif(other, F.lit("")),
-    }).drop("_html", "_marked")
+    }).drop("_html", "_own", "_marked")
 
 
 def _price_json(marked: Column, base_url: str) -> Column:
     cell = spec_cell(marked, "price")
-    href = F.nullif(_first(cell, r'(?is)<a\b[^>]*?\bhref="([^"]*)"'), F.lit(""))
+    href = F.nullif(attribute(M.start_tag(cell, "a"), "href"), F.lit(""))
     filled = F.to_json(F.struct(text_of(cell).alias("text"), resolve_url(href, base_url).alias("url")))
     return F.when(cell.isNull(), F.lit("{}")).otherwise(filled)
 
@@ -380,8 +369,8 @@ def _price_json(marked: Column, base_url: str) -> Column:
 
 def own_pictures(html: Column, base_url: str = DEFAULT_BASE_URL) -> Column:
     """Main picture, then thumbnails, of a specification page."""
-    main = F.slice(_all(section_of(html, "specs-photo-main"), LINK, 1), 1, 1)
-    thumbs = _all(section_of(html, "specs-photo-sub"), LINK, 1)
+    main = F.slice(_hrefs(M.section(html, "specs-photo-main")), 1, 1)
+    thumbs = _hrefs(M.section(html, "specs-photo-sub"))
     none = F.array().cast("array<string>")
     links = F.filter(F.concat(F.coalesce(main, none), F.coalesce(thumbs, none)), lambda h: h != "")
     return F.filter(F.transform(links, lambda h: resolve_url(h, base_url)), lambda u: ~u.endswith(".php"))
@@ -389,23 +378,24 @@ def own_pictures(html: Column, base_url: str = DEFAULT_BASE_URL) -> Column:
 
 def gallery_images(html: Column) -> Column:
     """Images of a gallery page, placeholders left out."""
-    body = F.regexp_extract(html, r'(?is)<div\b[^>]*\bid="pictures-list"[^>]*>(.*?)</div>', 1)
-    images = _all(body, r'(?is)<img\b[^>]*?\bsrc="([^"]*)"')
-    return F.filter(images, lambda u: (u != "") & ~u.endswith("placeholder.jpg"))
+    images = F.transform(M.flat(M.by_id(html, "pictures-list"), "img"), lambda i: attribute(i, "src"))
+    return F.filter(F.array_compact(images), lambda u: (u != "") & ~u.endswith("placeholder.jpg"))
 
 
 def picture_list(pages: DataFrame, galleries: DataFrame | None = None, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     """``(page_id, url, pictures)``: own pictures, then new ones of the page's gallery.
 
     Galleries are other stored pages, found by the URL made from the page's
-    own. Only picture lists are shuffled for that, not pages.
+    own; of several under one URL that of the highest ``page_id`` counts.
+    Only picture lists are shuffled for that, not pages.
     """
     own = pages.select("page_id", "url", content("html").alias("_html")).select(
         "page_id", "url", own_pictures(F.col("_html"), base_url).alias("own"), gallery_url(url_base("url"), url_id("url"), base_url).alias("gallery"))
     if galleries is None:
         return own.select("page_id", "url", F.col("own").alias("pictures"))
-    more = galleries.select(F.col("url").alias("gallery"), F.filter(
-        gallery_images(content("html")), lambda u: ~u.endswith(".php")).alias("images")).dropDuplicates(["gallery"])
+    more = galleries.select("page_id", F.col("url").alias("gallery"), F.filter(
+        gallery_images(content("html")), lambda u: ~u.endswith(".php")).alias("images"))
+    more = more.groupBy("gallery").agg(F.max_by("images", "page_id").alias("images"))
     added = F.array_except(F.coalesce("images", F.array().cast("array<string>")), F.col("own"))
     return own.join(more, "gallery", "left").select("page_id", "url", F.concat("own", added).alias("pictures"))
 
@@ -492,7 +482,7 @@ def _detailed_entries(folded: Column, base_url: str) -> Column:
 
 def assemble_records(pages: DataFrame, galleries: DataFrame | None = None, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     """Specification pages -> one full record each, in the 14-column layout plus ``detailed_specs``."""
-    folded = with_folded(page_title(pages))
+    folded = with_folded(pages).withColumn("title", _title(F.col("_html")))
     fields = folded.withColumns({f: _promoted(f) for f in PROMOTED} | {f: _camera(f) for f in CAMERAS}).withColumn(
         "price_info", _price_json(F.col("_marked"), base_url))
     records = fields.select(

@@ -25,11 +25,22 @@ def brand_index(spark, d):
     b = T.brand_rows(spark, d)
     low = F.lower("name")
     return b.select(F.col("pos").alias("page_id"), F.lit("index").alias("url"), _cat(
-        '<html><a href="no.php">Outside 9 devices</a><div class="plain st-text" id="x"><table><td><a href="', low, '-phones.php">',
+        '<html><a href="no.php">Outside 9 devices</a><div class="plain st-text" id="x"><div><div>A note</div></div><table><td><a title="a > b" href=\'', low, "-phones.php'>",
         F.col("name"), "<br><span>", F.col("device_count"), ' devices</span></a></td><td><a href="">No link</a></td>',
         '<td><a class="x" href="n.php">77 devices</a></td><!-- <a href="c.php">Comment 1 devices</a> --></table></div></html>').alias("html"))
 
 
+def brand_indexes(spark, d):
+    """Brand indexes of a hundred entries each, one for each part; every entry stands in a block of its own, its link quoted in one of three ways."""
+    p = T.table(spark, d, "part")
+    k = F.col("p_partkey")
+    href = F.when(k % 3 == 0, _cat("'b-", k, ".php'")).when(k % 3 == 1, _cat('"b-', k, '.php"')).otherwise(_cat("b-", k, ".php"))
+    entry = _cat("<div><a class='x y' href=", href, ">", F.col("p_name"), " &amp; fr&egrave;res<br><span>", F.col("p_size"), " devices</span></a></div>")
+    grouped = p.groupBy(F.floor(k / LISTED).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(k, entry.alias("e")))).alias("entries"))
+    return grouped.select("page_id", F.lit("index").alias("url"), _cat(
+        "<div class='st-text'>", F.array_join(F.transform("entries", lambda e: e["e"]), "<div></div>"), "</div><a href=no.php>Out 1 devices</a>").alias("html"))
+
+
 def brand_menu(spark, d):
     b = T.brand_rows(spark, d)
     return b.select(F.col("pos").alias("page_id"), F.lit("menu").alias("url"), _cat(
@@ -43,7 +54,7 @@ def listings(spark, d, per_page=LISTED):
     pages = cat.agg(F.floor(F.max("pos") / per_page)).scalar()
     k = F.col("pos")
     href = F.replace("device_url", F.lit(T.BASE), F.lit(""))
-    image = F.when(k % 3 > 0, _cat('<img src="img/', k, '.jpg">')).otherwise(F.lit(""))
+    image = F.when(k % 3 == 1, _cat('<img src="img/', k, '.jpg">')).when(k % 3 == 2, _cat("<img src=img/", k, ".jpg alt='x'>")).otherwise(F.lit(""))
     item = F.when(k % 10 == 9, _cat("<li>", F.col("device_name"), "</li>")).otherwise(
         _cat('<li class="d"><a href="', href, '">', image, "<strong><span>", F.col("device_name"), " </span></strong></a></li>"))
     page = F.floor(k / per_page)
@@ -56,7 +67,7 @@ def listings(spark, d, per_page=LISTED):
     return grouped.select(
         "page_id", _cat(T.BASE, base, "-f-", F.col("page"), ".php").alias("url"), _cat(
             "<html>", heading, '<script>var s="<li><a href=x>no</a></li>";</script><div class="makers"><ul>',
-            F.array_join(F.transform("items", lambda i: i["li"]), "\n"), '</ul></div><div class="nav-pages"><a href="first.php">1</a><strong>',
+            F.array_join(F.transform("items", lambda i: i["li"]), '<div class="ad"><div>Advert</div></div>'), '</ul></div><div class="nav-pages"><a href="first.php">1</a><strong>',
             F.col("page"), '</strong> <a class="n" href="', next_href, '">next</a></div></html>').alias("html"))
 
 
@@ -70,7 +81,7 @@ def spec_pages(spark, d):
     """One specification page for each part."""
     p = T.wide_table(spark, d, "part")
     k, s, t = F.col("p_partkey"), F.col("p_size"), F.col("p_type")
-    row = lambda f, v, spec="": _cat('<tr><td class="ttl"><a href="g.php">', f, f'</a></td><td class="nfo"{spec}>', v, "</td></tr>")
+    row = lambda f, v, spec="": _cat('<tr><td class="ttl"><a href="g.php">', f, '</a></td><td class="nfo"', spec, ">", v, "</td></tr>")
     more = lambda v: _cat('<tr><td class="ttl">&nbsp;</td><td class="nfo">', v, "</td></tr>")
     table = lambda name, *rows: _cat(f'<table cellspacing="0"><tr><th rowspan="3" scope="row">{name}</th></tr>', *rows, "</table>")
     even = k % 2 == 0
@@ -79,8 +90,10 @@ def spec_pages(spark, d):
               row("2G bands", _cat("GSM ", s, " - International - GSM 900 - USA")),
               row("3G bands", _cat("HSDPA ", s, "<br>HSDPA 2<br> ")), row("4G bands", _cat("LTE ", s))),
         table("Body", row("Dimensions", _cat(s, " x 2 mm")), '<tr><td colspan="2">alone</td></tr>', row("SIM-type", "Nano")),
-        table("Display", row("Type", _cat("<b>", t, "</b> LCD"), ' data-spec="displaytype"')),
-        table("Platform", F.when(even, row("OS", _cat("os ", s), ' data-spec="os"')).otherwise(row("OS", _cat("os ", s))),
+        table("Display", row("Type", _cat("<b>", t, "</b> LCD"), " data-spec='displaytype'"),
+              F.when(k % 4 > 0, row("Size", _cat(s, " in"))).otherwise(row("Size", _cat(s, " in<table><tr><th>Inner</th></tr><tr><td class=ttl>Area</td><td>9", s, " cm</td></tr></table>"))),
+              row("Build", _cat("&eacute;tui &#x27;", s, "&#39; &lt;&euro;&gt;"), F.when(k % 16 == 1, ' title="a > b"').otherwise(" title='a'"))),
+        table("Platform", F.when(even, row("OS", _cat("os ", s), " data-spec=os")).otherwise(row("OS", _cat("os ", s))),
               row("Chipset", _cat(t, " &lt;chip&gt;"))),
         table("Memory", more("ignored"), row("Internal", _cat(s, "GB")), more("UFS"), more(_cat("eMMC ", s))),
         table("Main Camera", F.when(even, row("Dual", _cat(s, " MP<br>5 MP"), ' data-spec="cam1modules"')).otherwise(
@@ -103,7 +116,7 @@ def gallery_pages(spark, d):
     k = F.col("p_partkey")
     url = _cat(T.BASE, F.replace("p_name", F.lit(" "), F.lit("_")), "-pictures-", k, ".php")
     return p.select((k + 1_000_000_000).alias("page_id"), url.alias("url"), _cat(
-        '<div id="pictures-list"><h2>Pictures</h2><img src="cdn/', k, '-a.jpg"><img alt="" src="', T.BASE, "pics/", k,
+        "<div id='pictures-list'><h2>Pictures</h2><div><img src='cdn/", k, "-a.jpg'></div>", '<img alt="" src="', T.BASE, "pics/", k,
         '.jpg"><img src="cdn/placeholder.jpg"><img src="x.php"><img src="cdn/', k, '-a.jpg"></div>').alias("html"))
 
 
@@ -122,6 +135,12 @@ def extract_brands(spark, d):
     return E.extract_brands(brand_index(spark, d)).select("name", "url", "device_count").orderBy("name")
 
 
+@query("E2_extract_brand_index", f"""
+SELECT p_partkey // {LISTED} AS page_id, p_name || ' & frères' AS name, '{T.BASE}b-' || p_partkey || '.php' AS url, CAST(p_size AS BIGINT) AS device_count FROM part""")
+def extract_brand_index(spark, d):
+    return E.extract_brands(brand_indexes(spark, d)).select("page_id", "name", "url", "device_count")
+
+
 @query("E2_extract_brand_menu", ctes(T.CAT, T.NAMED, T.BRAND_ROWS) + f"""
 SELECT name || ' (' || device_count || ')' AS name, '{T.BASE}' || lower(name) || '.php' AS url, device_count FROM brands""")
 def extract_brand_menu(spark, d):
@@ -160,6 +179,9 @@ PAGE_ROWS = r"""page_rows AS (
     (1, 'Body', 1, 'Dimensions', [p_size || ' x 2 mm'], false, true),
     (1, 'Body', 3, 'SIM-type', ['Nano'], false, true),
     (2, 'Display', 1, 'Type', [p_type || ' LCD'], false, true),
+    (2, 'Display', 2, 'Size', [p_size || ' in' || CASE WHEN p_partkey % 4 = 0 THEN 'InnerArea9' || p_size || ' cm' ELSE '' END], false, true),
+    (2, 'Display', 3, 'Build', ['étui ''' || p_size || ''' <€>'], false, true),
+    (2.5, 'Inner', 1, 'Area', ['9' || p_size || ' cm'], false, p_partkey % 4 = 0),
     (3, 'Platform', 1, 'OS', ['os ' || p_size], false, true),
     (3, 'Platform', 2, 'Chipset', [p_type || ' <chip>'], false, true),
     (4, 'Memory', 2, 'Internal', [p_size || 'GB', 'UFS', 'eMMC ' || p_size], true, true),
