@@ -21,7 +21,20 @@ GRAM = 6
 # Name tables up to this size are sent to every executor; larger ones are shuffled.
 BROADCAST_NAMES = 200_000
 BROADCAST_CHARS = 32_000_000
-SALTS = 16
+# Bits of the piece filter for each name, and its largest size, 16 MB. Beyond two million names it lets more pieces through.
+BITS_PER_NAME = 64
+MOST_BITS = 1 << 27
+BITMAP_BITS = 32_768
+# A piece met by more texts than this is dealt over several tasks.
+HOT_PIECE = 100_000
+
+
+def text_row() -> Column:
+    """Which row of ``(qid, text)`` a row is, by what it holds: 128 bits of hash over both.
+
+    Rows equal in both are alike in everything that is asked of them; null and repeated ids keep texts apart.
+    """
+    return F.struct(F.xxhash64(F.lit(1), F.isnull("qid"), "qid", "text").alias("a"), F.xxhash64(F.lit(2), "text", F.isnull("qid"), "qid").alias("b"))
 
 
 def pieces(text: Column, size: int) -> Column:
@@ -57,43 +70,75 @@ def catalogue_names(cat: DataFrame) -> DataFrame:
 
 
 def names_fit(cat: DataFrame, rows: int) -> bool:
-    """Whether the names are few and short enough to broadcast; a large table is not counted to its end."""
+    """Whether the names are few and short enough to broadcast, by a count of rows and one of characters."""
     if not within_rows(cat, rows):
         return False
     chars = cat.agg(F.sum(F.length("brand_name") + F.length("device_name"))).first()[0]
     return (chars or 0) <= BROADCAST_CHARS
 
 
+def piece_filter(keyed: DataFrame, names: int):
+    """A test of pieces by one bit each: true for every piece of ``keyed``, and for about one in ``BITS_PER_NAME`` others.
+
+    The bits are one row of at most ``MOST_BITS``, whatever the number of names, put into the plan as a scalar.
+    """
+    bits = BITMAP_BITS
+    while bits < min(MOST_BITS, BITS_PER_NAME * names):
+        bits *= 2
+    number = lambda piece: F.pmod(F.xxhash64(piece), F.lit(bits)) + 1
+    maps = keyed.select(number(F.col("gram")).alias("n")).groupBy(F.bitmap_bucket_number("n").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
+    listed = maps.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits"))).alias("m")).select(
+        F.transform(F.sequence(F.lit(1), F.lit(bits // BITMAP_BITS)), lambda b: F.try_element_at(F.col("m"), b.cast("bigint"))).alias("maps"))
+    known = listed.scalar()
+
+    def test(piece: Column) -> Column:
+        at = F.bitmap_bit_position(number(piece))
+        byte = F.substring(F.get(known, (F.bitmap_bucket_number(number(piece)) - 1).cast("int")), (F.floor(at / 8) + 1).cast("int"), F.lit(1))
+        return F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1, F.lit(False))
+
+    return test
+
+
+def _met_by_shuffle(texts: DataFrame, keyed: DataFrame, lengths: Column) -> DataFrame:
+    """Texts beside the names whose piece they hold, with names too many to broadcast.
+
+    A text's pieces are held against the piece filter before anything is shuffled; only what passes is, as row number and piece, and it is
+    kept, so that pieces met by very many texts can be counted and dealt over several tasks. Texts are shuffled at most once, to meet their candidates.
+    """
+    keyed = checkpointed(keyed)
+    test = piece_filter(keyed, keyed.count())
+    probe = checkpointed(texts.select("row", F.explode_outer(text_grams(F.col("_text"), lengths)).alias("gram")).filter(test(F.col("gram"))))
+    hot = probe.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_PIECE).select(
+        "gram", F.ceil(F.col("n") / HOT_PIECE).cast("int").alias("salts"))
+    salted = keyed.join(hot, "gram", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    dealt = probe.join(F.broadcast(hot), "gram", "left").select("row", "gram", F.pmod(F.col("row.a"), F.coalesce("salts", F.lit(1))).cast("int").alias("_salt"))
+    met = dealt.join(salted, ["gram", "_salt"]).select("row", "brand", "device", "pos").distinct()
+    return met.join(texts, "row")
+
+
 def name_matches(q: DataFrame, cat: DataFrame, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
-    """``(qid, brand, device, pos, full, with_brand)`` for each name in each text.
+    """``(qid, brand, device, pos, full, with_brand, row)`` for each name in each text.
 
     ``full``: "brand device" is in the text; ``with_brand``: the brand is in it
-    somewhere. Every row of ``q`` is matched by itself, also where a qid is null or repeats.
+    somewhere. Every row of ``q`` is matched by itself, also where a qid is null or repeats; ``row`` tells which
+    (``text_row``). Rows equal in qid and text have the same ``row`` and all their matches once each.
     """
     names = catalogue_names(cat)
-    keys = name_keys(names)
     lengths = names.filter(F.length("device") < GRAM).agg(F.collect_set(F.length("device"))).scalar()
-    # Ids are made once and saved, so that both ways below see the same rows.
-    texts = checkpointed(q.select("qid", strip(F.lower("text")).alias("_text")).filter(F.col("_text").isNotNull())
-                         .withColumn("_row", F.monotonically_increasing_id()))
-    grams = F.explode_outer(text_grams(F.col("_text"), lengths)).alias("gram")
-
-    keyed = names.join(keys, "device")
-
+    texts = q.select("qid", text_row().alias("row"), strip(F.lower("text")).alias("_text")).filter(F.col("_text").isNotNull())
+    keyed = names.join(name_keys(names), "device")
     if names_fit(cat, broadcast_names):
-        met = texts.select("qid", "_text", grams).join(F.broadcast(keyed), "gram")
+        grams = F.explode_outer(text_grams(F.col("_text"), lengths)).alias("gram")
+        met = texts.select("qid", "row", "_text", grams).join(F.broadcast(keyed), "gram")
     else:
-        # Only ids and pieces are shuffled. A piece found in very many texts is
-        # spread over the salts, to each of which its names are sent.
-        probe = texts.select("_row", grams).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
-        salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = probe.join(salted, ["gram", "_salt"]).select("_row", "brand", "device", "pos").join(texts, "_row")
+        met = _met_by_shuffle(texts, keyed, lengths)
     return (
         met.filter(F.contains("_text", F.col("device")))
         .select(
             "qid", "brand", "device", "pos",
             F.contains("_text", F.concat("brand", F.lit(" "), "device")).alias("full"),
-            F.contains("_text", F.col("brand")).alias("with_brand"))
+            F.contains("_text", F.col("brand")).alias("with_brand"), "row")
     )
 
 
@@ -104,26 +149,33 @@ def _by_length() -> list[Column]:
 
 
 def device_mentions(q: DataFrame, cat: DataFrame, top: int | None = None, **kw) -> DataFrame:
-    """Different ``(brand, device)`` in each text, ranked longest first.
+    """``(qid, rank, brand, device, pos, row)``: different names in each text, ranked longest first.
 
-    With ``top`` only the first few ranks are kept, cut down before the shuffle.
+    With ``top`` only the first few ranks are kept, cut down before the shuffle. Ranks are those of one row of ``q``
+    (see ``name_matches``), whatever its qid; of rows equal in qid and text each has all its ranks.
     """
-    rank = F.row_number().over(W.partitionBy("qid").orderBy(*_by_length()))
+    rank = F.dense_rank().over(W.partitionBy("row").orderBy(*_by_length(), "brand", "device"))
     ranked = name_matches(q, cat, **kw).withColumn("rank", rank)
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
-    return ranked.select("qid", "rank", "brand", "device", "pos")
+    return ranked.select("qid", "rank", "brand", "device", "pos", "row")
 
 
-def mention_counts(matches: DataFrame) -> DataFrame:
-    """Devices per text, from ``name_matches``."""
-    return matches.groupBy("qid").agg(F.count(F.lit(1)).alias("n_devices"))
+def mention_lists(matches: DataFrame) -> DataFrame:
+    """One row per text with a match, from ``name_matches``: ``(row, devices)``, the different ``(brand, device, pos)``, longest match first."""
+    length = F.length("device") + F.when(F.col("full"), F.length("brand") + 1).otherwise(F.lit(0))
+    listed = F.array_sort(F.collect_set(F.struct((-length).alias("place"), "pos", F.when(F.col("full"), 0).otherwise(1).alias("form"), "brand", "device")))
+    return matches.groupBy("row").agg(listed.alias("_found")).select(
+        "row", F.transform("_found", lambda m: F.struct(m["brand"].alias("brand"), m["device"].alias("device"), m["pos"].alias("pos"))).alias("devices"))
 
 
 def first_pair_mention(q: DataFrame, cat: DataFrame, **kw) -> DataFrame:
-    """The first catalogue row, in file order, whose brand and device name are both in the text."""
-    return (name_matches(q, cat, **kw).filter("with_brand").groupBy("qid")
-            .agg(F.min_by(F.struct("brand", "device", "pos"), "pos").alias("m")).select("qid", "m.*"))
+    """``(qid, brand, device, pos, row)``: the first catalogue row, in file order, whose brand and device name are both in the text.
+
+    One row for each different ``(qid, text)``; join it to questions by ``text_row()``.
+    """
+    return (name_matches(q, cat, **kw).filter("with_brand").groupBy("row")
+            .agg(F.first("qid").alias("qid"), F.min_by(F.struct("brand", "device", "pos"), "pos").alias("m")).select("qid", "m.*", "row"))
 
 
 def match_partial(q: DataFrame, names: DataFrame, cat: DataFrame, n: int = 10, **kw) -> DataFrame:

@@ -131,9 +131,9 @@ def requested_specs(df: DataFrame, requested: str = "specifications", out: str =
     return df.withColumn(out, _first_of_key(entries_of(F.col(requested), F.col("entries"), paths)))
 
 
-def comparison_texts(entries: Column, kinds: Sequence[str] = tuple(D.SPEC_PATHS)) -> Column:
-    """Map of kind -> its entries as ``k: v, k: v``; kinds without entries are "Not specified"."""
-    all_kinds = F.array(*[F.lit(k) for k in kinds])
+def comparison_texts(entries: Column, kinds: Column | Sequence[str] = tuple(D.SPEC_PATHS)) -> Column:
+    """Map of kind -> its entries as ``k: v, k: v``; kinds without entries are "Not specified". ``kinds`` may be a column of lists."""
+    all_kinds = kinds if isinstance(kinds, Column) else F.array(*[F.lit(k) for k in kinds])
 
     def shown(e):
         inner = as_map(e["value"])

@@ -21,14 +21,14 @@ COMPARE_MESSAGES = {
 
 
 def _tagged(q: DataFrame) -> DataFrame:
-    """``(qid, features, specifications, intents)``: all that the text alone tells.
+    """``(qid, row, features, specifications, intents)``: all that the text alone tells.
 
-    Made before anything is joined, so that texts are never shuffled.
+    Made before anything is joined, so that texts are never shuffled. ``row`` is the question's identity, since ids may be null or repeat.
     """
     tags = N.lowered(q).select(
-        "qid", "_text", N.labels_found("_text", D.FEATURES).alias("features"),
+        "qid", M.text_row().alias("row"), "_text", N.labels_found("_text", D.FEATURES).alias("features"),
         N.labels_found("_text", D.SPEC_REQUESTS).alias("specifications"))
-    return tags.select("qid", "features", "specifications", N.score_list(
+    return tags.select("qid", "row", "features", "specifications", N.score_list(
         "_text", F.lit(0), F.col("specifications"), F.col("features")).alias("intents"))
 
 
@@ -42,23 +42,27 @@ def _with_devices(tagged: DataFrame) -> DataFrame:
 
 
 def analyze(q: DataFrame, cat: DataFrame, **kw) -> DataFrame:
-    """One row per question: tags, scored intents, first device, kind of answer.
+    """One row per question: its devices and brands, tags, scored intents, kind of answer.
 
-    The complete list of devices of a question is ``device_mentions``; here are
-    their number and the best one. The text itself is left behind.
+    ``devices``: all different ``(brand, device, full_name)`` of the text, longest match first; ``brands``: their brands in that
+    order. Both are empty without a match. The text itself is left behind. Null and repeated ids are questions of their own.
     """
-    best = M.name_matches(q, cat, **kw).groupBy("qid").agg(
-        F.count(F.lit(1)).alias("n_devices"), F.min(F.struct(*_order())).alias("_a"))
-    joined = _tagged(q).join(best, "qid", "left").withColumn("n_devices", F.coalesce("n_devices", F.lit(0)).cast("bigint"))
-    return N.rank_intents(_with_devices(joined)).select(
-        "qid", "n_devices", F.col("_a.brand").alias("first_brand"), F.col("_a.device").alias("first_device"),
+    found = M.mention_lists(M.name_matches(q, cat, **kw))
+    none = F.array().cast("array<struct<brand: string, device: string, pos: bigint>>")
+    joined = _tagged(q).join(found, "row", "left").withColumn("_all", F.coalesce("devices", none)).withColumn("n_devices", F.size("_all").cast("bigint"))
+    named = F.transform("_all", lambda m: F.struct(m["brand"].alias("brand"), m["device"].alias("device"), F.concat(m["brand"], F.lit(" "), m["device"]).alias("full_name")))
+    listed = joined.withColumns({"devices": named, "brands": F.array_distinct(F.transform("_all", lambda m: m["brand"]))})
+    first = F.get("_all", F.lit(0))
+    return N.rank_intents(_with_devices(listed)).select(
+        "qid", "n_devices", first["brand"].alias("first_brand"), first["device"].alias("first_device"), "devices", "brands",
         "features", "specifications", "intents", "primary_intent", "secondary_intent", "confidence", "response_type")
 
 
-def _order() -> list:
-    """Mentions as sortable fields, best first."""
-    length = F.length("device") + F.when(F.col("full"), F.length("brand") + 1).otherwise(F.lit(0))
-    return [(-length).alias("neg_length"), F.col("pos"), "brand", "device"]
+def categories(q: DataFrame, cat: DataFrame, **kw) -> DataFrame:
+    """All columns of ``q`` and ``category``, the cascade's, with the catalogue's pairs of brand and name as its last test."""
+    pairs = M.first_pair_mention(q, cat, **kw).select("row", F.lit(True).alias("_pair"))
+    joined = q.withColumn("row", M.text_row()).join(pairs, "row", "left")
+    return N.cascade_category(joined, F.coalesce("_pair", F.lit(False))).drop("row", "_pair")
 
 
 def _documents(cat: DataFrame, specs: DataFrame, spec_order: str) -> DataFrame:
@@ -73,45 +77,54 @@ def _documents(cat: DataFrame, specs: DataFrame, spec_order: str) -> DataFrame:
 
 
 def _pairs(q: DataFrame, cat: DataFrame, **kw) -> DataFrame:
+    """``(row, d1, d2)``: the first two devices of each text that names one."""
     top = M.device_mentions(q, cat, top=2, **kw)
-    return top.groupBy("qid").agg(
+    return top.groupBy("row").agg(
         F.max(F.when(F.col("rank") == 1, F.struct("pos", "brand", "device"))).alias("d1"),
         F.max(F.when(F.col("rank") == 2, F.struct("pos", "brand", "device"))).alias("d2"))
 
 
-def compare_status(q: DataFrame, cat: DataFrame, specs: DataFrame | None = None, **kw) -> DataFrame:
-    """``(qid, status, message)``: ``ok`` when two devices can be compared, else why not."""
-    pairs = q.select("qid").join(_pairs(q, cat, **kw), "qid", "left")
-    status = F.when(F.col("d2.pos").isNotNull(), F.lit("ok")).otherwise(F.lit("too_few"))
-    return pairs.select("qid", status.alias("status")).withColumn(
-        "message", F.when(F.col("status") != "ok", F.lit(COMPARE_MESSAGES["too_few"])))
+def compare_status(q: DataFrame, cat: DataFrame, within: DataFrame | None = None, **kw) -> DataFrame:
+    """``(qid, status, message)``: ``ok`` when two devices can be compared, else why not.
+
+    ``within``: catalogue rows that can be compared, all of ``cat`` by default; a device of none of their names is ``not_found``.
+    """
+    pairs = _pairs(q, cat, **kw)
+    short = F.when(F.col("d2.pos").isNull(), F.lit("too_few"))
+    if within is not None:
+        names = M.catalogue_names(within)
+        for side in ("d1", "d2"):
+            named = names.select(F.struct("brand", "device").alias("_name"), F.lit(True).alias(f"_{side}"))
+            pairs = pairs.join(named, F.struct(F.col(f"{side}.brand"), F.col(f"{side}.device")) == F.col("_name"), "left").drop("_name")
+        short = short.when(F.col("_d1").isNull() | F.col("_d2").isNull(), F.lit("not_found"))
+    pairs = q.select("qid", M.text_row().alias("row")).join(pairs, "row", "left")
+    told = F.create_map(*[F.lit(x) for kv in COMPARE_MESSAGES.items() for x in kv])
+    return pairs.select("qid", short.otherwise(F.lit("ok")).alias("status")).withColumn("message", F.try_element_at(told, F.col("status")))
 
 
 def compare(q: DataFrame, cat: DataFrame, specs: DataFrame, spec_order: str = "device_url", **kw) -> DataFrame:
     """Specifications of the first two devices of each question, side by side.
 
     ``(qid, place, spec, device_1, value_1, device_2, value_2)``; the kinds asked
-    for, or five common ones. Values are made once per device, not per question.
+    for, or five common ones. Values are made once per device, not per question, and of each only the kinds asked for travel.
     Of several documents with one URL the first by ``spec_order`` is used.
     """
-    # Ids and positions only; kept, as three joins below start from them.
-    pairs = checkpointed(_pairs(q, cat, **kw).filter(F.col("d2.pos").isNotNull()))
-    kinds = N.spec_tags(q).select("qid", F.when(F.size("specifications") > 0, F.col("specifications")).otherwise(
+    # Rows, positions and kinds only; kept, as the joins below start from them.
+    asked = N.spec_tags(q).select("qid", M.text_row().alias("row"), F.when(F.size("specifications") > 0, F.col("specifications")).otherwise(
         F.array(*[F.lit(s) for s in D.DEFAULT_COMPARISON])).alias("kinds"))
-    used = pairs.select(F.explode(F.array("d1.pos", "d2.pos")).alias("pos")).distinct()
-    docs = _documents(cat.join(used, "pos", "left_semi"), specs, spec_order).select(
-        "pos", F.concat("brand_name", F.lit(" "), "device_name").alias("name"), S.comparison_texts(F.col("entries")).alias("values"))
-    sides = pairs.select("qid", F.explode(F.array(
-        F.struct(F.lit(1).alias("side"), F.col("d1.pos").alias("pos")),
-        F.struct(F.lit(2).alias("side"), F.col("d2.pos").alias("pos")))).alias("s")).select("qid", "s.side", "s.pos")
-    shown = F.struct("name", "values")
-    both = sides.join(docs, "pos").groupBy("qid").agg(
-        F.any_value(F.when(F.col("side") == 1, shown), True).alias("one"),
-        F.any_value(F.when(F.col("side") == 2, shown), True).alias("two"))
-    return both.join(kinds, "qid").select("qid", "one", "two", F.posexplode_outer("kinds").alias("place", "spec")).select(
-        "qid", "place", "spec",
-        F.col("one.name").alias("device_1"), F.try_element_at("one.values", F.col("spec")).alias("value_1"),
-        F.col("two.name").alias("device_2"), F.try_element_at("two.values", F.col("spec")).alias("value_2"))
+    pairs = checkpointed(_pairs(q, cat, **kw).filter(F.col("d2.pos").isNotNull()).join(asked, "row").select(
+        "qid", F.col("d1.pos").alias("p1"), F.col("d2.pos").alias("p2"), "kinds"))
+    used = pairs.select(F.explode(F.array("p1", "p2")).alias("pos"), "kinds").groupBy("pos").agg(
+        F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("wanted"))
+    docs = _documents(cat.join(used, "pos"), specs, spec_order).select(
+        "pos", F.concat("brand_name", F.lit(" "), "device_name").alias("name"), S.comparison_texts(F.col("entries"), F.col("wanted")).alias("texts"))
+    values = checkpointed(docs.select("pos", "name", F.explode_outer("texts").alias("spec", "value")))
+    names = values.select("pos", "name").distinct()
+    lines = pairs.select("qid", "p1", "p2", F.posexplode_outer("kinds").alias("place", "spec"))
+    for side in ("1", "2"):
+        lines = lines.join(names.select(F.col("pos").alias(f"p{side}"), F.col("name").alias(f"device_{side}")), f"p{side}")
+        lines = lines.join(values.select(F.col("pos").alias(f"p{side}"), "spec", F.col("value").alias(f"value_{side}")), [f"p{side}", "spec"], "left")
+    return lines.select("qid", "place", "spec", "device_1", "value_1", "device_2", "value_2")
 
 
 def device_answers(q: DataFrame, cat: DataFrame, specs: DataFrame, spec_order: str = "device_url", **kw) -> DataFrame:
@@ -120,9 +133,9 @@ def device_answers(q: DataFrame, cat: DataFrame, specs: DataFrame, spec_order: s
     ``(qid, response_type, device_url, answer)``. The device is the first row,
     in file order, among those that carry one of the mentioned names.
     """
-    found = M.name_matches(q, cat, **kw)
-    first = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n_devices"), F.min("pos").alias("pos"))
-    tagged = _with_devices(_tagged(q).join(first, "qid"))
+    found = M.mention_lists(M.name_matches(q, cat, **kw)).select(
+        "row", F.size("devices").cast("bigint").alias("n_devices"), F.array_min(F.transform("devices", lambda m: m["pos"])).alias("pos"))
+    tagged = _with_devices(_tagged(q).join(found, "row"))
     wanted = checkpointed(tagged.filter(F.col("response_type").isin("device_specs", "device_details")).select(
         "qid", "pos", "specifications", "response_type"))
     docs = S.with_facts(_documents(cat.join(wanted.select("pos").distinct(), "pos", "left_semi"), specs, spec_order))

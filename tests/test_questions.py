@@ -11,7 +11,7 @@ from devicelode.operators import dialogue as G
 from devicelode.operators import mentions as M
 from devicelode.operators import specs as S
 from devicelode.operators import tagging as N
-from devicelode.plans import analyze, compare, compare_status, device_answers, recommend
+from devicelode.plans import analyze, categories, compare, compare_status, device_answers, recommend
 
 CAT = "pos bigint, brand_name string, device_name string, device_url string, device_image string"
 # A device called "A" is found in most texts, as plain substrings are.
@@ -279,3 +279,52 @@ def test_null_and_repeated_question_ids_match_alike_both_ways(spark):
     cat = spark.createDataFrame([(0, "Alpha", "Rocket", "u", "")], "pos long, brand_name string, device_name string, device_url string, device_image string")
     got = [sorted((tuple(r) for r in M.name_matches(q, cat, broadcast_names=n).collect()), key=repr) for n in (0, 100)]
     assert got[0] == got[1] and len(got[0]) == 3
+
+
+ROCKETS = [(0, "Alpha", "Rocket", "u", ""), (1, "Beta", "Comet", "v", ""), (2, "Alpha", "Moon 9", "w", "")]
+TWINS = [(None, "alpha rocket"), (None, "beta comet and rocket"), (1, "alpha rocket"), (1, "alpha and its moon 9"), (1, "nothing"), (2, "alpha rocket"), (2, "alpha rocket"), (None, None), (3, None)]
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_rows_with_null_or_repeated_ids_are_texts_of_their_own(spark, limit):
+    q = spark.createDataFrame(TWINS, "qid long, text string")
+    cat = spark.createDataFrame(ROCKETS, CAT)
+    listed = lambda df, *cols: sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+    mentions = listed(M.device_mentions(q, cat, broadcast_names=limit), "qid", "rank", "device")
+    assert mentions == sorted([(None, 1, "rocket"), (None, 1, "comet"), (None, 2, "rocket"), (1, 1, "rocket"), (1, 1, "moon 9"), (2, 1, "rocket"), (2, 1, "rocket")], key=repr)
+    pairs = listed(M.first_pair_mention(q, cat, broadcast_names=limit), "qid", "device")
+    assert pairs == sorted([(None, "rocket"), (None, "comet"), (1, "rocket"), (1, "moon 9"), (2, "rocket")], key=repr)
+    told = listed(analyze(q, cat, broadcast_names=limit), "qid", "n_devices", "first_device")
+    assert told == sorted([(None, 1, "rocket"), (None, 2, "comet"), (1, 1, "rocket"), (1, 1, "moon 9"), (1, 0, None), (2, 1, "rocket"), (2, 1, "rocket"), (None, 0, None), (3, 0, None)], key=repr)
+    kinds = listed(categories(q, cat, broadcast_names=limit), "qid", "text", "category")
+    assert len(kinds) == len(TWINS) and {t for _, t, c in kinds if c == "device_search"} == {t for _, t in TWINS if t and t != "nothing"}
+    status = listed(compare_status(q, cat, broadcast_names=limit), "qid", "status")
+    assert status == sorted([(i, "ok" if t and "comet" in t else "too_few") for i, t in TWINS], key=repr)
+
+
+def test_analysis_lists_devices_and_brands(spark):
+    row = analyze(ask(spark), devices(spark)).filter("qid = 0").first()
+    assert [(d.brand, d.device, d.full_name) for d in row.devices] == [(b, d, f"{b} {d}") for b, d in MENTIONED[0]]
+    assert row.brands == ["samsung", "apple", "oppo"]
+
+
+def test_devices_outside_the_comparable_rows_are_not_found(spark):
+    cat = devices(spark)
+    rows = {r.qid: (r.status, r.message) for r in compare_status(ask(spark), cat, within=cat.filter("brand_name <> 'Apple'")).collect()}
+    assert rows[0] == ("not_found", "I couldn't find enough information to compare these devices.") and rows[1][0] == "ok" and rows[2][0] == "too_few"
+
+
+def test_piece_filter_lets_every_known_piece_through(spark, monkeypatch):
+    monkeypatch.setattr(M, "BITS_PER_NAME", 20_000)
+    known = spark.range(40).select(F.concat(F.lit("piece "), "id").alias("gram"))
+    test = M.piece_filter(known, 40)
+    asked = spark.range(20_000).select("id", F.concat(F.lit("piece "), "id").alias("p"))
+    passed = [r.id for r in asked.filter(test(F.col("p"))).collect()]
+    assert set(range(40)) <= set(passed) and len(passed) < 60
+
+
+def test_hot_pieces_are_dealt_and_met_once(spark, monkeypatch):
+    monkeypatch.setattr(M, "HOT_PIECE", 5)
+    q = spark.range(40).select(F.col("id").alias("qid"), F.concat(F.lit("alpha rocket no "), "id").alias("text"))
+    rows = M.name_matches(q, spark.createDataFrame(ROCKETS, CAT), broadcast_names=0).collect()
+    assert sorted(r.qid for r in rows) == list(range(40))

@@ -122,15 +122,26 @@ def response_type(spark, d):
 @query("N6_analyze", ctes(T.CAT, T.QUESTIONS, T.MATCHES, *DICTS,
                          "counts AS (SELECT q.qid, q.text, count(m.device) AS n_devices FROM questions q LEFT JOIN matches m USING (qid) GROUP BY 1, 2)",
                          _intent_sql("counts", "n_devices"),
-                         f"kinds AS (SELECT qid, {RESPONSE} AS response_type FROM scored JOIN counts USING (qid) GROUP BY qid)") + """
+                         f"kinds AS (SELECT qid, {RESPONSE} AS response_type FROM scored JOIN counts USING (qid) GROUP BY qid)",
+                         "lists AS (SELECT qid, string_agg(brand || ' ' || device, '|' ORDER BY rank) AS devices FROM ranked GROUP BY qid)",
+                         "firsts AS (SELECT qid, brand, min(rank) AS rank FROM ranked GROUP BY 1, 2)",
+                         "brand_lists AS (SELECT qid, string_agg(brand, '|' ORDER BY rank) AS brands FROM firsts GROUP BY qid)",
+                         "feature_lists AS (SELECT qid, string_agg(label, '|' ORDER BY label_pos) AS features FROM (SELECT DISTINCT qid, label, label_pos FROM lowered JOIN dict ON contains(t, phrase)) GROUP BY qid)",
+                         "spec_lists AS (SELECT qid, string_agg(label, '|' ORDER BY label_pos) AS specifications FROM (SELECT DISTINCT qid, label, label_pos FROM lowered JOIN sdict ON contains(t, phrase)) GROUP BY qid)",
+                         "intent_lists AS (SELECT qid, string_agg(intent, '|' ORDER BY ord) AS intents FROM scored GROUP BY qid)") + """
 SELECT c.qid, c.n_devices, coalesce(r.brand, '-') AS first_brand, coalesce(r.device, '-') AS first_device, primary_intent,
-       secondary_intent, confidence, response_type
-FROM counts c LEFT JOIN ranked r ON r.qid = c.qid AND r.rank = 1 JOIN primary_two p ON p.qid = c.qid JOIN kinds k ON k.qid = c.qid""")
+       secondary_intent, confidence, response_type, coalesce(devices, '') AS devices, coalesce(brands, '') AS brands,
+       coalesce(features, '') AS features, coalesce(specifications, '') AS specifications, intents
+FROM counts c LEFT JOIN ranked r ON r.qid = c.qid AND r.rank = 1 JOIN primary_two p ON p.qid = c.qid JOIN kinds k ON k.qid = c.qid
+LEFT JOIN lists l ON l.qid = c.qid LEFT JOIN brand_lists b ON b.qid = c.qid LEFT JOIN feature_lists f ON f.qid = c.qid LEFT JOIN spec_lists s ON s.qid = c.qid JOIN intent_lists i ON i.qid = c.qid""")
 def analyze(spark, d):
     a = P.analyze(T.questions(spark, d), T.wide_catalogue(spark, d))
     dash = lambda c: F.coalesce(c, F.lit("-")).alias(c)
+    names = lambda c, field: F.array_join(F.transform(c, lambda x: x[field]), "|")
     return a.select("qid", "n_devices", dash("first_brand"), dash("first_device"), "primary_intent", dash("secondary_intent"),
-                    "confidence", "response_type")
+                    "confidence", "response_type", names("devices", "full_name").alias("devices"), F.array_join("brands", "|").alias("brands"),
+                    F.array_join("features", "|").alias("features"), F.array_join("specifications", "|").alias("specifications"),
+                    names("intents", "intent").alias("intents"))
 
 
 @query("N7_brand_focus", ctes(T.ASKED, "names AS (SELECT unnest({0}) AS name, generate_subscripts({0}, 1) AS place)".format(T.sql_list(D.BRAND_NAMES))) + """
@@ -179,10 +190,7 @@ SELECT qid, CASE
   WHEN qid IN (SELECT qid FROM matches WHERE with_brand) THEN 'device_search' ELSE 'general' END AS category
 FROM (SELECT qid, lower(text) AS t FROM questions)""")
 def cascade_category(spark, d):
-    q = T.questions(spark, d)
-    pairs = M.first_pair_mention(q, T.wide_catalogue(spark, d)).select("qid", F.lit(True).alias("pair"))
-    joined = q.join(pairs, "qid", "left")
-    return N.cascade_category(joined, F.coalesce("pair", F.lit(False))).select("qid", "category")
+    return P.categories(T.questions(spark, d), T.wide_catalogue(spark, d)).select("qid", "category")
 
 
 SHIPPED = {"query_type": D.QUERY_TYPES, "sentiment": D.SENTIMENT, "usage": D.USAGE_PATTERNS, "topic": D.TECHNICAL_TOPICS,
@@ -291,12 +299,15 @@ def compare_values(spark, d):
     return docs.select("pos", F.explode_outer(S.comparison_texts(F.col("entries"))).alias("kind", "value"))
 
 
-@query("K7_compare_status", ctes(T.CAT, T.QUESTIONS, T.MATCHES) + """
-SELECT q.qid, CASE WHEN count(device) >= 2 THEN 'ok' ELSE 'too_few' END AS status,
-       CASE WHEN count(device) < 2 THEN 'I need at least two devices to compare. Please specify the devices you want to compare.' END AS message
-FROM questions q LEFT JOIN matches m USING (qid) GROUP BY q.qid""")
+@query("K7_compare_status", ctes(T.CAT, T.QUESTIONS, T.MATCHES) + """,
+sided AS (SELECT q.qid, count(rank) AS n, count(rank) FILTER (WHERE rank <= 2 AND pos % 3 = 1) AS unknown FROM questions q LEFT JOIN ranked USING (qid) GROUP BY q.qid)
+SELECT qid, CASE WHEN n < 2 THEN 'too_few' WHEN unknown > 0 THEN 'not_found' ELSE 'ok' END AS status,
+       CASE WHEN n < 2 THEN 'I need at least two devices to compare. Please specify the devices you want to compare.'
+            WHEN unknown > 0 THEN 'I couldn''t find enough information to compare these devices.' END AS message FROM sided""")
 def compare_status(spark, d):
-    return P.compare_status(T.questions(spark, d), T.wide_catalogue(spark, d))
+    """Every third device of the catalogue isn't among those that can be compared."""
+    cat = T.wide_catalogue(spark, d)
+    return P.compare_status(T.questions(spark, d), cat, within=cat.filter("pos % 3 <> 1"))
 
 
 RECOMMEND = f"""asked_about AS (

@@ -179,11 +179,12 @@ SPEC_ROWS = """spec_rows AS (
 # ---- questions --------------------------------------------------------------------
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question per order, about the devices numbered by customer and by order key."""
+    """One question per order, about the devices numbered by customer and by order key; any device can be the second one."""
     cat = catalogue(spark, sf_dir)
     a = cat.select(F.col("pos").alias("ka"), F.col("brand_name").alias("ba"), F.col("device_name").alias("da"))
     b = cat.select(F.col("pos").alias("kb"), F.col("brand_name").alias("bb"), F.col("device_name").alias("db"))
-    o = wide_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 200).alias("kb"))
+    devices = cat.agg(F.count(F.lit(1))).scalar()
+    o = wide_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") * 7 % devices).alias("kb"))
     m = F.col("o_orderkey") % 5
     sp = F.lit(" ")
     body = (
@@ -205,7 +206,7 @@ QUESTIONS = f"""questions AS (
               WHEN 2 THEN a.brand_name || ' ' || a.device_name || ' vs ' || b.device_name
               WHEN 3 THEN a.device_name || ' or ' || b.brand_name || ' ' || b.device_name
               ELSE 'something new' END AS text
-  FROM orders JOIN cat a ON a.pos = o_custkey JOIN cat b ON b.pos = o_orderkey % 200)"""
+  FROM orders JOIN cat a ON a.pos = o_custkey JOIN cat b ON b.pos = o_orderkey * 7 % (SELECT count(*) FROM cat))"""
 
 # All mentions: the nested loop that the operator avoids.
 MATCHES = """names AS (
