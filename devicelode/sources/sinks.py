@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from devicelode.sources.keyed import latest_commit, new_version, publish
+
 
 def append_rows(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Add rows to a table; CSV files each carry the header."""
@@ -37,24 +37,26 @@ def write_brand_snapshot(brands: DataFrame, path: str, ts: str, per_document: in
     docs.write.mode("overwrite").json(path)
 
 
-def overwrite_swap(df: DataFrame, path: str) -> str:
-    """Write a new version of a table, then publish it.
+def overwrite_swap(df: DataFrame, path: str, seen: int | None = None) -> int:
+    """Write a new version of a table, then publish it as the next commit; the commit's number.
 
-    ``df`` may be derived from the current version: nothing is overwritten.
-    Readers see the old version until the one-row pointer is committed, so a
-    job lost half way leaves the table as it was.
+    ``df`` may be derived from the current version: nothing is overwritten. Readers see the old version until the commit
+    is made, so a job lost half way leaves the table as it was. Of two writers that started from the same commit
+    only one publishes; the other gets ``ConcurrentWrite``. ``seen``: the commit that ``df`` was derived from, the newest now if not told.
     """
-    version = f"{time.time_ns():020d}"
+    spark = df.sparkSession
+    number = latest_commit(spark, path)[0] if seen is None else seen
+    version = new_version(number + 1)
     df.write.mode("errorifexists").parquet(f"{path}/versions/{version}")
-    pointer = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published_at"))
-    pointer.write.mode("append").parquet(f"{path}/pointer")
-    return version
+    return publish(spark, path, number + 1, {"version": version})
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
     """The published version of a table kept by ``overwrite_swap``."""
-    version = spark.read.parquet(f"{path}/pointer").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/versions/{version}")
+    content = latest_commit(spark, path)[1]
+    if content is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.parquet(f"{path}/versions/{content['version']}")
 
 
 def preview(df: DataFrame, n: int = 50, order: str = "pos") -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from devicelode.operators import usage
+from devicelode.operators.ordered import first_per_key
 from devicelode.plans.refreshing import refresh
+from devicelode.sources.keyed import batch_folders
 
 
 def event_time(log: DataFrame, ts: str = "ts") -> DataFrame:
@@ -34,7 +36,7 @@ def latest_status_stream(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def dedupe_stream(df: DataFrame, key: str = "device_url", delay: str = "1 hour") -> DataFrame:
-    """The first row of each key; keys are remembered for the delay."""
+    """The first row of each key, without a table to hold it against: keys are forgotten after the delay. See ``start_dedupe``."""
     return event_time(df).withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -69,8 +71,33 @@ def latest_table(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return newest.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in rest])
 
 
-def ingest_stream(listing: DataFrame, pages: DataFrame, root: str, checkpoint: str, now: str, once: bool = True) -> StreamingQuery:
-    """Refresh the tables under ``root`` with each batch of listed devices.
+def start_dedupe(stream: DataFrame, path: str, checkpoint: str, key: str = "device_url", order: str = "ts", once: bool = True) -> StreamingQuery:
+    """Append the first row of each key that the table under ``path`` doesn't hold yet, however long ago it came.
+
+    Of one batch the row of the smallest ``order`` counts, and a later batch never replaces it. Each batch is held against the
+    keys of all batches before it, of which only those of the batch are looked for, and writes its own folder, so that a batch run again
+    writes the same. Read with ``first_rows``.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        firsts = first_per_key(batch, [key], order, batch.columns)
+        known = [b for b in batch_folders(spark, path) if b < batch_id]
+        if known:
+            earlier = spark.read.schema(batch.schema).parquet(*[f"{path}/batch_id={b}" for b in known]).select(key)
+            firsts = firsts.join(earlier, firsts[key].eqNullSafe(earlier[key]), "left_anti")
+        firsts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def first_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The table written by ``start_dedupe``: one row for each key."""
+    return spark.read.parquet(path).drop("batch_id")
+
+
+def ingest_stream(listing: DataFrame, pages: DataFrame, root: str, checkpoint: str, now: str, once: bool = True, **options) -> StreamingQuery:
+    """Refresh the tables under ``root`` with each batch of listed devices; ``options`` are those of ``refresh``.
 
     ``pages`` is the table of stored specification pages. A batch that is run
     again finds its devices known and tracked, and changes nothing.
@@ -80,8 +107,10 @@ def ingest_stream(listing: DataFrame, pages: DataFrame, root: str, checkpoint: s
     def apply(batch: DataFrame, batch_id: int) -> None:
         # The batch is read several times by the refresh.
         kept = batch.persist()
-        refresh(spark, kept, pages, root, now)
-        kept.unpersist()
+        try:
+            refresh(spark, kept, pages, root, now, batch=batch_id, **options)
+        finally:
+            kept.unpersist()
 
     writer = listing.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return (writer.trigger(availableNow=True) if once else writer).start()

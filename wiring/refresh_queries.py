@@ -102,6 +102,19 @@ def refresh_report(spark, d):
     return R.refresh_report(R.new_devices(listing, cat), R.untracked_devices(listing, cat, ledger), brands, brands, "2025-05-01T12:00:00")
 
 
+@query("G7_refresh_report_partial", """
+SELECT count(*) FILTER (WHERE p_partkey % 4 = 0) AS new_devices, count(*) FILTER (WHERE p_partkey % 4 <> 0 AND p_partkey % 3 <> 0) AS updated_devices,
+       count(DISTINCT p_brand) FILTER (WHERE p_size % 50 > 0) - count(DISTINCT p_brand) FILTER (WHERE p_brand = 'Brand#11') AS brands_processed, count(DISTINCT p_brand) AS total_brands,
+       CASE WHEN count(DISTINCT p_brand) = 0 THEN TIMESTAMP '2025-05-01 12:00:00' END AS last_full_update FROM part""")
+def refresh_report_partial(spark, d):
+    """One brand was asked for and not processed."""
+    listing, cat, ledger = _three(spark, d)
+    p = T.table(spark, d, "part")
+    done = p.filter("p_size % 50 > 0 AND p_brand <> 'Brand#11'")
+    return R.refresh_report(R.new_devices(listing, cat), R.untracked_devices(listing, cat, ledger), p.select(F.col("p_brand").alias("name")),
+                            done.select(F.col("p_brand").alias("name")), "2025-05-01T12:00:00")
+
+
 @query("G9_snapshot_status", """
 SELECT count(*) AS brand_count, max(ts) AS last_updated,
        CAST(date_diff('second', max(ts), TIMESTAMP '2024-02-05 06:00:00') // 86400 AS VARCHAR) || ' days ago' AS time_since_update,

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from devicelode.functions import tier_limit, valid_tier
 from devicelode.operators import usage as U
 from devicelode.session import scratch_path
-from devicelode.sources.sinks import overwrite_swap, read_current
+from devicelode.operators.ordered import first_per_key
+from devicelode.sources.keyed import create_keyed, read_keyed
 from devicelode.streaming import streams as S
 from wiring import page_queries
 from wiring import tables as T
@@ -80,8 +81,8 @@ def fold_status(spark, d):
 # ---- streams ------------------------------------------------------------------------
 
 def _event_stream(spark, d):
-    schema = T.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The events as a stream, be the table one file or a folder of them."""
+    return spark.readStream.schema(T.table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
 
 
 def _run(spark, stream, keys):
@@ -108,18 +109,28 @@ def latest_status_stream(spark, d):
     return _run(spark, S.latest_status_stream(_event_stream(spark, d).select("event_type", "event_id", "ts"), ["event_type"]), ["event_type"])
 
 
-@query("M5_dedupe_batch", "SELECT DISTINCT user_id AS device_url FROM events")
+FIRST_EVENTS = "SELECT user_id AS device_url, min_by(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM events GROUP BY user_id"
+
+
+@query("M5_dedupe_batch", FIRST_EVENTS)
 def dedupe_batch(spark, d):
-    return T.table(spark, d, "events").select(F.col("user_id").alias("device_url")).dropDuplicates(["device_url"])
+    rows = T.table(spark, d, "events").select(F.col("user_id").alias("device_url"), "event_id", "ts", F.struct("ts", "event_id").alias("place"))
+    return first_per_key(rows, ["device_url"], "place", ["device_url", "event_id", "ts"])
 
 
-@query("M5_dedupe_stream", "SELECT DISTINCT user_id AS device_url FROM events")
+@query("M5_dedupe_stream", FIRST_EVENTS)
 def dedupe_stream(spark, d):
-    rows = _event_stream(spark, d).select(F.col("user_id").alias("device_url"), "ts")
-    out, ckpt = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
-    once = S.dedupe_stream(rows, delay="60 days")
-    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("device_url")
+    """Events in four batches by time, written one after the other; most users come back in later batches."""
+    rows = T.table(spark, d, "events").select(F.col("user_id").alias("device_url"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.struct("ts", "event_id").alias("place"))
+    inbox, out, state = (scratch_path(spark, n) for n in ("inbox", "stream", "stream-state"))
+    at = F.unix_micros("ts")
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    quarter = F.least(F.floor((at - low) * 4 / max(1, high - low)), F.lit(3))
+    for k in range(4):
+        rows.filter(quarter == k).coalesce(1).write.mode("append").parquet(inbox)
+        S.start_dedupe(spark.readStream.schema(rows.schema).parquet(inbox), out, state, order="place").awaitTermination()
+    firsts = S.first_rows(spark, out)
+    return firsts.select("device_url", "event_id", F.col("ts").cast(T.table(spark, d, "events").schema["ts"].dataType).alias("ts"))
 
 
 @query("M6_fold_status_stream", ctes(T.STATUS) + """
@@ -134,29 +145,34 @@ def fold_status_stream(spark, d):
     return _filled(_run(spark, S.fold_status_stream(e, FIELDS, ["user_id"]), ["user_id"]), "user_id")
 
 
-@query("M4_ingest_stream", """
-SELECT CASE WHEN p_partkey % 4 = 0 THEN 'new' ELSE 'updated' END AS state, count(*) AS n FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 3 <> 0 GROUP BY 1
-UNION ALL SELECT 'kept', count(*) FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 = 0
-UNION ALL SELECT 'tracked', count(*) FROM part UNION ALL SELECT 'specs', count(*) FROM part""")
+@query("M4_ingest_stream", f"""
+SELECT 'specs' AS kind, '{T.BASE}' || replace(p_name, ' ', '_') || '-' || p_partkey || '.php' AS device_url,
+       CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 3 = 0 THEN 'old' ELSE p_name || ' & ' || p_partkey END AS name,
+       CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 3 = 0 THEN '[]' ELSE '["' || array_to_string({page_queries.PICTURES}, '","') || '"]' END AS value FROM part
+UNION ALL SELECT 'ledger', '{T.BASE}' || replace(p_name, ' ', '_') || '-' || p_partkey || '.php',
+       CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 3 = 0 THEN '2024-01-01' ELSE '2025-05-01' END, brand_name FROM part JOIN named ON pos = p_partkey
+UNION ALL SELECT 'catalogue', device_url, device_name, brand_name FROM named
+UNION ALL SELECT 'report', '', CAST(count(*) FILTER (WHERE p_partkey % 4 = 0) AS VARCHAR), CAST(count(*) FILTER (WHERE p_partkey % 4 <> 0 AND p_partkey % 3 <> 0) AS VARCHAR) FROM part""".replace(
+    "\nSELECT 'specs'", ctes(T.CAT, T.NAMED) + "SELECT 'specs'", 1))
 def ingest_stream(spark, d):
-    """Listings arrive as a stream; a quarter of the devices is new, a third is tracked already."""
+    """Listings arrive as a stream; a quarter of the devices is new, a third is tracked already. All three tables and the reports are compared."""
     cat = T.named_catalogue(spark, d)
     root, inbox = scratch_path(spark, "tables"), scratch_path(spark, "inbox")
     old = cat.filter("pos % 4 <> 0")
-    empty_specs = ["device_url", "name", "pictures", "specifications"]
     specs = old.select("device_url", F.lit("old").alias("name"), F.lit("[]").alias("pictures"), F.lit("{}").alias("specifications"))
     ledger = old.filter("pos % 3 = 0").select("device_url", F.lit("2024-01-01").cast("timestamp").alias("last_updated"), F.col("brand_name").alias("brand"))
-    for name, df in (("catalogue", old), ("specs", specs.select(*empty_specs)), ("ledger", ledger)):
-        overwrite_swap(df, f"{root}/{name}")
-    cat.write.parquet(inbox)
+    for name, df in (("catalogue", old), ("specs", specs), ("ledger", ledger)):
+        create_keyed(df, f"{root}/{name}", buckets=8)
+    cat.repartition(2, "pos").write.parquet(inbox)
     listing = spark.readStream.schema(cat.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    S.ingest_stream(listing, page_queries.spec_pages(spark, d), root, scratch_path(spark, "stream-state"), "2025-05-01").awaitTermination()
-    now = read_current(spark, f"{root}/specs").join(old.select("device_url", F.lit(True).alias("was")), "device_url", "left")
-    state = F.when(F.col("was").isNull(), F.lit("new")).when(F.col("name") == "old", F.lit("kept")).otherwise(F.lit("updated"))
-    count = F.count(F.lit(1)).alias("n")
-    return (now.groupBy(state.alias("state")).agg(count)
-            .unionByName(read_current(spark, f"{root}/ledger").select(F.lit("tracked").alias("state")).groupBy("state").agg(count))
-            .unionByName(now.select(F.lit("specs").alias("state")).groupBy("state").agg(count)))
+    S.ingest_stream(listing, page_queries.spec_pages(spark, d), root, scratch_path(spark, "stream-state"), "2025-05-01",
+                    galleries=page_queries.gallery_pages(spark, d), base_url=T.BASE).awaitTermination()
+    kind = lambda k: F.lit(k).alias("kind")
+    counts = spark.read.parquet(f"{root}/reports").agg(F.sum("new_devices").cast("string").alias("name"), F.sum("updated_devices").cast("string").alias("value"))
+    return (read_keyed(spark, f"{root}/specs").select(kind("specs"), "device_url", "name", F.col("pictures").alias("value"))
+            .unionByName(read_keyed(spark, f"{root}/ledger").select(kind("ledger"), "device_url", F.date_format("last_updated", "yyyy-MM-dd").alias("name"), F.col("brand").alias("value")))
+            .unionByName(read_keyed(spark, f"{root}/catalogue").select(kind("catalogue"), "device_url", F.col("device_name").alias("name"), F.col("brand_name").alias("value")))
+            .unionByName(counts.select(kind("report"), F.lit("").alias("device_url"), "name", "value")))
 
 
 @query("S15_tiers", """
