@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from devicelode.llm import identifiers, infill, language, leaks, licences, lines, maintext, neardup, packing, periodic, search, sharding, urls
 from devicelode.llm.common import table
+from devicelode.llm.oracles import OP5, OP9, OP11, OP13
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_exact_top_k": OP5, "op9_decontamination": OP9, "op11_periodic_runs": OP11, "op13_fill_in_middle": OP13}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
