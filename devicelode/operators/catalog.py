@@ -133,9 +133,10 @@ def concat_distinct(first: DataFrame, second: DataFrame, order: str = "pos") ->
     """
     both = first.withColumn("part", F.lit(0)).unionByName(second.withColumn("part", F.lit(1)))
     same = [c for c in first.columns if c != order]
-    place = F.struct("part", order)
-    return (both.groupBy(*same).agg(F.min(place).alias("_place"))
-            .select(F.col(f"_place.{order}").alias(order), *same, F.col("_place.part").alias("part")))
+    # Numbers only, so that rows are combined by hashing.
+    own = F.min(F.when(F.col("part") == 0, F.col(order))).alias("_own")
+    found = both.groupBy(*same).agg(F.min("part").alias("part"), own, F.min(order).alias("_any"))
+    return found.select(F.when(F.col("part") == 0, F.col("_own")).otherwise(F.col("_any")).alias(order), *same, "part")
 
 
 def except_brands(cat: DataFrame, brands: Sequence[str]) -> DataFrame:

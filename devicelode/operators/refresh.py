@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devicelode.operators.ordered import first_per_key
+from devicelode.operators.ordered import first_per_key, one_per_key
 
 
 def unify(cat: DataFrame, specs: DataFrame, dedupe: bool = False, order: str | None = None) -> DataFrame:
@@ -45,9 +45,7 @@ def upsert(target: DataFrame, updates: DataFrame, key: str = "device_url", order
     """
     cols = target.columns
     if order:
-        last = F.max_by(F.struct(*[c for c in cols if c != key]), order).alias("_row")
-        latest = updates.groupBy(key).agg(last).select(
-            *[c if c == key else F.col(f"_row.{c}").alias(c) for c in cols])
+        latest = one_per_key(updates, [key], order, cols, last=True)
     else:
         latest = updates.select(*cols)
     kept = target.join(updates.select(key).distinct(), key, "left_anti")

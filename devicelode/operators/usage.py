@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from devicelode.functions import percent, tier_limit
 from devicelode.functions.text import TIER_LIMITS
-from devicelode.operators.ordered import dense_position, running_last, time_bucket
+from devicelode.operators.ordered import dense_position, even_buckets, running_last
 
 # Limits for clients without a tier: name -> (requests, window). Fixed values.
 DEFAULT_LIMITS = {"day": (200, "1 day"), "hour": (50, "1 hour")}
@@ -29,7 +29,7 @@ def usage_totals(log: DataFrame, key: str = "key") -> DataFrame:
 
 def usage_running(log: DataFrame, key: str = "key", event_id: str = "event_id", bucket_seconds: int = 60) -> DataFrame:
     """Use count and last use of the key as they stood after each request."""
-    counted = dense_position(log, ["ts", event_id], [key], out="usage_count", bucket=time_bucket("ts", bucket_seconds))
+    counted = dense_position(even_buckets(log, [key], "ts", event_id, bucket_seconds), ["ts", event_id], [key], out="usage_count")
     return counted.withColumn("last_used", F.col("ts"))
 
 
@@ -61,7 +61,7 @@ def latest_status(events: DataFrame, keys: list[str], ts: str = "ts", event_id:
 def fold_status(events: DataFrame, fields: list[str], keys: list[str], ts: str = "ts",
                 event_id: str = "event_id", bucket_seconds: int = 3600) -> DataFrame:
     """The status as it stood after each event: an event overwrites the fields it carries."""
-    return running_last(events, fields, [ts, event_id], keys, time_bucket(ts, bucket_seconds))
+    return running_last(even_buckets(events, keys, ts, event_id, bucket_seconds), fields, [ts, event_id], keys)
 
 
 def status_now(events: DataFrame, fields: list[str], keys: list[str], ts: str = "ts",

@@ -1,7 +1,12 @@
+import random
+import re
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from devicelode.operators import catalog as C
+from devicelode.operators import ordered as O
 from devicelode.operators import usage as U
 from devicelode.streaming import streams as S
 
@@ -73,3 +78,74 @@ def test_dedupe_stream(spark, tmp_path):
     (S.dedupe_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
      .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination())
     assert sorted(r.device_url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u0", "u1", "u2"]
+
+
+# ---- ordered rules, whole and in pieces ------------------------------------------------------
+
+def brute_folded(rows):
+    """(id, last non-null value, count) of every row, by plain loops over (key, time, id)."""
+    out, state, seen = {}, {}, {}
+    for key, ts, i, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2])):
+        state[key] = v if v is not None else state.get(key)
+        seen[key] = seen.get(key, 0) + 1
+        out[i] = (state[key], seen[key])
+    return out
+
+
+def busy_rows():
+    """One key with most rows, hundreds of them in one instant; a null key, null times."""
+    rng = random.Random(3)
+    rows = [("hot", 60, i, i if rng.random() < 0.1 else None) for i in rng.sample(range(10_000), 400)]
+    rows += [("hot", rng.randint(0, 300), 20_000 + i, i if rng.random() < 0.2 else None) for i in range(300)]
+    rows += [(rng.choice(["a", "b", None]), rng.choice([None, 5, 7, 90]), 30_000 + i, i if rng.random() < 0.3 else None) for i in range(120)]
+    return rows
+
+
+@pytest.mark.parametrize("limit", [20, 100_000])
+def test_running_rules_in_even_pieces(spark, monkeypatch, limit):
+    monkeypatch.setattr(O, "BUCKET_ROWS", limit)
+    rows = busy_rows()
+    df = spark.createDataFrame(rows, "user string, s long, event_id long, v long").withColumn("ts", F.timestamp_seconds("s")).repartition(3)
+    want = brute_folded(rows)
+    folded = {r.event_id: r.v for r in U.fold_status(df, ["v"], ["user"]).collect()}
+    counted = {r.event_id: r.usage_count for r in U.usage_running(df, "user").collect()}
+    assert folded == {i: w[0] for i, w in want.items()} and counted == {i: w[1] for i, w in want.items()}
+    if limit == 20:
+        pieces = O.even_buckets(df, ["user"], "ts", "event_id", 60).filter("user = 'hot' AND s = 60").groupBy("_bucket").count().collect()
+        assert len(pieces) > 20 and max(r["count"] for r in pieces) < 60
+
+
+def exchanges_with(df, column):
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    text = text.split("== Initial Plan ==")[0]
+    return len(re.findall(rf"\) Exchange\s*\nInput \[\d+\]: \[[^\n]*\b{column}#", text))
+
+
+def test_rows_are_shuffled_once(spark):
+    df = spark.createDataFrame(busy_rows(), "user string, s long, event_id long, v long").withColumn("ts", F.timestamp_seconds("s")).withColumn("text", F.concat(F.lit("x"), "event_id"))
+    back = O.look_back(df, F.col("text"), ["event_id"], ["user"], 4, "said")
+    for ranked in (back, U.usage_running(df, "user"), U.fold_status(df, ["v"], ["user"])):
+        assert exchanges_with(ranked, "text") == 1
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 7, 50, 10_000])
+def test_look_back_over_chunks_of_any_size(spark, monkeypatch, chunk):
+    rows = [("a", i * i % 97 * 1000 + i, f"t{i}") for i in range(60)] + [("b", i, f"b{i}") for i in range(3)] + [(None, i, f"n{i}") for i in range(9)] + [("c", None, "c0"), ("c", 4, "c1")]
+    df = spark.createDataFrame(rows, "conv string, turn long, text string").repartition(4)
+    for n in (1, 2, 5):
+        said = {}
+        for conv, turn, text in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0)):
+            said.setdefault(conv, []).append(text)
+        want = {(c, t): said[c][max(0, i - n + 1):i + 1] for c in said for i, t in enumerate(said[c])}
+        got = {(r.conv, r.text): r.said for r in O.look_back(df, F.col("text"), ["turn"], ["conv"], n, "said", bucket=F.floor(F.col("turn") / 500), chunk_rows=chunk).collect()}
+        assert got == want
+
+
+def test_one_per_key(spark):
+    rows = [("a", 2, "x"), ("a", 1, "y"), ("a", 1, "y"), ("b", None, "n"), ("b", 5, "z"), (None, 3, "q"), (None, 4, "r"), ("c", None, "only")]
+    df = spark.createDataFrame(rows, "k string, n long, doc string")
+    take = lambda last: sorted((tuple(r) for r in O.one_per_key(df, ["k"], "n", ["k", "doc"], last).collect()), key=repr)
+    assert take(False) == sorted([("a", "y"), ("b", "n"), (None, "q"), ("c", "only")], key=repr)
+    assert take(True) == sorted([("a", "x"), ("b", "z"), (None, "r"), ("c", "only")], key=repr)
+    for plan in (O.first_per_key(df, ["k"], "n", ["k", "doc"]), C.concat_distinct(df.withColumnRenamed("n", "pos"), df.withColumnRenamed("n", "pos"))):
+        assert "SortAggregate" not in plan._jdf.queryExecution().toString()
