@@ -14,10 +14,11 @@ from devicelode.dictionaries import POPULAR_BRANDS
 from devicelode.functions import full_name, strip
 from devicelode.functions.text import DEFAULT_BASE_URL
 from devicelode.operators.ordered import dense_position, first_per_key
-from devicelode.session import checkpointed
 
 # Up to this many rows a page is picked by a top-k; deeper pages are picked by rank.
 TOP_K_ROWS = 10_000
+# Values looked at to cut a table into ranges, and the number of cuts.
+SAMPLE, CUTS = 4_000, 64
 
 
 # ---- filters -------------------------------------------------------------
@@ -41,18 +42,69 @@ def search_full_name(cat: DataFrame, text: str, n: int = 10) -> DataFrame:
     return head(cat.filter(found), n)
 
 
+def _bounds(rows: DataFrame, key: str, size: int) -> list:
+    """Values of ``key`` that cut the rows into parts of about one size: some of a sample, at least one unless all are NULL."""
+    some = rows.filter(F.col(key).isNotNull()).select(key)
+    values = {v for (v,) in some.sample(min(1.0, SAMPLE / size), 7).collect() if v == v}
+    if not values:
+        least = some.agg(F.min(key)).first()[0]
+        return [] if least is None else [least]
+    ranked = sorted(values)
+    return sorted({ranked[i * len(ranked) // CUTS] for i in range(CUTS)})
+
+
+def _slice(rows: DataFrame, keys: list[str], skip: int, take: int, size: int) -> list[DataFrame]:
+    """Rows ``skip + 1`` to ``skip + take`` of ``size`` by ``keys``, as parts in order.
+
+    Bounds cut the rows into ranges between two bounds and ranges of one value; their counts tell which of them hold the page. A range that
+    lies in the page whole is taken as it is, the one or two at its ends are cut again, those of one value by the next key. Counts and
+    bounds are all that is collected, and only the key is read for them.
+    """
+    if skip == 0 and take >= size:
+        return [rows]
+    if size <= TOP_K_ROWS or not keys:
+        return [rows.orderBy(*keys).offset(skip).limit(take) if keys else rows.offset(skip).limit(take)]
+    key = keys[0]
+    kind = rows.schema[key].dataType
+    bounds = [F.lit(v).cast(kind) for v in _bounds(rows, key, size)]
+    value = F.col(key)
+    listed = F.array(*bounds).cast(f"array<{kind.simpleString()}>")
+    place = F.when(value.isNull(), -1).otherwise(2 * F.size(F.filter(listed, lambda b: b < value)) + F.array_contains(listed, value).cast("int"))
+    counts = sorted((r[0], r[1]) for r in rows.groupBy(place.alias("_at")).agg(F.count(F.lit(1))).collect())
+    parts, before = [], 0
+    for at, n in counts:
+        first, last = max(skip - before, 0), min(skip + take - before, n)
+        if last > first:
+            one = at < 0 or at % 2 == 1
+            low, high = (at // 2 - 1, at // 2)
+            if at < 0:
+                part = rows.filter(value.isNull())
+            elif one:
+                part = rows.filter(value == bounds[at // 2])
+            else:
+                part = rows.filter(value > bounds[low]) if low >= 0 else rows
+                part = part.filter(value < bounds[high]) if high < len(bounds) else part.filter(value.isNotNull())
+            parts += _slice(part, keys[1:] if one else keys, first, last - first, n)
+        before += n
+    return parts
+
+
 def paginate(df: DataFrame, limit: int = 100, offset: int = 0, order: str = "pos") -> DataFrame:
-    """One page of rows in file order, each with the ``total`` row count.
+    """One page of rows in file order, each with the ``total`` row count. NULL comes first; equal values are in the order of the rows' hashes.
 
-    The first pages are a top-k. A page far behind would make that top-k hold
-    everything before it, so there the rows are ranked by ranges of ``order`` instead, of whatever type it is.
+    The first pages are a top-k. A page far behind would make that top-k hold everything before it, so there the range of
+    ``order`` that holds the page is looked for by counting (``_slice``), and only its rows are sorted; the table is neither shuffled nor written.
     """
+    placed = df.withColumn("_tie", F.xxhash64(*df.columns))
     if offset + limit <= TOP_K_ROWS:
         total = df.agg(F.count(F.lit(1))).scalar()
-        return df.orderBy(order).offset(offset).limit(limit).withColumn("total", total)
-    ranges = checkpointed(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
-    ranked = dense_position(ranges, [order], out="_rank", total="total", bucket=F.col("_range"))
-    return ranked.filter(F.col("_rank").between(offset + 1, offset + limit)).drop("_rank", "_range")
+        return placed.orderBy(order, "_tie").offset(offset).limit(limit).drop("_tie").withColumn("total", total)
+    total = df.count()
+    parts = _slice(placed, [order, "_tie"], offset, limit, total) if offset < total else []
+    page = parts[0] if parts else placed.limit(0)
+    for part in parts[1:]:
+        page = page.unionByName(part)
+    return page.drop("_tie").withColumn("total", F.lit(total).cast("bigint"))
 
 
 def by_url(df: DataFrame, url: str, base_url: str = DEFAULT_BASE_URL) -> DataFrame:

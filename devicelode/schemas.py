@@ -13,6 +13,7 @@ SPECS_WIDE = _strings(
     "device_url", "name", "pictures", "specifications", "technology", "display_type", "dimensions", "os",
     "colors", "battery_type", "main_camera", "selfie_camera", "sensors", "price_info")
 
-BRAND_SNAPSHOT = "timestamp string, brands array<struct<name: string, url: string, device_count: bigint>>, brand_count bigint"
+BRAND = "struct<name: string, url: string, device_count: bigint>"
+BRAND_SNAPSHOT = f"timestamp string, brands array<{BRAND}>, brand_count bigint"
 ACCESS_KEY = "struct<name: string, email: string, tier: string, created_at: string, last_used: string, usage_count: bigint>"
 LEDGER_ENTRY = "struct<last_updated: string, brand: string>"

@@ -99,8 +99,18 @@ def _documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     return spark.read.text(path, wholetext=not lines).filter(F.length(F.trim("value")) > 0)
 
 
-def read_brand_snapshot(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Brand snapshot documents -> one row per brand with the snapshot's time and count."""
+def read_brand_snapshot(spark: SparkSession, path: str, lines: bool = False, parts: bool = False) -> DataFrame:
+    """Brand snapshot documents -> one row per brand with the snapshot's time and count.
+
+    With ``lines`` each line is a document; with ``parts`` the folder is one document of ``write_brand_snapshot``, read line by line.
+    """
+    if parts:
+        text = spark.read.text(path)
+        opening = text.filter(F.startswith("value", F.lit('{"timestamp"')))
+        head = opening.agg(F.first(F.from_json(F.concat("value", F.lit("]}")), schemas.BRAND_SNAPSHOT))).scalar()
+        rows = text.filter(F.startswith("value", F.lit('{"name"'))).select(F.from_json(F.rtrim("value", F.lit(",")), schemas.BRAND).alias("b"))
+        told = rows.withColumn("d", head)
+        return told.select(F.col("d.timestamp").try_cast("timestamp").alias("snapshot_ts"), F.col("d.brand_count").alias("brand_count"), "b.*")
     doc = _documents(spark, path, lines).select(F.from_json("value", schemas.BRAND_SNAPSHOT).alias("d"))
     return doc.select(
         F.col("d.timestamp").try_cast("timestamp").alias("snapshot_ts"),

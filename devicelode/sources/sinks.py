@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from devicelode.functions import json_quote
 from devicelode.sources.keyed import latest_commit, new_version, publish
 
 
@@ -16,25 +17,25 @@ def append_rows(df: DataFrame, path: str, fmt: str = "csv") -> None:
     writer.format(fmt).save(path)
 
 
-def write_brand_snapshot(brands: DataFrame, path: str, ts: str, per_document: int = 10_000) -> None:
-    """Brand rows ``(pos, name, url, device_count)`` -> snapshot documents, one a line.
+def write_brand_snapshot(brands: DataFrame, path: str, ts: str) -> None:
+    """Brand rows ``(pos, name, url, device_count)`` -> one snapshot document, whatever the number of brands.
 
-    One document holds at most ``per_document`` brands, so a snapshot of
-    ordinary size is one document and a huge one is still written in parallel.
+    The document has one brand a line, in the order of ``pos``, between a line that opens it and one that closes it. Its lines are sorted over
+    part files that, read one after the other, are the document; ``read_brand_snapshot(parts=True)`` reads them side by side.
     """
     total = brands.agg(F.count(F.lit(1))).scalar()
-    entry = F.struct("pos", "name", "url", "device_count")
-    docs = (
-        brands.groupBy(F.floor(F.col("pos") / per_document).alias("chunk"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("rows"))
-        .select(
-            F.lit(ts).alias("timestamp"),
-            F.transform("rows", lambda r: F.struct(r["name"].alias("name"), r["url"].alias("url"),
-                                                   r["device_count"].alias("device_count"))).alias("brands"),
-            total.alias("brand_count"),
-        )
-    )
-    docs.write.mode("overwrite").json(path)
+    place = F.struct("pos", "name", "url")
+    last = brands.agg(F.max(place)).scalar()
+    entry = F.concat(F.to_json(F.struct("name", "url", F.coalesce("device_count", F.lit(0)).alias("device_count")), {"ignoreNullFields": "false"}),
+                     F.when(place == last, F.lit("")).otherwise(F.lit(",")))
+    one = brands.sparkSession.range(1)
+    head = one.select(F.lit(0).alias("_part"), F.lit(None).cast("bigint").alias("_pos"), F.concat(
+        F.lit('{"timestamp":'), json_quote(F.lit(ts)), F.lit(',"brand_count":'), total, F.lit(',"brands":[')).alias("value"))
+    foot = one.select(F.lit(2).alias("_part"), F.lit(None).cast("bigint").alias("_pos"), F.lit("]}").alias("value"))
+    lines = head.unionByName(brands.select(F.lit(1).alias("_part"), F.col("pos").cast("bigint").alias("_pos"), entry.alias("value"))).unionByName(foot)
+    # The last entry has no comma: it must come last among entries of its position too.
+    ordered = lines.orderBy("_part", "_pos", F.endswith("value", F.lit(",")).cast("int").desc())
+    ordered.select("value").write.mode("overwrite").text(path)
 
 
 def overwrite_swap(df: DataFrame, path: str, seen: int | None = None) -> int:

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,7 @@ from devicelode.operators import catalog as C
 from devicelode.operators import ordered as O
 from devicelode.operators import recommend as R
 from devicelode.operators import refresh as X
-from devicelode.sources import append_rows, overwrite_swap, read_catalogue, read_current, read_specs
+from devicelode.sources import append_rows, overwrite_swap, read_brand_snapshot, read_catalogue, read_current, read_specs, write_brand_snapshot
 
 CAT = "pos bigint, brand_name string, device_name string, device_url string, device_image string"
 
@@ -204,3 +206,38 @@ def test_deep_pages_by_a_text_column(spark, monkeypatch):
     shallow = [tuple(r) for r in C.paginate(df, 30, 200, order="name").collect()]
     monkeypatch.setattr(C, "TOP_K_ROWS", 10)
     assert sorted(tuple(r) for r in C.paginate(df, 30, 200, order="name").collect()) == shallow and len(shallow) == 30
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "date", "double"])
+def test_deep_pages_of_null_heavy_and_equal_values(spark, monkeypatch, kind):
+    monkeypatch.setattr(C, "TOP_K_ROWS", 50)
+    monkeypatch.setattr(C, "SAMPLE", 60)
+    monkeypatch.setattr(C, "CUTS", 4)
+    value = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id") % 40)
+    value = F.date_add(F.lit("2024-01-01"), value.cast("int")) if kind == "date" else F.lpad(value.cast("string"), 3, "0") if kind == "string" else value.cast(kind)
+    df = spark.range(900).select("id", value.alias("v")).repartition(4)
+    every = df.withColumn("_tie", F.xxhash64("id", "v")).orderBy("v", "_tie").select("id").collect()
+    for offset, limit in ((100, 30), (290, 40), (300, 1), (880, 100), (250, 500), (899, 5)):
+        got = C.paginate(df, limit, offset, order="v").collect()
+        assert {r.id for r in got} == {r.id for r in every[offset:offset + limit]} and {r.total for r in got} == {900}
+    assert C.paginate(df, 10, 900, order="v").count() == 0
+
+
+def test_deep_pages_write_and_shuffle_nothing(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(C, "TOP_K_ROWS", 50)
+    df = spark.range(5000).selectExpr("id * 7 % 5000 AS pos", "concat('x', id) AS name")
+    plan = C.paginate(df, 20, 3000)._jdf.queryExecution().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "Scan ExistingRDD" not in plan
+
+
+@pytest.mark.parametrize("n", [0, 1, 2000])
+def test_snapshot_is_one_document_of_any_size(spark, tmp_path, n):
+    rows = spark.range(n).select((F.col("id") * 37 % max(n, 1)).alias("pos"), F.concat(F.lit('Bränd "x",'), "id").alias("name"), F.concat(F.lit("u"), "id").alias("url"), F.col("id").alias("device_count"))
+    path = str(tmp_path / "s")
+    write_brand_snapshot(rows.repartition(3), path, "2025-04-24T07:54:13")
+    text = "".join((tmp_path / "s" / f).read_text() for f in sorted(p.name for p in (tmp_path / "s").glob("part-*")))
+    doc = json.loads(text)
+    want = [(r.name, r.url, r.device_count) for r in rows.orderBy("pos").collect()]
+    assert doc["timestamp"] == "2025-04-24T07:54:13" and doc["brand_count"] == n and [(b["name"], b["url"], b["device_count"]) for b in doc["brands"]] == want
+    back = read_brand_snapshot(spark, path, parts=True).collect()
+    assert sorted((r.name, r.url, r.device_count) for r in back) == sorted(want) and all(r.brand_count == n and str(r.snapshot_ts) == "2025-04-24 07:54:13" for r in back)

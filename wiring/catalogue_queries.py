@@ -121,8 +121,8 @@ def append_rows(spark, d):
 @query("A8_write_brand_snapshot", SNAPSHOT)
 def write_brand_snapshot(spark, d):
     path = scratch_path(spark, "snapshot")
-    sinks.write_brand_snapshot(T.brand_rows(spark, d), path, "2025-04-24T07:54:13", per_document=7)
-    return readers.read_brand_snapshot(spark, path, lines=True)
+    sinks.write_brand_snapshot(T.brand_rows(spark, d), path, "2025-04-24T07:54:13")
+    return readers.read_brand_snapshot(spark, path, parts=True)
 
 
 @query("A9_overwrite_swap", ctes(T.CAT) + f"""
@@ -180,6 +180,14 @@ def paginate_deep(spark, d):
     return C.paginate(li, 100, 12_000, order="k")
 
 
+@query("F3_paginate_ties", "SELECT coalesce(k, -1) AS k, (SELECT count(*) FROM lineitem) AS total FROM (SELECT *, row_number() OVER (ORDER BY k NULLS FIRST) AS n "
+       "FROM (SELECT CASE WHEN l_linenumber > 2 THEN l_linenumber END AS k FROM lineitem)) WHERE n > 24000 AND n <= 34000")
+def paginate_ties(spark, d):
+    """A deep page by a column that is mostly NULL and otherwise has a handful of values."""
+    li = T.table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") > 2, F.col("l_linenumber")).alias("k"))
+    return C.paginate(li, 10_000, 24_000, order="k").select(F.coalesce("k", F.lit(-1)).alias("k"), "total")
+
+
 @query("F4_by_url", ctes(T.CAT) + "SELECT c.* FROM cat c WHERE device_url IN (SELECT device_url FROM cat WHERE pos % 3 = 0)")
 def match_urls(spark, d):
     """A table of wanted URLs, some of them without the site prefix."""
