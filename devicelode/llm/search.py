@@ -14,6 +14,7 @@ from devicelode.llm.common import mixed, saved, small_batches
 
 BLOCK = "block int, ids binary, rows int, dims int, kind string, cells binary"
 DIMS = 16  # dimensions accumulated between two compactions
+BATCH = 256  # queries that share one pass over the candidates
 
 
 def whole_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -50,50 +51,62 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
+def _masses(cells: np.ndarray) -> np.ndarray:
+    """Norm of what is left of each column from each dimension on; zero behind the last."""
+    return np.sqrt(np.vstack([np.cumsum((cells[::-1].astype(float)) ** 2, axis=0)[::-1], np.zeros(cells.shape[1])]))
+
+
 def bounded_search(queries: np.ndarray, query_ids: np.ndarray, cells: np.ndarray, ids: np.ndarray, k: int):
     """(query id, vec ids, scores) of each query's ``k`` best of one block; columns are vectors, rows dimensions.
 
-    Candidates stand by falling norm. A chunk's scores grow by ``DIMS`` dimensions at a time; after each step those whose score
-    plus the largest product their remaining mass allows (Cauchy-Schwarz) cannot reach the k-th best so far are dropped.
+    Candidates stand by falling norm, and queries go through them in batches. A chunk's scores grow by ``DIMS`` dimensions at a time, by one
+    matrix product for all queries of the batch; after each step those candidates whose score plus the largest product that their
+    remaining mass allows (Cauchy-Schwarz) can reach no query's k-th best so far are compacted away. Scores
+    beyond 64 bits are an error, found by the largest norms.
     """
     dims = len(cells)
+    mass, query_mass = _masses(cells), _masses(queries)
+    if mass[0].max(initial=0) * query_mass[0].max(initial=0) >= 2.0**63:
+        raise OverflowError("inner products of these vectors may exceed 64 bits")
     exact = int(np.abs(queries).max(initial=0)) * int(np.abs(cells).max(initial=0)) * max(1, dims) < 2**53
     kind = np.float64 if exact else np.int64
-    mass = np.sqrt(np.vstack([np.cumsum((cells[::-1].astype(float)) ** 2, axis=0)[::-1], np.zeros(cells.shape[1])]))
     order = np.argsort(-mass[0], kind="stable")
-    cells, ids, mass = np.ascontiguousarray(cells[:, order].astype(kind)), ids[order], mass[:, order]
-    query_mass = np.sqrt(np.vstack([np.cumsum((queries[::-1].astype(float)) ** 2, axis=0)[::-1], np.zeros(queries.shape[1])]))
+    cells, ids, mass = np.ascontiguousarray(cells[:, order].astype(kind)), ids[order], mass[:, order] * (1 + 1e-9)
     edges = [(a, min(a + DIMS, dims)) for a in range(0, dims, DIMS)]
     chunks = [(0, min(512, len(ids)))] + [(a, min(a + 4096, len(ids))) for a in range(512, len(ids), 4096)]
-    for j, query_id in enumerate(query_ids):
-        q, qm = queries[:, j].astype(kind), query_mass[:, j]
-        best_ids, best, floor = ids[:0], np.zeros(0, np.int64), None
+    for first in range(0, len(query_ids), BATCH):
+        own = query_ids[first:first + BATCH]
+        q, qm = np.ascontiguousarray(queries[:, first:first + BATCH].T.astype(kind)), query_mass[:, first:first + BATCH]
+        best = [(ids[:0], np.zeros(0, np.int64))] * len(own)
+        floors = np.full(len(own), -np.inf)
         for a, b in chunks:
-            if floor is not None and mass[0, a] * qm[0] * (1 + 1e-9) < floor - 0.5:
+            if np.all(mass[0, a] * qm[0] < floors - 0.5):
                 break  # every later candidate is shorter still
-            alive, score = None, np.zeros(b - a, kind)
+            alive, score = np.arange(a, b), np.zeros((len(own), b - a), kind)
             for low, high in edges:
-                part = cells[low:high, a:b] if alive is None else cells[low:high, alive]
-                score = score + q[low:high] @ part
-                if floor is not None and high < dims:
-                    left = mass[high, a:b] if alive is None else mass[high, alive]
-                    keep = score + left * qm[high] * (1 + 1e-9) >= floor - 0.5
-                    alive = (np.arange(a, b) if alive is None else alive)[keep]
-                    score = score[keep]
-                    if not len(alive):
-                        break
-            found = ids[a:b] if alive is None else ids[alive]
-            own = found != query_id
-            best_ids, best = _best(np.concatenate([best_ids, found[own]]), np.concatenate([best, score[own].astype(np.int64)]), k)
-            floor = best[-1] if len(best) == k else None
-        yield query_id, best_ids, best
+                whole = len(alive) == b - a
+                score += q[:, low:high] @ (cells[low:high, a:b] if whole else cells[low:high, alive])
+                if high < dims and np.isfinite(floors).all():
+                    keep = (score + qm[high][:, None] * mass[high, alive] >= floors[:, None] - 0.5).any(axis=0)
+                    if keep.sum() < 0.9 * len(alive):
+                        alive, score = alive[keep], score[:, keep]
+            found = ids[alive]
+            for j in np.flatnonzero((score >= floors[:, None]).any(axis=1)):
+                hits = np.flatnonzero((score[j] >= floors[j]) & (found != own[j]))
+                if len(hits) > k:
+                    cut = np.partition(score[j, hits], len(hits) - k)[len(hits) - k]
+                    hits = hits[score[j, hits] >= cut]
+                best[j] = _best(np.concatenate([best[j][0], found[hits]]), np.concatenate([best[j][1], score[j, hits].astype(np.int64)]), k)
+                if len(best[j][1]) == k:
+                    floors[j] = best[j][1][-1]
+        yield from ((query_id, *b) for query_id, b in zip(own, best, strict=True))
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 20, candidate_block: int = 8192, query_block: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row with ``is_query``, the ``k`` others of largest inner product.
 
     ``rows``: vec_id long, vector array of integers; shorter vectors count as padded with zeros. Ties go to the smaller vec_id; rows that share
-    the query's id are the query's own. Each pair of a query block and a candidate block is one unit of work of bounded
+    the query's id are the query's own. Products that may exceed 64 bits are an error. Each pair of a query block and a candidate block is one unit of work of bounded
     size, sent through a join on the pair's key; a query's best rows per block are then merged.
     """
     rows = saved(small_batches(rows).select("vec_id", "vector", mixed().alias("_mix")), "vectors")
@@ -111,8 +124,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, candidate_block: int =
                 dims = max(row["c_dims"], row["q_dims"])
                 found = bounded_search(_matrix(row, "q", dims), np.frombuffer(row["q_ids"], "<i8"), _matrix(row, "c", dims),
                                        np.frombuffer(row["c_ids"], "<i8"), k)
-                for query_id, ids, scores in found:
-                    yield pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores})
+                query_ids, ids, scores = zip(*found, strict=True)
+                yield pd.DataFrame({"query_id": np.repeat(query_ids, [len(x) for x in ids]), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
 
     best = left.join(right, ["c_block", "q_block"]).mapInPandas(search, "query_id long, vec_id long, score long")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

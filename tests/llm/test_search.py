@@ -44,3 +44,21 @@ def test_many_dimensions_and_a_floor(spark):
     rows = [(i, [float(x) for x in rng.normal(0, rng.choice([0.05, 1.0]), 70)]) for i in range(900)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert answer(df, k=5) == brute(rows, 5)
+
+
+def test_batches_and_chunks_against_brute_force(monkeypatch):
+    monkeypatch.setattr(search, "BATCH", 7)
+    rng = np.random.default_rng(5)
+    for dims, big in ((1, 3), (40, 9), (40, 1 << 29)):
+        cells = (rng.integers(-big, big + 1, (dims, 1500)) * rng.choice([1, 1, 2], 1500)).astype(np.int64)
+        ids = rng.permutation(1500).astype(np.int64)
+        for query_id, found, scores in search.bounded_search(cells[:, :40], ids[:40], cells, ids, 6):
+            query = cells[:, ids.tolist().index(query_id)]
+            every = sorted((-int(x), i) for x, i in zip(query @ cells, ids.tolist()) if i != query_id)[:6]
+            assert [(-int(x), i) for x, i in zip(scores, found.tolist())] == every
+
+
+def test_products_beyond_64_bits_are_an_error():
+    cells = np.full((2, 3), 1 << 32, np.int64)
+    with pytest.raises(OverflowError):
+        list(search.bounded_search(cells[:, :1], np.array([0]), cells, np.arange(3), 2))
