@@ -274,7 +274,7 @@ def spec_report(df: DataFrame, requested: str = "specifications", entries: str =
 
     def block(kind):
         own = F.filter(F.col(entries), lambda e: e["spec_type"] == kind)
-        head = F.concat(F.lit("• "), F.concat(F.upper(F.substring(kind, 1, 1)), F.lower(F.substring(kind, 2, 1000))), F.lit(":\n"))
+        head = F.concat(F.lit("• "), F.concat(F.upper(F.substring(kind, 1, 1)), F.lower(F.substring(kind, F.lit(2), F.length(kind)))), F.lit(":\n"))
         return F.concat(head, F.array_join(F.transform(own, line), ""), F.lit("\n"))
 
     known = F.filter(kinds, lambda k: k.isin(list(D.SPEC_PATHS)))

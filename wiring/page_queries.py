@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from devicelode.functions import strip
 from devicelode.operators import extract as E
+from devicelode.plans.harvest import harvest, harvest_new
+from devicelode.session import scratch_path
 from wiring import tables as T
 from wiring.registry import ctes, query
 
@@ -169,6 +171,38 @@ def page_chain(spark, d):
     return E.page_chain(pages, pages.filter(F.col("url").endswith("-f-0.php")).select("url"))
 
 
+HARVESTED = ctes(T.CAT, T.NAMED, LISTINGS) + f"""
+, reached AS (SELECT brand_name, page, url FROM (SELECT *, count(*) OVER (PARTITION BY brand_name ORDER BY page) AS n FROM listing) WHERE n = page + 1)
+SELECT brand_name, page AS step, device_name, device_url, CASE WHEN pos % 3 > 0 THEN 'img/' || pos || '.jpg' ELSE '' END AS device_image
+FROM listed JOIN reached USING (brand_name, page) WHERE pos % 10 <> 9""".replace("\n, reached", ", reached")
+
+
+def stored_pages(spark, d):
+    """The brand index, the listing pages of all brands, and the specification pages, in one table."""
+    brands = T.brand_rows(spark, d)
+    entry = _cat("<div><a href='", F.lower("name"), "-f-0.php'>", F.col("name"), "<br><span>", F.col("device_count"), " devices</span></a></div>")
+    index = brands.agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("list")).select(
+        F.lit(2_000_000_000).cast("bigint").alias("page_id"), F.lit("makers").alias("url"), _cat("<div class='st-text'>", F.col("list"), "</div>").alias("html"))
+    lists = listings(spark, d).withColumn("page_id", F.col("page_id").cast("bigint") + 1_000_000_000)
+    path = scratch_path(spark, "pages")
+    index.unionByName(lists).unionByName(spec_pages(spark, d).withColumn("page_id", F.col("page_id").cast("bigint"))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("E3_E4_harvest", HARVESTED)
+def harvest_devices(spark, d):
+    """Brand index, listing chains and items in one plan."""
+    return harvest(stored_pages(spark, d), "makers", T.BASE).select("brand_name", F.col("step").cast("bigint").alias("step"), "device_name", "device_url", "device_image")
+
+
+@query("J5_harvest_new", "SELECT brand_name, device_name, device_url, device_image FROM (" + HARVESTED + ") WHERE device_url NOT IN (SELECT device_url FROM (" + ctes(
+    T.CAT, T.NAMED) + "SELECT device_url FROM named WHERE pos % 2 = 0))")
+def harvest_new_devices(spark, d):
+    """The harvested devices that are not among the even ones of the catalogue."""
+    cat = T.named_catalogue(spark, d).filter("pos % 2 = 0")
+    return harvest_new(stored_pages(spark, d), "makers", cat, T.BASE).select("brand_name", "device_name", "device_url", "device_image")
+
+
 # What the tables of a page say; r orders the features, lists are their items joined.
 PAGE_ROWS = r"""page_rows AS (
   SELECT p_partkey AS page_id, u.* FROM part, LATERAL (VALUES
