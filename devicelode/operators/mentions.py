@@ -21,10 +21,9 @@ GRAM = 6
 # Name tables up to this size are sent to every executor; larger ones are shuffled.
 BROADCAST_NAMES = 200_000
 BROADCAST_CHARS = 32_000_000
-# Bits of the piece filter for each name, and its largest size, 16 MB. Beyond two million names it lets more pieces through.
+# Bits of the piece filter for each name, and its least and largest size, 16 MB. Beyond two million names it lets more pieces through.
 BITS_PER_NAME = 64
-MOST_BITS = 1 << 27
-BITMAP_BITS = 32_768
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 27
 # A piece met by more texts than this is dealt over several tasks.
 HOT_PIECE = 100_000
 
@@ -82,20 +81,18 @@ def piece_filter(keyed: DataFrame, names: int):
 
     The bits are one row of at most ``MOST_BITS``, whatever the number of names, put into the plan as a scalar.
     """
-    bits = BITMAP_BITS
+    bits = LEAST_BITS
     while bits < min(MOST_BITS, BITS_PER_NAME * names):
         bits *= 2
-    number = lambda piece: F.pmod(F.xxhash64(piece), F.lit(bits)) + 1
-    maps = keyed.select(number(F.col("gram")).alias("n")).groupBy(F.bitmap_bucket_number("n").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
-    listed = maps.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits"))).alias("m")).select(
-        F.transform(F.sequence(F.lit(1), F.lit(bits // BITMAP_BITS)), lambda b: F.try_element_at(F.col("m"), b.cast("bigint"))).alias("maps"))
-    known = listed.scalar()
+    number = lambda piece: F.pmod(F.xxhash64(piece), F.lit(bits))
+    set_bits = keyed.select(number(F.col("gram")).alias("n")).groupBy(F.floor(F.col("n") / 64).alias("id")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(n % 64 AS int))")).alias("word"))
+    words = keyed.sparkSession.range(bits // 64).join(set_bits, "id", "left").select("id", F.coalesce("word", F.lit(0)).alias("word"))
+    known = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda w: w["word"])).scalar()
 
     def test(piece: Column) -> Column:
-        at = F.bitmap_bit_position(number(piece))
-        byte = F.substring(F.get(known, (F.bitmap_bucket_number(number(piece)) - 1).cast("int")), (F.floor(at / 8) + 1).cast("int"), F.lit(1))
-        return F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1, F.lit(False))
+        n = number(piece)
+        return F.getbit(F.get(known, F.shiftright(n, 6).cast("int")), (n % 64).cast("int")) == 1
 
     return test
 
