@@ -18,6 +18,7 @@ NO_LETTERS = re.compile(r"[\W\d_]+")
 ORDERS = (2, 3, 4)
 BITS = 16
 WORDS = 30  # words of a training piece
+LONGEST = 1200  # characters of a piece
 
 
 def subwords(text: str) -> np.ndarray:
@@ -60,7 +61,8 @@ def sample(docs: DataFrame, per_language: int, per_document: int) -> pd.DataFram
     """``lang, piece, check``: a bounded sample of labelled pieces.
 
     At most ``per_language`` documents of each language, those of the smallest hash of their id, and of each at most
-    ``per_document`` pieces of ``WORDS`` words spread evenly over the whole text. A fifth of the documents is for calibration.
+    ``per_document`` pieces of ``WORDS`` words spread evenly over the whole text; words so long that a piece passes ``LONGEST``
+    characters are cut into several. A fifth of the documents is for calibration.
     """
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     order = Window.partitionBy("lang").orderBy(at, "doc_id")
@@ -76,9 +78,9 @@ def sample(docs: DataFrame, per_language: int, per_document: int) -> pd.DataFram
             out = []
             for lang, text, check in zip(frame["lang"], frame["text"], frame["check"], strict=True):
                 words = text.split()
-                starts = list(range(0, len(words), WORDS))
-                step = max(1, -(-len(starts) // per_document))
-                out += [(lang, " ".join(words[a:a + WORDS])[:WORDS * 40], check) for a in starts[::step]]
+                cuts = [part[i:i + LONGEST] for a in range(0, len(words), WORDS) for part in [" ".join(words[a:a + WORDS])] for i in range(0, len(part), LONGEST)]
+                step = max(1, -(-len(cuts) // per_document))
+                out += [(lang, piece, check) for piece in cuts[::step]]
             yield pd.DataFrame(out, columns=["lang", "piece", "check"])
 
     texts = small_batches(labelled).join(F.broadcast(chosen), "doc_id", "left_semi")

@@ -36,3 +36,16 @@ def test_rejection_is_calibrated(docs):
     accepted = language.identified(docs, model).filter("accepted").count()
     assert accepted >= 0.97 * docs.count()
     assert model.scores("qqq zzz xxx 你好")[0] < 1
+
+
+def test_long_words_are_cut_into_several_training_pieces(spark):
+    docs = spark.createDataFrame([(1, "xx", "a" * 3000 + "z" * 900), (2, "yy", "b " * 10)], "doc_id long, lang string, text string")
+    got = language.sample(docs, per_language=5, per_document=10)
+    pieces = {x: sorted(got.loc[got["lang"] == x, "piece"]) for x in ("xx", "yy")}
+    assert sorted("".join(pieces["xx"])) == sorted("a" * 3000 + "z" * 900) and max(map(len, pieces["xx"])) <= language.LONGEST and len(pieces["yy"]) == 1
+    assert len(language.sample(docs, per_language=5, per_document=2)) <= 3
+
+
+def test_query_tells_what_is_accepted(spark, sf):
+    rows = QUERIES["op7_language_id"](spark, sf).collect()
+    assert {r["accepted"] for r in rows} <= {True, False} and all(r["accepted"] is False for r in rows if r["lang_pred"] == "und")
