@@ -27,11 +27,20 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: its lineage is cut and lost executors cost only reads."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def saved(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
+    """``df`` written once to the shared folder and read back: its lineage is cut and lost executors cost only reads.
+
+    With ``clean`` the shuffle files of the write go with its end and not when the driver next collects garbage.
+    """
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = scratch_path(spark, name), spark.conf.get(setting)
+    try:
+        if clean:
+            spark.conf.set(setting, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
