@@ -1,4 +1,4 @@
-"""Benchmark decontamination: windows of test words looked up among the words of every document."""
+"""Benchmark decontamination: hashes of document windows looked up in the set of test windows' hashes, hits verified by words."""
 
 from __future__ import annotations
 
@@ -18,16 +18,18 @@ def words_of(text: Column) -> Column:
 
 
 def test_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """``item_id, window, anchor, before``: every window of each item, with its longest word and the words before that.
-
-    An item of fewer words is one window. The longest word is the rarest as a rule, so documents are searched by it.
-    """
+    """``item_id, window, gram``: every window of each item and its hash; an item of fewer words is one window."""
     items = benchmark.select("item_id", words_of(F.col("text").cast("string")).alias("words")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - width + 1, F.lit(1)))
-    windows = items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, width))).alias("window")).distinct()
-    longest = F.array_max(F.transform("window", lambda w, i: F.struct(F.length(w).alias("size"), w.alias("word"), i.alias("at"))))
-    return windows.withColumn("_longest", longest).select("item_id", "window", F.col("_longest.word").alias("anchor"),
-                                                          F.col("_longest.at").alias("before"))
+    windows = items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, width))).alias("window"))
+    return windows.distinct().withColumn("gram", F.xxhash64("window"))
+
+
+def _grams(words: Column, size: int) -> Column:
+    """``start, size, gram`` of every window of ``size`` words."""
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size))
+    one = lambda i: F.struct(i.alias("start"), F.lit(size).alias("size"), F.xxhash64(F.slice(words, i + 1, size)).alias("gram"))
+    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), one)
 
 
 def _key() -> list[Column]:
@@ -36,19 +38,32 @@ def _key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_g")]
 
 
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """``doc_id, _h, _g, item_id, start, length``: each occurrence of a window, verified word by word.
 
-    The windows are counted first and broadcast up to a bound; more of them are joined by their anchors.
+    Window hashes of documents are looked up in the set of the items' window hashes, which is counted first and broadcast
+    up to a bound; beyond it hashes and places are shuffled, never words. Only documents with a hash of the set are then
+    read again, and the words at its places compared.
     """
     windows = saved(test_windows(benchmark, width), "windows")
-    windows = F.broadcast(windows) if windows.count() <= BROADCAST_WINDOWS else windows
+    sizes = sorted(r[0] for r in windows.select(F.size("window")).distinct().collect())  # ``width`` different ones at most
+    key = ["doc_id", "_h", "_g"]
     tokens = docs.select(*_key(), words_of(F.col("text").cast("string")).alias("words"))
-    placed = tokens.select("doc_id", "_h", "_g", "words", F.posexplode("words").alias("at", "word"))
-    first = F.col("at") - F.col("before")
-    same = F.when(first >= 0, F.slice("words", first + 1, F.size("window")) == F.col("window")).otherwise(False)
-    return placed.join(windows, (F.col("word") == F.col("anchor")) & same).select(
-        "doc_id", "_h", "_g", "item_id", first.alias("start"), F.size("window").alias("length"))
+    placed = tokens.select(*key, F.explode_outer(F.concat(*[_grams(F.col("words"), n) for n in sizes or [width]])).alias("g")).select(*key, "g.*")
+    known = _bounded(saved(windows.select("gram").distinct(), "grams"), BROADCAST_WINDOWS)
+    found = saved(placed.join(known, "gram").groupBy(*key).agg(F.collect_set(F.struct("start", "size", "gram")).alias("places")).toDF(
+        "_id", "_fh", "_fg", "places"), "found")
+    asked = _bounded(saved(found.select("_id", "_fh", "_fg"), "asked"), BROADCAST_DOCUMENTS)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_fh")) & (F.col("_g") == F.col("_fg"))
+    texts = docs.select(*_key(), "text").join(asked, same, "left_semi")
+    texts = texts.select(*key, words_of(F.col("text").cast("string")).alias("words"))
+    there = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["gram"].alias("gram"), F.slice("words", p["start"] + 1, p["size"]).alias("window")))
+    seen = texts.join(found, same).select(*key, F.explode_outer(there).alias("w")).select(*key, "w.*")
+    return seen.join(_bounded(windows, BROADCAST_WINDOWS), ["gram", "window"]).select(*key, "item_id", "start", F.size("window").alias("length"))
 
 
 def _covered(spans: Column) -> Column:
