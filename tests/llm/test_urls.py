@@ -1,6 +1,8 @@
+import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from devicelode.llm import urls
@@ -58,3 +60,42 @@ def test_query(spark, sf):
     for r in got:
         host, path, rule, verdict = brute(pages[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ([verdict] if verdict else ["allow", "block"])
+
+
+def test_beta_quantile():
+    cases = [(a, b) for a in (1, 2, 7, 60) for b in (1, 3, 25, 400)]
+    got = urls.beta_quantile(np.array([float(a) for a, _ in cases]), np.array([float(b) for _, b in cases]), 0.05)
+    for (a, b), x in zip(cases, got, strict=True):  # the integral over whole a and b is a binomial sum
+        n = a + b - 1
+        assert sum(math.comb(n, k) * x**k * (1 - x)**(n - k) for k in range(a, n + 1)) == pytest.approx(0.05, abs=2e-4)
+    tiny = urls.beta_quantile(np.array([0.01, 0.5, 3e6]), np.array([0.5, 0.5, 1e6]), 0.05)
+    assert 0 <= tiny[0] < 1e-12 and tiny[1] == pytest.approx(math.sin(math.pi / 2 * 0.05) ** 2, rel=1e-2)
+    assert tiny[2] == pytest.approx(0.75 - 1.645 * math.sqrt(0.75 * 0.25 / 4e6), abs=1e-5)
+    assert len(urls.beta_quantile(np.array([]), np.array([]), 0.05)) == 0
+
+
+def test_the_query_blocks_hosts_domains_and_suffixes(spark, tmp_path):
+    """Known rates: one bad host of a good domain, a bad domain, a bad suffix; unlabelled hosts go by the level above."""
+    rng = np.random.default_rng(3)
+    hosts = {f"h{h}.d{d}.{s}": 0.95 if s == "zz" or d == 0 or (d, h) == (1, 0) else 0.02 for s in ("zz", "org", "co.uk") for d in range(12) for h in range(4)}
+    pages, labels, n = [], [], 0
+    for host, rate in hosts.items():
+        for i in range(40):
+            n += 1
+            pages.append((n, f"http://{host}/{n}"))
+            if not host.startswith("h3.") and i < 39:
+                labels.append((n, 1, int(rng.random() < rate)))
+    pages += [(n + 1, "http://new.d0.org/x"), (n + 2, "http://new.d5.org/x"), (n + 3, "http://a.unseen.zz/x"), (n + 4, "http://a.unseen.co.uk/x")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["page_id"]: r for r in QUERIES["op1_url_reputation"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(pages)
+    for page, url in pages[:n]:
+        host = url.split("/")[2]
+        if not host.startswith("h3."):
+            assert got[page]["verdict"] == ("block" if hosts[host] > 0.5 else "allow"), (host, got[page])
+    assert all(0 <= r["lower"] <= r["rate"] <= 1 for r in got.values())
+    rate = {pages[i - 1][1]: got[i]["rate"] for i in range(n + 1, n + 5)}
+    assert rate["http://new.d0.org/x"] > rate["http://new.d5.org/x"]
+    assert rate["http://a.unseen.zz/x"] > rate["http://a.unseen.co.uk/x"]
+    assert {got[n + 1]["verdict"], got[n + 3]["verdict"]} >= {"block"} and got[n + 2]["verdict"] == got[n + 4]["verdict"] == "allow"
