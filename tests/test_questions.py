@@ -11,6 +11,7 @@ from devicelode.operators import dialogue as G
 from devicelode.operators import mentions as M
 from devicelode.operators import specs as S
 from devicelode.operators import tagging as N
+from wiring import tables as T
 from devicelode.plans import analyze, categories, compare, compare_status, device_answers, recommend
 
 CAT = "pos bigint, brand_name string, device_name string, device_url string, device_image string"
@@ -328,3 +329,19 @@ def test_hot_pieces_are_dealt_and_met_once(spark, monkeypatch):
     q = spark.range(40).select(F.col("id").alias("qid"), F.concat(F.lit("alpha rocket no "), "id").alias("text"))
     rows = M.name_matches(q, spark.createDataFrame(ROCKETS, CAT), broadcast_names=0).collect()
     assert sorted(r.qid for r in rows) == list(range(40))
+
+
+def test_tables_that_grow_are_sent_round_by_no_estimate(spark, sf):
+    """Files are compressed: an estimate by their size sends a catalogue thirty times as large round, which the driver must hold."""
+    cat = T.wide_catalogue(spark, sf)
+    q = T.questions(spark, sf)
+    frames = {
+        "questions": q, "keys": M.name_keys(M.catalogue_names(cat)),
+        "analyze": analyze(q, cat, broadcast_names=0), "categories": categories(q, cat, broadcast_names=0),
+        "status": compare_status(q, cat, within=cat.filter("pos % 3 <> 1"), broadcast_names=0),
+        "compare": compare(q, cat, T.spec_documents(spark, sf), broadcast_names=0)}
+    for name, df in frames.items():
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        # Only pieces met by more than ``HOT_PIECE`` texts are sent, by a hint.
+        joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "[gram" not in line]
+        assert not joins, (name, joins)
