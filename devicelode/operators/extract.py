@@ -17,7 +17,7 @@ from devicelode.functions import (
 from devicelode.functions.text import DEFAULT_BASE_URL
 from devicelode.operators import markup as M
 from devicelode.operators.markup import attribute, content, lines_of, text_of
-from devicelode.session import checkpointed
+from devicelode.session import checkpointed, unsent
 
 # Cells that carry a promoted field: field -> (data-spec name, category, feature, detailed key). Fixed values.
 PROMOTED = {
@@ -397,7 +397,7 @@ def picture_list(pages: DataFrame, galleries: DataFrame | None = None, base_url:
         gallery_images(content("html")), lambda u: ~u.endswith(".php")).alias("images"))
     more = more.groupBy("gallery").agg(F.max_by("images", "page_id").alias("images"))
     added = F.array_except(F.coalesce("images", F.array().cast("array<string>")), F.col("own"))
-    return own.join(more, "gallery", "left").select("page_id", "url", F.concat("own", added).alias("pictures"))
+    return own.join(unsent(more), "gallery", "left").select("page_id", "url", F.concat("own", added).alias("pictures"))
 
 
 # ---- whole records ------------------------------------------------------------------------
@@ -496,4 +496,4 @@ def assemble_records(pages: DataFrame, galleries: DataFrame | None = None, base_
         return records
     cols = records.columns
     pics = picture_list(pages, galleries, base_url).select("page_id", F.to_json("pictures").alias("pictures"))
-    return records.drop("pictures").join(pics, "page_id").select(*cols)
+    return records.drop("pictures").join(unsent(pics), "page_id").select(*cols)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from devicelode.operators.ordered import first_per_key, one_per_key
+from devicelode.session import unsent
 
 
 def unify(cat: DataFrame, specs: DataFrame, dedupe: bool = False, order: str | None = None) -> DataFrame:
@@ -29,13 +30,13 @@ def unify(cat: DataFrame, specs: DataFrame, dedupe: bool = False, order: str | N
 
 def new_devices(listing: DataFrame, cat: DataFrame) -> DataFrame:
     """Listed devices that the catalogue does not have."""
-    return listing.join(cat.select("device_url").distinct(), "device_url", "left_anti")
+    return listing.join(unsent(cat.select("device_url").distinct()), "device_url", "left_anti")
 
 
 def untracked_devices(listing: DataFrame, cat: DataFrame, ledger: DataFrame) -> DataFrame:
     """Listed devices that the catalogue has and the ledger has not."""
-    return (listing.join(cat.select("device_url").distinct(), "device_url", "left_semi")
-            .join(ledger.select("device_url").distinct(), "device_url", "left_anti"))
+    return (listing.join(unsent(cat.select("device_url").distinct()), "device_url", "left_semi")
+            .join(unsent(ledger.select("device_url").distinct()), "device_url", "left_anti"))
 
 
 def upsert(target: DataFrame, updates: DataFrame, key: str = "device_url", order: str | None = None) -> DataFrame:

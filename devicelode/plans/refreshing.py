@@ -9,7 +9,7 @@ from devicelode.functions.text import DEFAULT_BASE_URL
 from devicelode.operators import extract as E
 from devicelode.operators import refresh as R
 from devicelode.operators.ordered import first_per_key
-from devicelode.session import checkpointed
+from devicelode.session import checkpointed, unsent
 from devicelode.sources.keyed import read_keyed, upsert_keyed
 
 
@@ -34,13 +34,13 @@ def refresh(spark: SparkSession, listing: DataFrame, pages: DataFrame, root: str
     stored = pages.select(F.col("url").alias("device_url")).distinct()
     listed = first_per_key(listing, ["device_url"], "pos", listing.columns)
     # Kept, since three tables and the report are made from it.
-    plan = checkpointed(plan_refresh(listed, cat, ledger).join(stored.withColumn("_stored", F.lit(True)), "device_url", "left"))
+    plan = checkpointed(plan_refresh(listed, cat, ledger).join(unsent(stored.withColumn("_stored", F.lit(True))), "device_url", "left"))
     todo = plan.filter("_stored").drop("_stored")
 
     # Of pages stored twice the last is read.
     last = pages.groupBy("url").agg(F.max("page_id").alias("page_id")).join(
-        todo.select(F.col("device_url").alias("url")), "url", "left_semi").select("page_id")
-    records = E.assemble_records(pages.join(last, "page_id", "left_semi"), galleries, base_url).select(*specs.columns)
+        unsent(todo.select(F.col("device_url").alias("url"))), "url", "left_semi").select("page_id")
+    records = E.assemble_records(pages.join(unsent(last), "page_id", "left_semi"), galleries, base_url).select(*specs.columns)
     entries = todo.select("device_url", F.lit(now).cast("timestamp").alias("last_updated"), F.col("brand_name").alias("brand"))
 
     top = cat.agg(F.coalesce(F.max("pos"), F.lit(-1))).scalar()

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from devicelode.session import unsent
+
 
 class ConcurrentWrite(RuntimeError):
     """Another writer has published since this one looked; read again and repeat."""
@@ -96,8 +98,8 @@ def _merged(spark: SparkSession, path: str, content: dict, buckets: set[int] | N
     for d in deltas[1:]:
         changes = changes.unionByName(d)
     newest = changes.groupBy(F.col(key).alias("_key")).agg(F.max("_at").alias("_newest"))
-    last = changes.join(newest, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_newest")), "left_semi").drop("_at")
-    return base.join(newest, base[key].eqNullSafe(newest["_key"]), "left_anti").unionByName(last)
+    last = changes.join(unsent(newest), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_newest")), "left_semi").drop("_at")
+    return base.join(unsent(newest), base[key].eqNullSafe(newest["_key"]), "left_anti").unionByName(last)
 
 
 def create_keyed(df: DataFrame, path: str, key: str = "device_url", buckets: int = 64) -> int:

@@ -113,3 +113,19 @@ def test_refresh_reads_galleries_keeps_its_report_and_counts_processed_brands(sp
     again = refresh(spark, listing, pages, root, "2025-01-02", galleries, base, asked.filter("name = 'A'"), batch=1).first()
     assert (again.new_devices, again.updated_devices, again.brands_processed, again.total_brands) == (0, 0, 1, 1)
     assert str(last_full_update(spark, root).first()[0]).startswith("2025-01-02") and read_keyed(spark, f"{root}/catalogue").count() == 2
+
+
+def test_tables_of_a_refresh_are_not_sent_round(spark, tmp_path):
+    from devicelode.operators.extract import assemble_records
+    from devicelode.plans.refreshing import plan_refresh
+    from devicelode.sources.keyed import create_keyed, read_keyed, upsert_keyed
+
+    rows = lambda *urls: spark.createDataFrame([(u, 1) for u in urls], "device_url string, n int")
+    path = f"{tmp_path}/table"
+    create_keyed(rows("a", "b"), path, buckets=2)
+    upsert_keyed(rows("b", "c"), path)
+    table = read_keyed(spark, path)
+    assert sorted(r["device_url"] for r in table.collect()) == ["a", "b", "c"]
+    pages = spark.createDataFrame([(1, "u-1.php", "<h1>x</h1>")], "page_id bigint, url string, html string")
+    for df in (table, plan_refresh(table, table, table), assemble_records(pages, pages)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
