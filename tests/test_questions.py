@@ -345,3 +345,10 @@ def test_tables_that_grow_are_sent_round_by_no_estimate(spark, sf):
         # Only pieces met by more than ``HOT_PIECE`` texts are sent, by a hint.
         joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "[gram" not in line]
         assert not joins, (name, joins)
+
+
+def test_compared_documents_are_not_sent_round(spark, sf):
+    """Specification documents are made from a small file and are far larger than it."""
+    from wiring.question_queries import compare_values
+
+    assert "BroadcastHashJoin" not in compare_values(spark, sf)._jdf.queryExecution().sparkPlan().toString()
