@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from devicelode.llm.common import mixed, saved, small_batches
+from devicelode.llm.common import mixed, saved, shuffle_parts, small_batches
 
 BLOCK = "block int, ids binary, rows int, dims int, kind string, cells binary"
 DIMS = 16  # dimensions accumulated between two compactions
 BATCH = 256  # queries that share one pass over the candidates
+SENT_BYTES = 32 << 20  # of query blocks sent to every executor at a time, counted before
 
 
 def whole_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -107,16 +109,21 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, candidate_block: int =
 
     ``rows``: vec_id long, vector array of integers; shorter vectors count as padded with zeros. Ties go to the smaller vec_id; rows that share
     the query's id are the query's own. Products that may exceed 64 bits are an error. Each pair of a query block and a candidate block is one unit of work of bounded
-    size, sent through a join on the pair's key; a query's best rows per block are then merged.
+    size. Query blocks are sent to every executor as they are, at most ``SENT_BYTES`` of them at a time, and candidate blocks are dealt to tasks: once
+    each where they are enough for all tasks, else once for each of a few parts of the queries. A query's best rows per block are then merged.
     """
     rows = saved(small_batches(rows).select("vec_id", "vector", mixed().alias("_mix")), "vectors")
     asked = rows.filter(is_query)
     n, m = rows.count(), asked.count()
     left = saved(_blocks(rows, candidate_block, n), "candidates")
     right = saved(_blocks(asked, query_block, m), "queries")
+    c_blocks, q_blocks, tasks = max(1, -(-n // candidate_block)), max(1, -(-m // query_block)), shuffle_parts(rows.sparkSession)
+    parts = min(q_blocks, -(-tasks // c_blocks))
     rename = lambda df, side: df.select(F.col("block").alias(f"{side}_block"), *[F.col(c).alias(f"{side}_{c}") for c in df.columns[1:]])
-    left = rename(left, "c").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-m // query_block) - 1)))))
-    right = rename(right, "q").withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n // candidate_block) - 1)))))
+    left = rename(left, "c").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(min(c_blocks * parts, 4 * tasks))
+    right = rename(right, "q").withColumn("part", F.col("q_block") % parts)
+    largest = right.agg(F.max(F.length("q_ids") + F.length("q_cells"))).first()[0] or 1
+    sent = max(1, SENT_BYTES // largest)
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -127,6 +134,16 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, candidate_block: int =
                 query_ids, ids, scores = zip(*found, strict=True)
                 yield pd.DataFrame({"query_id": np.repeat(query_ids, [len(x) for x in ids]), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
 
-    best = left.join(right, ["c_block", "q_block"]).mapInPandas(search, "query_id long, vec_id long, score long")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(best: DataFrame) -> DataFrame:
+        return best.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def met(first: int) -> DataFrame:
+        some = F.broadcast(right.filter((F.col("q_block") >= first) & (F.col("q_block") < first + sent)))
+        return ranked(left.join(some, "part").mapInPandas(search, "query_id long, vec_id long, score long"))
+
+    if q_blocks <= sent:
+        return met(0)
+    # Written one after the other, so that the driver holds one at a time; an id's rows may be in more than one.
+    return ranked(reduce(DataFrame.unionByName, [saved(met(first), "best") for first in range(0, q_blocks, sent)]))

@@ -62,3 +62,24 @@ def test_products_beyond_64_bits_are_an_error():
     cells = np.full((2, 3), 1 << 32, np.int64)
     with pytest.raises(OverflowError):
         list(search.bounded_search(cells[:, :1], np.array([0]), cells, np.arange(3), 2))
+
+
+def test_query_blocks_are_sent_a_few_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i % 200, [float(x) for x in rng.normal(0, 1, 6)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    passes, whole = [], search.top_k(search.whole_vectors(df), F.col("vec_id") % 2 == 0, k=4, candidate_block=50, query_block=20).collect()
+    monkeypatch.setattr(search, "SENT_BYTES", 700)
+    monkeypatch.setattr(search, "saved", lambda d, name, kept=search.saved: passes.append(name) or kept(d, name))
+    cut = search.top_k(search.whole_vectors(df), F.col("vec_id") % 2 == 0, k=4, candidate_block=50, query_block=20).collect()
+    assert passes.count("best") > 2 and sorted(cut) == sorted(whole) and len(whole) == 400
+
+
+def test_blocks_sent_round_are_not_multiplied(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(300)], "vec_id long, embedding array<double>")
+    top = search.top_k(search.whole_vectors(df), F.col("vec_id") % 5 == 0, candidate_block=10, query_block=10)
+    lines = top._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    sent = [i for i, x in enumerate(lines) if "BroadcastExchange" in x]
+    under = [x for i in sent for j, x in enumerate(lines[i + 1:], i + 1) if all(d > depth[i] for d in depth[i + 1:j + 1])]
+    assert sent and under and not any("Generate" in x for x in under)
