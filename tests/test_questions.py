@@ -352,3 +352,21 @@ def test_compared_documents_are_not_sent_round(spark, sf):
     from wiring.question_queries import compare_values
 
     assert "BroadcastHashJoin" not in compare_values(spark, sf)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_texts_meet_few_names_that_they_do_not_hold(spark, monkeypatch):
+    """Names alike in all but four of their digits, so that any six characters are shared by twenty."""
+    cat = spark.createDataFrame([(i * 20 + j, "Alpha", f"gear {i:02d}7799{j:02d}", "u", "") for i in range(20) for j in range(20)], CAT)
+    q = spark.createDataFrame([(i, f"how much is the alpha gear {i % 20:02d}7799{i * 7 % 20:02d}?") for i in range(100)], "qid long, text string")
+    met = []
+    monkeypatch.setattr(M, "_met_by_shuffle", lambda *a, by=M._met_by_shuffle: met.append(by(*a)) or met[0])
+    assert M.name_matches(q, cat, broadcast_names=0).count() == 100 and met[0].count() <= 110
+
+
+def test_names_at_all_places_of_long_texts(spark):
+    names = ["hm", "orbit", "rocket", "comet twelve", "a name of some twenty-six é"]
+    cat = spark.createDataFrame([(i, "Alpha", n, "u", "") for i, n in enumerate(names)], CAT)
+    rows = [(k, "é" + "x" * k + names[k % 5] + "y" * (k % 7) + names[(k + 2) % 5]) for k in [*range(0, 30), *range(470, 520), *range(985, 1015)]]
+    q = spark.createDataFrame(rows, "qid long, text string")
+    got = sorted((r.qid, r.device) for r in M.name_matches(q, cat, broadcast_names=0).collect())
+    assert got == sorted((k, n) for k, t in rows for n in names if n in t)
